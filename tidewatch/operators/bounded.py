@@ -22,7 +22,7 @@ from tidewatch.functions.keys import key_digest
 from tidewatch.operators.first_seen import first_in_poll, first_seen
 from tidewatch.operators.polls import with_discovery_time
 from tidewatch.operators.running import position_in_group
-from tidewatch.workspace import new_folder, shared_root
+from tidewatch.workspace import new_folder, written
 
 MAX_ROWS_PER_TASK = 1_000_000
 
@@ -43,8 +43,7 @@ def bounded_first_seen(
     if cap == 0:
         return with_discovery_time(first_in_poll(outputs, key), polls)
 
-    shared_root(outputs.sparkSession)
-    listed = first_in_poll(outputs, key)
+    listed = written(first_in_poll(outputs, key), "listed")
     sizes = (
         listed.groupBy("seed", *key).agg(F.count("*").alias("_n"))
         .groupBy("seed").agg(F.sum("_n").alias("_rows"), F.count("*").alias("_keys"))
@@ -54,7 +53,7 @@ def bounded_first_seen(
         .when(F.col("_rows") <= max_rows_per_task, "one_task")
         .otherwise("by_poll")
     )
-    routes = sizes.select(F.col("seed").alias("_seed"), way.alias("_way")).checkpoint()
+    routes = written(sizes.select(F.col("seed").alias("_seed"), way.alias("_way")), "routes")
     used = {r["_way"] for r in routes.select("_way").distinct().collect()}
 
     def part(df: DataFrame, name: str) -> DataFrame:
@@ -63,7 +62,7 @@ def bounded_first_seen(
 
     results = []
     if "never_full" in used or not used:
-        results.append(with_discovery_time(first_seen(part(outputs, "never_full"), key), polls))
+        results.append(with_discovery_time(first_seen(part(listed, "never_full"), key), polls))
     if "one_task" in used:
         results.append(_replay_in_tasks(with_discovery_time(part(listed, "one_task"), polls), key, cap))
     if "by_poll" in used:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.termination import Termination
 from tidewatch.functions.times import END_OF_TIME, discovery_time, ntz
 from tidewatch.operators.running import position_in_group, running_max
+from tidewatch.workspace import written
 
 # Polls of one seed are carried in blocks of this many bits (4,096 polls).
 POLL_BLOCK_BITS = 12
@@ -97,7 +98,12 @@ def poll_summary(seeds: DataFrame, polls: DataFrame, fresh: DataFrame) -> DataFr
 
 
 def with_running_state(summary: DataFrame) -> DataFrame:
-    """Add per poll: running watermark, the one before this poll, idle clock, total clock."""
+    """Add per poll: running watermark, the one before this poll, idle clock, total clock.
+
+    The summary is small but costs a pass over all outputs, and the running maxima read
+    it more than once; so it is written first.
+    """
+    summary = written(summary, "summary")
     state = running_max(
         summary,
         ["seed"],

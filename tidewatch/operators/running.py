@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.workspace import shared_root
+from tidewatch.workspace import written
 
 BLOCK_BITS = 16
 
@@ -75,17 +75,16 @@ def position_in_group(df: DataFrame, groups: Sequence[str], order: Sequence[str]
 
     The rows are range-partitioned on group and order, so a large group spans many
     partitions; each partition's share of a group is counted and the counts are summed
-    up over partitions.  The sorted rows are checkpointed, since both passes must see
+    up over partitions.  The sorted rows are written first, since both passes must see
     the same partitions even if an executor is lost in between.  ``order`` must be
     unique within a group.
     """
-    shared_root(df.sparkSession)
-    spread = (
+    placed = (
         df.repartitionByRange(*groups, *order)
         .sortWithinPartitions(*groups, *order)
         .select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row"))
-        .checkpoint()
     )
+    spread = written(placed, "positions")
     shares = spread.groupBy(*groups, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = shares.select(

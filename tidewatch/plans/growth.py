@@ -14,6 +14,7 @@ from tidewatch.functions.times import discovery_time
 from tidewatch.operators.bounded import bounded_first_seen
 from tidewatch.operators.first_seen import first_seen
 from tidewatch.operators.polls import poll_summary, reported_watermarks, stops, with_running_state
+from tidewatch.workspace import written
 
 
 @dataclass(frozen=True)
@@ -36,12 +37,14 @@ def watch_log(
 
     Whether a key is new at poll k depends on polls up to k only, so the new outputs are
     found first, over the whole log, and the polls after a seed's stop are cut off
-    afterwards.  The cut and the discovery time share one join with the per-poll table.
+    afterwards.  They are written once and read twice, for the per-poll summary and for
+    the result, so the log itself is read and shuffled once.  The cut and the discovery time share one join with the per-poll table.
     """
     if cap is None:
         fresh = first_seen(outputs, key)
     else:
         fresh = bounded_first_seen(outputs, polls, cap, key).withColumnRenamed("discovered_ts", "event_ts")
+    fresh = written(fresh, "fresh")
     state = with_running_state(poll_summary(seeds, polls, fresh))
     stop_at = stops(state, condition)
     last = stop_at.withColumnRenamed("stop_at", "_stop_at")
