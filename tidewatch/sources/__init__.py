@@ -1,0 +1,8 @@
+"""Stream and batch sources that are read as splits with saved offsets."""
+
+from tidewatch.sources.counting import CountingSource
+from tidewatch.sources.empty import EmptySource
+from tidewatch.sources.parquet_rows import ParquetRowsSource
+from tidewatch.sources.split_source import BACKLOG_UNKNOWN, SplitSource
+
+__all__ = ["BACKLOG_UNKNOWN", "CountingSource", "EmptySource", "ParquetRowsSource", "SplitSource"]
