@@ -7,6 +7,7 @@ Under ``root``, one folder per poll number:
 * ``fresh``   the outputs that were new: the watch result
 * ``memory``  with a bounded memory: the keys remembered after the poll
 * ``status``  one row per seed after the poll: clocks, watermark, done
+* ``done``    one row once the tick is complete
 
 A tick reads folders of earlier polls only and overwrites its own, so repeating one
 changes nothing, and a poll that was written once is replayed instead of asked again.
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from threading import Lock
+from time import monotonic
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +32,7 @@ from tidewatch.operators.bounded import admit, forget
 from tidewatch.operators.first_seen import first_in_poll, not_seen_before
 from tidewatch.operators.polls import end_marks
 from tidewatch.plans.spec import WatchSpec
+from tidewatch.workspace import new_folder
 
 STATUS = (
     "seed string, seed_ts timestamp_ntz, start_ts timestamp_ntz, poll_no int, poll_ts timestamp_ntz, "
@@ -83,6 +87,11 @@ class Ticks:
         if self._remembers:
             self._write(forget(self._memory(poll_no - 1), fresh, self.spec.max_completed_size), "memory", poll_no)
         self._write(self._status_after(watched, raw, fresh, before), "status", poll_no)
+        self._mark("done", poll_no)
+
+    def next_poll(self) -> int:
+        """The poll that comes after the last complete tick."""
+        return max(self._marks("done"), default=0) + 1
 
     @property
     def _remembers(self) -> bool:
@@ -98,21 +107,27 @@ class Ticks:
 
     def _poll_once(self, watched: DataFrame, poll_no: int) -> DataFrame:
         folder = self._folder("raw", poll_no)
-        if not self._in_ledger(poll_no):
+        if poll_no > max(self._marks("ledger"), default=0):
             poll_ts = self.clock(poll_no)
             rows = self.spec.poll_fn(watched, poll_no, poll_ts)
             stamped = rows.withColumn("poll_ts", F.lit(poll_ts.isoformat(" ")).cast("timestamp_ntz"))
             stamped.write.mode("overwrite").parquet(folder)
-            self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(self._folder("ledger", poll_no))
+            self._mark("ledger", poll_no)
         return self.spark.read.parquet(folder)
 
-    def _in_ledger(self, poll_no: int) -> bool:
+    def _mark(self, table: str, poll_no: int) -> None:
+        self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(self._folder(table, poll_no))
+
+    def _marks(self, table: str) -> list[int]:
+        """The latest marked poll of a table, if there is one."""
         try:
-            return not self.spark.read.schema("id bigint").parquet(self._folder("ledger", poll_no)).isEmpty()
+            marked = self.spark.read.schema("id bigint, poll_no int").parquet(f"{self.root}/{table}")
         except AnalysisException as missing:
             if missing.getCondition() == "PATH_NOT_FOUND":
-                return False
+                return []
             raise
+        last = marked.agg(F.max("poll_no")).first()[0]
+        return [] if last is None else [last]
 
     def _memory(self, poll_no: int) -> DataFrame:
         if poll_no < 1:
@@ -169,28 +184,57 @@ class Ticks:
         return after.unionByName(before.filter("done"))
 
 
-def start(ticks: Ticks) -> StreamingQuery:
-    """Run ticks at the poll interval; a restart on the same root goes on where it stopped."""
-    clock = ticks.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
-    return (
-        clock.writeStream.foreachBatch(lambda _, batch_id: ticks.tick(batch_id + 1))
-        .option("checkpointLocation", f"{ticks.root}/clock")
-        .trigger(processingTime=f"{round(ticks.spec.poll_interval * 1000)} milliseconds")
-        .start()
-    )
+class Runner:
+    """Runs ticks at the poll interval.
+
+    A stream that always has data serves as the clock.  How far the watch got is in the
+    tables alone, so a new runner on the same root goes on where the last one stopped.
+    """
+
+    def __init__(self, ticks: Ticks):
+        self.ticks = ticks
+        self.poll_no = ticks.next_poll()
+        self.finished = self.poll_no > 1 and not ticks.active(self.poll_no - 1)
+        self._closing = False
+        self._running = Lock()
+        self._query: StreamingQuery | None = None
+
+    def start(self) -> StreamingQuery:
+        ticks = self.ticks
+        clock = ticks.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+        self._query = (
+            clock.writeStream.foreachBatch(lambda _, batch_id: self._on_tick())
+            .option("checkpointLocation", new_folder(ticks.spark, "clock"))
+            .trigger(processingTime=f"{round(ticks.spec.poll_interval * 1000)} milliseconds")
+            .start()
+        )
+        return self._query
+
+    def _on_tick(self) -> None:
+        with self._running:
+            if not (self._closing or self.finished):
+                self.ticks.tick(self.poll_no)
+                self.finished = not self.ticks.active(self.poll_no)
+                self.poll_no += 1
+
+    def stop(self) -> None:
+        """Stop after the tick that is under way."""
+        self._closing = True
+        with self._running:
+            pass  # a tick that starts from here on sees _closing and does nothing
+        self._query.stop()
 
 
 def run(ticks: Ticks, timeout: float | None = None) -> bool:
     """Run until every seed is done, or ``timeout`` seconds passed; were all seeds done?"""
-    query = start(ticks)
-    deadline = None if timeout is None else datetime.now().timestamp() + timeout
+    runner = Runner(ticks)
+    if runner.finished:
+        return True
+    end = None if timeout is None else monotonic() + timeout
+    query = runner.start()
     try:
-        while not query.awaitTermination(min(ticks.spec.poll_interval, 1.0)):
-            last = query.lastProgress
-            if last is not None and not ticks.active(last.batchId + 1):
-                return True
-            if deadline is not None and datetime.now().timestamp() > deadline:
-                return False
-        return False
+        while not runner.finished and (end is None or monotonic() < end):
+            query.awaitTermination(min(ticks.spec.poll_interval, 1.0))
     finally:
-        query.stop()
+        runner.stop()
+    return runner.finished
