@@ -9,7 +9,7 @@ sys.path.insert(0, ROOT)
 
 
 def local_session():
-    import __spark_entry__  # noqa: F401  ships the package to the Python workers
+    from __spark_entry__ import _ship
 
     spark = (
         SparkSession.builder.master("local[8]")
@@ -21,6 +21,7 @@ def local_session():
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    _ship(spark.sparkContext)
     return spark
 
 

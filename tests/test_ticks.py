@@ -1,0 +1,164 @@
+"""Live ticks: same as the batch watch, replay, late seeds, bounded memory, Python polls."""
+
+import os
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.test_bounded import make_log, model
+from tidewatch import PollResult, Timed, Watch, after_iterations, per_seed
+from tidewatch.streaming import ticks
+
+T = datetime(2024, 1, 1)
+SEEDS = "seed string, added_at timestamp_ntz, event_ts timestamp_ntz"
+RAW = "seed string, pos bigint, value int, event_ts timestamp_ntz, watermark timestamp_ntz, complete boolean"
+
+
+def clock(poll_no):
+    return T + timedelta(minutes=poll_no)
+
+
+def seeds(*names):
+    return lambda spark: spark.createDataFrame([(n, T, None) for n in names], SEEDS)
+
+
+def log_poll(outputs, asked=None):
+    """A poll that answers from a list of (seed, poll_no, pos, value, event_ts)."""
+
+    def poll(watched, poll_no, poll_ts):
+        names = [r.seed for r in watched.collect()]
+        if asked is not None:
+            asked.append((poll_no, sorted(names)))
+        rows = [(n, None, None, None, None, False) for n in names]
+        rows += [(s, pos, v, ts, None, None) for s, p, pos, v, ts in outputs if p == poll_no and s in names]
+        return watched.sparkSession.createDataFrame(rows, RAW)
+
+    return poll
+
+
+def emitted(watch):
+    return sorted((r.seed, r.poll_no, r.pos, r.value, r.discovered_ts) for r in watch.emitted().collect())
+
+
+@pytest.mark.parametrize("cap", [None, 0, 2])
+def test_same_as_model(spark, tmp_path, cap):
+    polls, outputs = make_log(n_polls=4)
+    spec = Watch.growth_of(log_poll(outputs)).with_max_completed_size(cap)
+    watch = ticks.Ticks(spark, spec, seeds("hot", "cold"), str(tmp_path), clock)
+    for poll_no in range(1, 5):
+        watch.tick(poll_no)
+    assert emitted(watch) == model(polls, outputs, cap)
+
+
+def test_replay_does_not_ask_again(spark, tmp_path):
+    outputs = [("s", 1, 0, 1, None), ("s", 2, 0, 1, None), ("s", 2, 1, 2, None)]
+    asked = []
+    spec = Watch.growth_of(log_poll(outputs, asked)).with_max_completed_size(2)
+    watch = ticks.Ticks(spark, spec, seeds("s"), str(tmp_path), clock)
+    watch.tick(1)
+    watch.tick(2)
+    before = emitted(watch), watch.status(2).collect()
+    watch.tick(2)
+    assert (emitted(watch), watch.status(2).collect()) == before
+    assert [p for p, _ in asked] == [1, 2]
+
+
+def test_crash_before_the_tick_ends(spark, tmp_path, monkeypatch):
+    asked = []
+    outputs = [("s", 1, 0, 1, None), ("s", 2, 0, 1, None), ("s", 2, 1, 2, None)]
+    spec = Watch.growth_of(log_poll(outputs, asked)).with_max_completed_size(None)
+    watch = ticks.Ticks(spark, spec, seeds("s"), str(tmp_path), clock)
+    watch.tick(1)
+    with monkeypatch.context() as broken:
+        broken.setattr(watch, "_status_after", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            watch.tick(2)
+    again = ticks.Ticks(spark, spec, seeds("s"), str(tmp_path), clock)
+    assert again.next_poll() == 2
+    again.tick(2)
+    assert [r[1:4] for r in emitted(again)] == [(1, 0, 1), (2, 1, 2)]
+    assert [p for p, _ in asked] == [1, 2]
+    assert again.next_poll() == 3
+
+
+def test_stopped_seeds_are_not_polled_and_late_seeds_join(spark, tmp_path):
+    asked, names = [], ["a"]
+    outputs = [(s, p, 0, p, None) for s in ("a", "b") for p in range(1, 6)]
+    spec = Watch.growth_of(log_poll(outputs, asked)).with_termination_per_input(after_iterations(2))
+    table = lambda s: s.createDataFrame([(n, None, None) for n in names], SEEDS)
+    watch = ticks.Ticks(spark, spec, table, str(tmp_path), clock)
+    watch.tick(1)
+    names.append("b")
+    for poll_no in (2, 3, 4):
+        watch.tick(poll_no)
+    assert asked == [(1, ["a"]), (2, ["a", "b"]), (3, ["b"]), (4, [])]
+    assert not watch.active(4)
+    assert [(r[0], r[1]) for r in emitted(watch)] == [("a", 1), ("a", 2), ("b", 2), ("b", 3)]
+    status = {r.seed: r for r in watch.status(4).collect()}
+    assert status["a"].poll_no == 2 and status["b"].poll_no == 2 and status["b"].start_ts == clock(2)
+
+
+def test_status_watermarks(spark, tmp_path):
+    at = lambda s: T + timedelta(seconds=s)
+    outputs = [("s", 1, 0, 1, at(10)), ("s", 2, 0, 2, at(5)), ("s", 3, 0, 3, at(50))]
+    spec = Watch.growth_of(log_poll(outputs)).with_termination_per_input(after_iterations(3))
+    table = lambda s: s.createDataFrame([("s", T, at(7))], SEEDS)
+    watch = ticks.Ticks(spark, spec, table, str(tmp_path), clock)
+    seen = []
+    for poll_no in (1, 2, 3):
+        watch.tick(poll_no)
+        row = watch.status(poll_no).first()
+        seen.append((row.watermark, row.done))
+    assert seen == [(at(10), False), (at(10), False), (at(10), True)]
+
+
+def answer(seed):
+    if seed == "empty":
+        return PollResult.empty()
+    if seed == "plain":
+        return ["x", "x", "y"]
+    return PollResult.of(
+        (Timed(f"v{i}", T + timedelta(seconds=i)) if i % 2 else f"v{i}" for i in range(25_000)), complete=True
+    )
+
+
+def test_python_poll_per_seed(spark, tmp_path):
+    spec = Watch.growth_of(per_seed(answer, "string"))
+    watch = ticks.Ticks(spark, spec, seeds("empty", "plain", "many"), str(tmp_path), clock)
+    watch.tick(1)
+    watch.tick(2)
+    counts = {(r.seed, r.poll_no): r["count"] for r in watch.emitted().groupBy("seed", "poll_no").count().collect()}
+    assert counts == {("plain", 1): 2, ("many", 1): 25_000}
+    timed = watch.emitted().filter("value = 'v7'").first()
+    assert timed.discovered_ts == T + timedelta(seconds=7)
+    assert {r.seed: r.done for r in watch.status(2).collect()} == {"empty": False, "plain": False, "many": True}
+
+
+def list_folder(folder):
+    return PollResult.of(sorted(os.listdir(folder)))
+
+
+def test_running_watch_of_a_folder(spark, tmp_path):
+    incoming = tmp_path / "incoming"
+    incoming.mkdir()
+    for i in range(2):
+        (incoming / f"file_{i}.csv").touch()
+    spec = Watch.growth_of(per_seed(list_folder, "string")).with_poll_interval(0.2).with_termination_per_input(after_iterations(3))
+    table = lambda s: s.createDataFrame([(str(incoming), None, None)], SEEDS)
+    watch = ticks.Ticks(spark, spec, table, str(tmp_path / "watch"))
+    assert ticks.run(watch, timeout=0.01) is False
+    done = watch.next_poll()
+    for i in range(2, 5):
+        (incoming / f"file_{i}.csv").touch()
+    assert ticks.run(watch, timeout=120) is True
+    got = sorted((r.poll_no, r.value) for r in watch.emitted().collect())
+    assert [v for _, v in sorted(got, key=lambda x: x[1])] == [f"file_{i}.csv" for i in range(5)]
+    assert done <= 3 and watch.next_poll() == 4
+
+
+def test_needs_a_poll_function(spark, tmp_path):
+    with pytest.raises(ValueError):
+        ticks.Ticks(spark, Watch.growth_of(), seeds("s"), str(tmp_path))
+    with pytest.raises(TypeError):
+        per_seed("poll", "string")

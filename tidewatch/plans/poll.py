@@ -59,7 +59,7 @@ def per_seed(poll_fn: Callable[[str], PollResult | Iterable[Any]], value_type: s
     def poll(seeds: DataFrame, poll_no: int, poll_ts: datetime) -> DataFrame:
         spark = seeds.sparkSession
         schema = StructType.fromDDL(fields)
-        arrow = to_arrow_schema(schema, timezone="UTC")
+        arrow = to_arrow_schema(schema)
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
