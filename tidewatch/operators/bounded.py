@@ -112,24 +112,22 @@ def _replay_by_poll(listed: DataFrame, key: Sequence[str], cap: int) -> DataFram
     log = spark.read.schema(keyed.schema).parquet(f"{root}/listed")
     memory = spark.createDataFrame([], log.select("seed", "key_hash", F.lit(0).cast("long").alias("idx")).schema)
     for (poll_no,) in log.select("poll_no").distinct().orderBy("poll_no").collect():
-        new = admit(log.filter(F.col("poll_no") == poll_no), memory)
-        new.drop("poll_no").write.parquet(f"{root}/emitted/poll_no={poll_no}")
-        new = spark.read.parquet(f"{root}/emitted/poll_no={poll_no}")
-        forget(memory, new, cap).write.parquet(f"{root}/memory/after={poll_no}")
-        memory = spark.read.parquet(f"{root}/memory/after={poll_no}")
-    emitted = spark.read.schema(keyed.schema).parquet(f"{root}/emitted")
-    return emitted.select(*listed.columns)
+        listed_now = log.filter(F.col("poll_no") == poll_no).drop("poll_no")
+        new = admit(listed_now, memory, f"{root}/emitted/poll_no={poll_no}")
+        memory = written(forget(memory, new, cap), "memory", f"{root}/memory/after={poll_no}")
+    return spark.read.schema(keyed.schema).parquet(f"{root}/emitted").select(*listed.columns)
 
 
-def admit(listed: DataFrame, memory: DataFrame) -> DataFrame:
+def admit(listed: DataFrame, memory: DataFrame, folder: str | None = None) -> DataFrame:
     """New outputs of one poll with ``idx``, their insertion number per seed.
 
     ``listed`` has one row per seed and ``key_hash``; ``memory(seed, key_hash, idx)`` are
     the keys remembered so far.  The newest key is always remembered, so the largest
-    ``idx`` of a seed is the number of its insertions so far.
+    ``idx`` of a seed is the number of its insertions so far.  The new outputs are
+    written, to ``folder`` if given.
     """
     new = listed.join(memory.select("seed", "key_hash"), ["seed", "key_hash"], "left_anti")
-    numbered = position_in_group(new, ["seed"], ["discovered_ts", "pos"], "_n")
+    numbered = position_in_group(new, ["seed"], ["discovered_ts", "pos"], "_n", folder)
     inserted = memory.groupBy("seed").agg(F.max("idx").alias("_inserted"))
     return numbered.join(inserted, ["seed"], "left").select(
         *listed.columns, (F.coalesce("_inserted", F.lit(0)) + F.col("_n")).alias("idx")

@@ -70,21 +70,23 @@ def running_max(
     return done.filter(~F.col(head)).drop(head)
 
 
-def position_in_group(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+def position_in_group(
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str, folder: str | None = None
+) -> DataFrame:
     """Add the 1-based position of each row in its group, without one task per group.
 
     The rows are range-partitioned on group and order, so a large group spans many
     partitions; each partition's share of a group is counted and the counts are summed
     up over partitions.  The sorted rows are written first, since both passes must see
-    the same partitions even if an executor is lost in between.  ``order`` must be
-    unique within a group.
+    the same partitions even if an executor is lost in between; a given ``folder`` keeps
+    them.  ``order`` must be unique within a group.
     """
     placed = (
         df.repartitionByRange(*groups, *order)
         .sortWithinPartitions(*groups, *order)
         .select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row"))
     )
-    spread = written(placed, "positions")
+    spread = written(placed, "positions", folder)
     shares = spread.groupBy(*groups, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = shares.select(

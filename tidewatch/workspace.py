@@ -31,12 +31,12 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark)}/tidewatch/{purpose}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, folder: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, however often it is read.
 
     Later reads take only the columns they need, know the size on disk, and survive the
     loss of any executor.
     """
-    folder = new_folder(df.sparkSession, purpose)
+    folder = folder or new_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
