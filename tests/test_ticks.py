@@ -1,5 +1,6 @@
 """Live ticks: same as the batch watch, replay, late seeds, bounded memory, Python polls."""
 
+import json
 import os
 from datetime import datetime, timedelta
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_bounded import make_log, model
-from tidewatch import PollResult, Timed, Watch, after_iterations, per_seed
+from tidewatch import PollResult, StatefulTermination, Timed, Watch, after_iterations, all_of, either_of, per_seed
 from tidewatch.streaming import ticks
 
 T = datetime(2024, 1, 1)
@@ -113,6 +114,41 @@ def test_status_watermarks(spark, tmp_path):
     assert seen == [(at(10), False), (at(10), False), (at(10), True)]
 
 
+class Harvests(StatefulTermination):
+    """Stop after so many polls with new outputs; counts all polls too."""
+
+    def __init__(self, n):
+        self.n, self.name = n, f"harvests {n}"
+
+    def for_new_input(self, now, seed):
+        return {"seed": seed, "since": now.isoformat(), "harvests": 0, "polls": 0}
+
+    def on_seen_new_output(self, now, state):
+        return {**state, "harvests": state["harvests"] + 1}
+
+    def on_poll_complete(self, state):
+        return {**state, "polls": state["polls"] + 1}
+
+    def can_stop_polling(self, now, state):
+        return state["harvests"] >= self.n
+
+
+def test_condition_with_its_own_state(spark, tmp_path):
+    outputs = [("s", 1, 0, 1, None), ("s", 2, 0, 1, None), ("s", 3, 0, 2, None), ("s", 4, 0, 3, None), ("t", 1, 0, 1, None)]
+    stop = either_of(Harvests(2), all_of(Harvests(1), after_iterations(4)))
+    spec = Watch.growth_of(log_poll(outputs)).with_termination_per_input(stop)
+    watch = ticks.Ticks(spark, spec, seeds("s", "t"), str(tmp_path), clock)
+    for poll_no in range(1, 5):
+        watch.tick(poll_no)
+    assert [r[:4] for r in emitted(watch)] == [("s", 1, 0, 1), ("s", 3, 0, 2), ("t", 1, 0, 1)]
+    status = {r.seed: r for r in watch.status(4).collect()}
+    assert (status["s"].poll_no, status["t"].poll_no) == (3, 4)
+    state = json.loads(status["s"].stop_states["harvests 2"])
+    assert state == {"seed": "s", "since": T.isoformat(), "harvests": 2, "polls": 3}
+    with pytest.raises(ValueError):
+        spec.over_log(None, None, None)
+
+
 def answer(seed):
     if seed == "empty":
         return PollResult.empty()

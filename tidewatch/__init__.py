@@ -1,6 +1,7 @@
 """Watching things that grow, and reading sources that never end, on Spark."""
 
 from tidewatch.functions.termination import (
+    StatefulTermination,
     Termination,
     after_iterations,
     after_time_since_new_output,
@@ -17,6 +18,7 @@ from tidewatch.plans.spec import DEFAULT_MAX_COMPLETED_SIZE, Watch, WatchSpec
 __all__ = [
     "DEFAULT_MAX_COMPLETED_SIZE",
     "PollResult",
+    "StatefulTermination",
     "Termination",
     "Timed",
     "Watch",

@@ -16,17 +16,20 @@ Outputs are joined by seed and key, so a seed with most of them is spread over t
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from threading import Lock
 from time import monotonic
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.functions.keys import key_digest
+from tidewatch.functions.termination import StatefulTermination
 from tidewatch.functions.times import discovery_time
 from tidewatch.operators.bounded import admit, forget
 from tidewatch.operators.first_seen import first_in_poll, not_seen_before
@@ -36,7 +39,8 @@ from tidewatch.workspace import new_folder
 
 STATUS = (
     "seed string, seed_ts timestamp_ntz, start_ts timestamp_ntz, poll_no int, poll_ts timestamp_ntz, "
-    "n_new bigint, last_new_ts timestamp_ntz, watermark timestamp_ntz, done boolean"
+    "n_new bigint, last_new_ts timestamp_ntz, watermark timestamp_ntz, done boolean, "
+    "stop_states map<string, string>, stop_flags map<string, boolean>"
 )
 MEMORY = "seed string, key_hash string, idx bigint"
 
@@ -158,6 +162,7 @@ class Ticks:
             F.col("poll_no").alias("_polls"),
             F.col("last_new_ts").alias("_last_new"),
             F.col("watermark").alias("_wm"),
+            F.col("stop_states").alias("_states"),
         )
         joined = (
             watched.select("seed", "added_at", F.col("event_ts").alias("seed_ts"))
@@ -176,7 +181,12 @@ class Ticks:
             F.coalesce("watermark", "_earliest").alias("_candidate"),
             "_wm",
             "done",
+            F.col("_states").alias("stop_states"),
+            F.lit(None).cast("map<string, boolean>").alias("stop_flags"),
         )
+        conditions = list(self.spec.termination.stateful())
+        if conditions:
+            now = now.mapInArrow(_advance(conditions), now.schema)
         # The stopping poll reports no watermark of its own.
         ended = now.withColumn("done", F.col("done") | self.spec.termination.stop())
         reported = F.greatest("seed_ts", "_wm", F.when(~F.col("done"), F.col("_candidate")))
@@ -184,6 +194,26 @@ class Ticks:
         return after.unionByName(before.filter("done"))
 
 
+def _advance(conditions: list[StatefulTermination]) -> Callable[[Iterator], Iterator]:
+    """Move the states of stateful conditions by one poll; one row per seed."""
+
+    def step(row: dict) -> dict:
+        now, states, flags = row["poll_ts"], dict(row["stop_states"] or ()), {}
+        for c in conditions:
+            state = json.loads(states[c.name]) if c.name in states else c.for_new_input(row["start_ts"], row["seed"])
+            if row["n_new"]:
+                state = c.on_seen_new_output(now, state)
+            state = c.on_poll_complete(state)
+            states[c.name], flags[c.name] = json.dumps(state), bool(c.can_stop_polling(now, state))
+        return {**row, "stop_states": list(states.items()), "stop_flags": list(flags.items())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([step(row) for row in batch.to_pylist()], schema=batch.schema)
+
+    return run
+
+
 class Runner:
     """Runs ticks at the poll interval.
 
