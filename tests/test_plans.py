@@ -32,7 +32,7 @@ def test_no_nested_loops(spark, sf_dir, no_broadcast, name):
 
 
 def test_first_seen_is_one_shuffle_of_hash_aggregates(spark, sf_dir):
-    for df in (first_seen(tables.poll_outputs(spark, sf_dir)), first_in_poll(tables.poll_outputs(spark, sf_dir))):
+    for df in (first_seen(tables.poll_outputs(tables.events(spark, sf_dir))), first_in_poll(tables.poll_outputs(tables.events(spark, sf_dir)))):
         text = plan(df)
         assert text.count("Exchange") == 1
         assert "partial_min" in text and "SortAggregate" not in text and "Window" not in text
@@ -40,25 +40,25 @@ def test_first_seen_is_one_shuffle_of_hash_aggregates(spark, sf_dir):
 
 
 def test_history_is_cut_down_by_a_semi_join(spark, sf_dir):
-    outputs = first_seen(tables.poll_outputs(spark, sf_dir))
+    outputs = first_seen(tables.poll_outputs(tables.events(spark, sf_dir)))
     text = plan(not_seen_before(outputs.filter("poll_no > 7"), outputs.filter("poll_no <= 7")))
     assert "LeftSemi" in text and "LeftAnti" in text
 
 
 def test_running_watermark_never_windows_a_whole_split(spark, sf_dir):
-    text = plan(ops.monotone_watermark(tables.source_records(spark, sf_dir)))
+    text = plan(ops.monotone_watermark(tables.records_of(tables.events(spark, sf_dir))))
     windows = re.findall(r"Window \[.*?\], \[([^\]]*)\]", text)
     by_split_only = [w for w in windows if "_block" not in w]
     assert len(windows) == 3 and len(by_split_only) == 1  # the last level, over a table of blocks
 
 
 def test_scans_are_pruned_and_filtered(spark, sf_dir):
-    text = plan(ops.split_counts(tables.source_records(spark, sf_dir)))
+    text = plan(ops.split_counts(tables.records_of(tables.events(spark, sf_dir))))
     assert "value" not in text.split("ReadSchema")[1] and "props" not in text
-    text = plan(ops.until_terminal(tables.source_records(spark, sf_dir)))
+    text = plan(ops.until_terminal(tables.records_of(tables.events(spark, sf_dir))))
     assert "GreaterThan(value,200.0)" in text and "EqualTo(event_type,purchase)" in text
 
 
 def test_dedup_by_id_is_one_shuffle(spark, sf_dir):
-    text = plan(ops.dedup_by_id(tables.source_records(spark, sf_dir)))
+    text = plan(ops.dedup_by_id(tables.records_of(tables.events(spark, sf_dir))))
     assert text.count("Exchange") == 1 and "SortAggregate" not in text

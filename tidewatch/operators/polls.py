@@ -17,7 +17,8 @@ from tidewatch.functions.times import END_OF_TIME, discovery_time, ntz
 from tidewatch.operators.running import position_in_group, running_max
 from tidewatch.workspace import written
 
-# Polls of one seed are carried in blocks of this many bits (4,096 polls).
+# Polls of one seed are carried in blocks of 2 ** 12 = 4,096; one level of blocks is enough,
+# as a poll a second for ten years makes 77,000 of them.
 POLL_BLOCK_BITS = 12
 
 
@@ -114,6 +115,7 @@ def with_running_state(summary: DataFrame) -> DataFrame:
         },
         before={"wm_before": F.col("candidate")},
         block_bits=POLL_BLOCK_BITS,
+        levels=1,
     )
     first_poll = summary.groupBy("seed").agg(F.min("poll_ts").alias("_first_poll_ts"))
     return (

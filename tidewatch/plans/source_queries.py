@@ -13,7 +13,7 @@ DEDUP_SOURCES = ("click", "purchase", "signup")
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.source_records(spark, sf_dir)
+    return tables.records_of(tables.events(spark, sf_dir))
 
 
 def source_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,8 @@ def source_split_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.resume(_records(spark, sf_dir), tables.checkpoints(spark, sf_dir)).select(*RECORD)
+    records = _records(spark, sf_dir)
+    return ops.resume(records, tables.checkpoints(records)).select(*RECORD)
 
 
 def source_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,14 +42,14 @@ def source_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = tables.table(spark, sf_dir, "events").select(
+    events = tables.events(spark, sf_dir).select(
         F.col("event_id").alias("off"), "value", F.col("ts").alias("event_ts")
     )
     return ops.union_sources({"events": events, "empty": ops.empty_source(spark, events.schema)})
 
 
 def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = tables.table(spark, sf_dir, "events").select(
+    events = tables.events(spark, sf_dir).select(
         F.col("event_id").alias("off"),
         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("record_id"),
         "value",
@@ -64,12 +65,13 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.counting_source(spark, tables.table(spark, sf_dir, "events").count())
+    return ops.counting_source(spark, tables.events(spark, sf_dir).count())
 
 
 def source_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = ops.tag_record_ids(_records(spark, sf_dir), F.col("source_id").isin(*DEDUP_SOURCES))
-    return ops.backlog_bytes(tagged, tables.checkpoints(spark, sf_dir), F.octet_length("record_id"))
+    records = _records(spark, sf_dir)
+    tagged = ops.tag_record_ids(records, F.col("source_id").isin(*DEDUP_SOURCES))
+    return ops.backlog_bytes(tagged, tables.checkpoints(records), F.octet_length("record_id"))
 
 
 def source_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +86,8 @@ def source_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_watermark_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.resume_watermark(_records(spark, sf_dir), tables.checkpoints(spark, sf_dir)).select(
+    records = _records(spark, sf_dir)
+    return ops.resume_watermark(records, tables.checkpoints(records)).select(
         "source_id", "split_id", "arrival_no", "source_wm", "watermark"
     )
 
@@ -102,7 +105,8 @@ def source_offset_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.progress(_records(spark, sf_dir), tables.checkpoints(spark, sf_dir))
+    records = _records(spark, sf_dir)
+    return ops.progress(records, tables.checkpoints(records))
 
 
 QUERIES = {

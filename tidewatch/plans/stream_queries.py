@@ -25,8 +25,7 @@ STEP = 7
 
 
 def _event_stream(session: SparkSession, sf_dir: str) -> DataFrame:
-    schema = tables.table(session, sf_dir, "events").schema
-    return session.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return session.readStream.schema(tables.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 # --- sources -----------------------------------------------------------------
@@ -36,7 +35,7 @@ def source_read_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read through the split source contract."""
     session = stream_session(spark)
     session.dataSource.register(ParquetRowsSource)
-    schema = tables.table(session, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value").schema
+    schema = tables.events(session, sf_dir).select("event_id", "ts", "user_id", "event_type", "value").schema
     events = (
         session.readStream.format("parquet_rows").schema(schema).option("path", f"{sf_dir}/events.parquet").load()
     )
@@ -52,7 +51,7 @@ def source_native_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_counting_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = stream_session(spark)
     session.dataSource.register(CountingSource)
-    n = tables.table(spark, sf_dir, "events").count()
+    n = tables.events(spark, sf_dir).count()
     numbers = (
         session.readStream.format("counting_source").option("maxCount", n).option("numSplits", tables.SPLITS).load()
     )
@@ -80,22 +79,22 @@ def source_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_read_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters that the stream reports while it reads, one row per batch with data."""
+    """Counters that the stream reports while it reads, over all its batches."""
     session = stream_session(spark)
     records = tables.records_of(_event_stream(session, sf_dir))
     counted = records.observe(
         "read",
         F.count("*").alias("n_records"),
+        F.count_if("terminal").alias("n_terminal"),
         F.max("off").alias("last_off"),
         F.max(F.unix_micros(F.col("event_ts").cast("timestamp"))).alias("last_event_us"),
-        F.count_if("terminal").alias("n_terminal"),
     )
-    root = new_folder(spark, "source-metrics")
-    query = write_available(counted, root)
-    seen = [p.observedMetrics["read"] for p in query.recentProgress if "read" in p.observedMetrics]
-    names = ("n_records", "last_off", "last_event_us", "n_terminal")
-    rows = [tuple(metrics[name] for name in names) for metrics in seen if metrics["n_records"]]
-    return spark.createDataFrame(rows, ", ".join(f"{name} bigint" for name in names))
+    query = write_available(counted, new_folder(spark, "source-metrics"))
+    batches = [p.observedMetrics["read"] for p in query.recentProgress if "read" in p.observedMetrics]
+    batches = [b for b in batches if b["n_records"]]
+    row = [sum(b[c] for b in batches) for c in ("n_records", "n_terminal")]
+    row += [max((b[c] for b in batches), default=None) for c in ("last_off", "last_event_us")]
+    return spark.createDataFrame([row], "n_records bigint, n_terminal bigint, last_off bigint, last_event_us bigint")
 
 
 # --- watch -------------------------------------------------------------------
@@ -111,7 +110,7 @@ def watch_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def watch_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log is written by poll, then worked off in steps of seven polls."""
     root = new_folder(spark, "watch-incremental")
-    outputs = tables.poll_outputs(spark, sf_dir)
+    outputs = tables.poll_outputs(tables.events(spark, sf_dir))
     outputs.repartitionByRange("poll_no", "pos").write.partitionBy("poll_no").parquet(f"{root}/log")
     log = spark.read.schema(outputs.schema).parquet(f"{root}/log")
     for after in range(0, tables.LAST_POLL, STEP):
@@ -123,7 +122,7 @@ def snapshot_poll(sf_dir: str, changed_answer: bool = False):
     """A poll of all seeds in one job: every event up to the poll's day, as a full listing."""
 
     def poll(seeds: DataFrame, poll_no: int, poll_ts: datetime) -> DataFrame:
-        events = tables.table(seeds.sparkSession, sf_dir, "events")
+        events = tables.events(seeds.sparkSession, sf_dir)
         known = events.filter(tables.day_no("ts") <= poll_no * SNAPSHOT_DAYS)
         if changed_answer:
             known = known.withColumn("user_id", -F.col("user_id") - 1)
@@ -155,7 +154,7 @@ def _snapshot_spec(sf_dir: str) -> WatchSpec:
 
 
 def _snapshot_ticks(spark: SparkSession, sf_dir: str, root: str, spec: WatchSpec) -> ticks.Ticks:
-    return ticks.Ticks(spark, spec, lambda s: tables.seeds(s, sf_dir), root, snapshot_clock)
+    return ticks.Ticks(spark, spec, lambda s: tables.seeds(tables.events(s, sf_dir)), root, snapshot_clock)
 
 
 def watch_live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +182,7 @@ def watch_files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that appear in a folder in two waves; the stream restarts in between."""
     session = stream_session(spark)
     root = new_folder(spark, "watch-files")
-    events = tables.table(spark, sf_dir, "events").withColumn("day", tables.day_no("ts"))
+    events = tables.events(spark, sf_dir).withColumn("day", tables.day_no("ts"))
     for first_day, last_day in ((1, 15), (16, tables.LAST_POLL)):
         wave = events.filter(F.col("day").between(first_day, last_day))
         wave.select("event_type", "event_id", "day").repartition("event_type", "day").write.mode("append").partitionBy(

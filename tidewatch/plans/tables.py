@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +18,32 @@ SPLITS = 4
 REDELIVERED_SHIFT = 1_000_000_000_000
 
 
+# Declared, so that reading starts no job to find the types out.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events")
+
+
+def over_events(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A registered query from a function of the events table, which it opens once."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(events(spark, sf_dir))
+
+    return run
 
 
 def day_no(ts: Column | str) -> Column:
@@ -28,8 +55,8 @@ def after_days(n: Column | str) -> Column:
     return ntz(T0) + F.make_dt_interval(F.col(n) if isinstance(n, str) else n)
 
 
-def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "events").select(F.col("event_type").alias("seed")).distinct()
+def seeds(events: DataFrame) -> DataFrame:
+    names = events.select(F.col("event_type").alias("seed")).distinct()
     return names.select(
         "seed",
         ntz(T0).alias("added_at"),
@@ -37,9 +64,9 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def polls(events: DataFrame) -> DataFrame:
     """One poll per seed and day; some report a watermark, one that falls, one completes."""
-    numbered = seeds(spark, sf_dir).select(
+    numbered = seeds(events).select(
         "seed", F.explode(F.sequence(F.lit(1), F.lit(LAST_POLL))).alias("poll_no")
     )
     no = F.col("poll_no")
@@ -66,13 +93,13 @@ def outputs_of(events: DataFrame) -> DataFrame:
     return rows.filter(~((F.col("seed") == "signup") & (F.col("poll_no") % 6 == 0)))
 
 
-def poll_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outputs_of(table(spark, sf_dir, "events")).drop("props")
+def poll_outputs(events: DataFrame) -> DataFrame:
+    return outputs_of(events).drop("props")
 
 
-def poll_outputs_with_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+def poll_outputs_with_props(events: DataFrame) -> DataFrame:
     """The same log with a JSON document as value."""
-    return outputs_of(table(spark, sf_dir, "events")).drop("value").withColumnRenamed("props", "value")
+    return outputs_of(events).drop("value").withColumnRenamed("props", "value")
 
 
 def records_of(events: DataFrame) -> DataFrame:
@@ -93,13 +120,9 @@ def records_of(events: DataFrame) -> DataFrame:
     )
 
 
-def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records_of(table(spark, sf_dir, "events"))
-
-
-def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+def checkpoints(records: DataFrame) -> DataFrame:
     """Where each split stopped last time: at two fifths of its offsets."""
-    return source_records(spark, sf_dir).groupBy("source_id", "split_id").agg(
+    return records.groupBy("source_id", "split_id").agg(
         F.floor(F.max("off") * F.lit(0.4).cast("decimal(2,1)")).cast("long").alias("off"),
         F.max(F.when(F.col("off") < 100, F.col("source_wm"))).alias("watermark"),
     )

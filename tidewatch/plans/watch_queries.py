@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import termination as term
@@ -33,101 +33,101 @@ QUIET_POLL = term.custom(lambda: (F.col("n_new") == 0) & (F.col("poll_no") % 4 =
 CAP = 50
 
 
-def _fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_seen(tables.poll_outputs(spark, sf_dir))
+def _fresh(events: DataFrame) -> DataFrame:
+    return first_seen(tables.poll_outputs(events))
 
 
-def _new_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_discovery_time(_fresh(spark, sf_dir), tables.polls(spark, sf_dir))
+def _new_outputs(events: DataFrame) -> DataFrame:
+    found = with_discovery_time(_fresh(events), tables.polls(events))
     return found.withColumn("key_hash", key_digest("value"))
 
 
-def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return poll_summary(tables.seeds(spark, sf_dir), tables.polls(spark, sf_dir), _fresh(spark, sf_dir))
+def _summary(events: DataFrame) -> DataFrame:
+    return poll_summary(tables.seeds(events), tables.polls(events), _fresh(events))
 
 
-def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_running_state(_summary(spark, sf_dir))
+def _state(events: DataFrame) -> DataFrame:
+    return with_running_state(_summary(events))
 
 
-def watch_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize(tables.polls(spark, sf_dir), tables.poll_outputs(spark, sf_dir))
+def watch_normalize(events: DataFrame) -> DataFrame:
+    return normalize(tables.polls(events), tables.poll_outputs(events))
 
 
-def watch_discovery_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_discovery_time(tables.poll_outputs(spark, sf_dir), tables.polls(spark, sf_dir))
+def watch_discovery_time(events: DataFrame) -> DataFrame:
+    return with_discovery_time(tables.poll_outputs(events), tables.polls(events))
 
 
-def watch_key_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.poll_outputs(spark, sf_dir).select(
+def watch_key_digest(events: DataFrame) -> DataFrame:
+    return tables.poll_outputs(events).select(
         "seed", "poll_no", "pos",
         key_digest("value").alias("key_hash"),
         key_digest("seed", "value").alias("pair_hash"),
     )
 
 
-def watch_poll_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_in_poll(tables.poll_outputs(spark, sf_dir))
+def watch_poll_dedup(events: DataFrame) -> DataFrame:
+    return first_in_poll(tables.poll_outputs(events))
 
 
-def watch_new_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+def watch_new_by_key(events: DataFrame) -> DataFrame:
     by_field = Watch.growth_of().with_output_key(lambda v: F.get_json_object(v, "$.k")).with_key_type("int")
-    outputs, key = by_field.keyed(tables.poll_outputs_with_props(spark, sf_dir))
+    outputs, key = by_field.keyed(tables.poll_outputs_with_props(events))
     return first_seen(outputs, key).select("seed", "key", "poll_no", "pos", "value")
 
 
-def watch_emit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_discovery_time(_fresh(spark, sf_dir), tables.polls(spark, sf_dir))
+def watch_emit_order(events: DataFrame) -> DataFrame:
+    found = with_discovery_time(_fresh(events), tables.polls(events))
     return with_emit_order(found)
 
 
-def watch_poll_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summary(spark, sf_dir).select("seed", "poll_no", "n_new", "candidate", "done")
+def watch_poll_watermark(events: DataFrame) -> DataFrame:
+    return _summary(events).select("seed", "poll_no", "n_new", "candidate", "done")
 
 
-def watch_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _state(spark, sf_dir).select("seed", "poll_no", F.col("wm").alias("watermark"))
+def watch_watermark(events: DataFrame) -> DataFrame:
+    return _state(events).select("seed", "poll_no", F.col("wm").alias("watermark"))
 
 
-def watch_watermark_initial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _state(spark, sf_dir).select("seed", "poll_no", initial_watermark("wm").alias("watermark"))
+def watch_watermark_initial(events: DataFrame) -> DataFrame:
+    return _state(events).select("seed", "poll_no", initial_watermark("wm").alias("watermark"))
 
 
-def watch_reported_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = _state(spark, sf_dir)
+def watch_reported_watermark(events: DataFrame) -> DataFrame:
+    state = _state(events)
     return reported_watermarks(state, stops(state, MIXED))
 
 
-def watch_complete_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stop_at = stops(_state(spark, sf_dir), term.never())
-    return until_stop(_fresh(spark, sf_dir), stop_at).select("seed", "poll_no", "pos", "value", "stop_at")
+def watch_complete_stop(events: DataFrame) -> DataFrame:
+    stop_at = stops(_state(events), term.never())
+    return until_stop(_fresh(events), stop_at).select("seed", "poll_no", "pos", "value", "stop_at")
 
 
-def watch_stop_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stops(_state(spark, sf_dir), MIXED)
+def watch_stop_at(events: DataFrame) -> DataFrame:
+    return stops(_state(events), MIXED)
 
 
-def watch_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def watch_growth(events: DataFrame) -> DataFrame:
     spec = Watch.growth_of().with_termination_per_input(MIXED).with_max_completed_size(None)
     return spec.over_log(
-        tables.seeds(spark, sf_dir), tables.polls(spark, sf_dir), tables.poll_outputs(spark, sf_dir)
+        tables.seeds(events), tables.polls(events), tables.poll_outputs(events)
     ).outputs
 
 
-def watch_bounded_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bounded_first_seen(tables.poll_outputs(spark, sf_dir), tables.polls(spark, sf_dir), CAP)
+def watch_bounded_seen(events: DataFrame) -> DataFrame:
+    return bounded_first_seen(tables.poll_outputs(events), tables.polls(events), CAP)
 
 
-def watch_bounded_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def watch_bounded_growth(events: DataFrame) -> DataFrame:
     spec = Watch.growth_of().with_termination_per_input(MIXED).with_max_completed_size(CAP)
     return spec.over_log(
-        tables.seeds(spark, sf_dir), tables.polls(spark, sf_dir), tables.poll_outputs(spark, sf_dir)
+        tables.seeds(events), tables.polls(events), tables.poll_outputs(events)
     ).outputs
 
 
 def _stop_query(condition: term.Termination):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _state(spark, sf_dir).select("seed", "poll_no", condition.stop().alias("stop"))
+    def run(events: DataFrame) -> DataFrame:
+        return _state(events).select("seed", "poll_no", condition.stop().alias("stop"))
 
     return run
 
@@ -157,6 +157,7 @@ QUERIES = {
     "watch_bounded_seen": watch_bounded_seen,
     "watch_bounded_growth": watch_bounded_growth,
 }
+QUERIES = {name: tables.over_events(query) for name, query in QUERIES.items()}
 
 # ---------------------------------------------------------------------------
 # SQL

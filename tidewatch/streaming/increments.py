@@ -26,5 +26,6 @@ def extend(outputs: DataFrame, root: str, after: int, upto: int, key: Sequence[s
 
 def found(outputs: DataFrame, root: str, upto: int) -> DataFrame:
     """The new outputs of all steps up to poll ``upto``."""
-    every = outputs.sparkSession.read.parquet(f"{root}/fresh")
+    schema = outputs.schema.add("upto", "int")
+    every = outputs.sparkSession.read.schema(schema).parquet(f"{root}/fresh")
     return every.filter(F.col("upto") <= upto).select(*outputs.columns)

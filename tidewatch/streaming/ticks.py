@@ -117,6 +117,7 @@ class Ticks:
             stamped = rows.withColumn("poll_ts", F.lit(poll_ts.isoformat(" ")).cast("timestamp_ntz"))
             stamped.write.mode("overwrite").parquet(folder)
             self._mark("ledger", poll_no)
+            return self.spark.read.schema(stamped.schema).parquet(folder)
         return self.spark.read.parquet(folder)
 
     def _mark(self, table: str, poll_no: int) -> None:
@@ -150,7 +151,8 @@ class Ticks:
             return admit(listed, self._memory(poll_no - 1))
         if self.spec.max_completed_size == 0 or poll_no == 1:
             return listed
-        seen = self.emitted().filter(F.col("poll_no") < poll_no)
+        keys = self.spark.read.schema("seed string, key_hash string, poll_no int").parquet(f"{self.root}/fresh")
+        seen = keys.filter(F.col("poll_no") < poll_no)
         return not_seen_before(listed, seen, ["key_hash"])
 
     def _status_after(self, watched: DataFrame, raw: DataFrame, fresh: DataFrame, before: DataFrame) -> DataFrame:
