@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidewatch.operators.first_seen import first_seen, not_seen_before
 
@@ -26,6 +27,6 @@ def extend(outputs: DataFrame, root: str, after: int, upto: int, key: Sequence[s
 
 def found(outputs: DataFrame, root: str, upto: int) -> DataFrame:
     """The new outputs of all steps up to poll ``upto``."""
-    schema = outputs.schema.add("upto", "int")
+    schema = StructType([*outputs.schema.fields, StructField("upto", IntegerType())])
     every = outputs.sparkSession.read.schema(schema).parquet(f"{root}/fresh")
     return every.filter(F.col("upto") <= upto).select(*outputs.columns)
