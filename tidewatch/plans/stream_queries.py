@@ -14,7 +14,7 @@ from tidewatch.plans.spec import Watch, WatchSpec
 from tidewatch.plans.watch_queries import LOG_SQL
 from tidewatch.sources import CountingSource, EmptySource, ParquetRowsSource
 from tidewatch.streaming import dedup, files, ticks
-from tidewatch.streaming.increments import extend
+from tidewatch.streaming.increments import extend, follow, found
 from tidewatch.streaming.run import drained, stream_session, write_available
 from tidewatch.workspace import new_folder
 
@@ -118,6 +118,19 @@ def watch_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result
 
 
+def watch_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The poll log arrives in two waves and is followed as a stream, which restarts in between."""
+    session = stream_session(spark)
+    root = new_folder(spark, "watch-log")
+    outputs = tables.poll_outputs(tables.events(spark, sf_dir))
+    for first, last in ((1, 15), (16, tables.LAST_POLL)):
+        wave = outputs.filter(F.col("poll_no").between(first, last))
+        wave.write.mode("append").parquet(f"{root}/log")
+        log = session.readStream.schema(outputs.schema).parquet(f"{root}/log")
+        follow(log, f"{root}/watch").awaitTermination()
+    return found(outputs, f"{root}/watch")
+
+
 def snapshot_poll(sf_dir: str, changed_answer: bool = False):
     """A poll of all seeds in one job: every event up to the poll's day, as a full listing."""
 
@@ -178,6 +191,32 @@ def watch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.emitted().select("seed", "poll_no", "pos", "value", "discovered_ts")
 
 
+class Harvests(term.StatefulTermination):
+    """Stop after three polls that had new outputs."""
+
+    name = "harvests"
+
+    def for_new_input(self, now: datetime, seed: str) -> int:
+        return 0
+
+    def on_seen_new_output(self, now: datetime, state: int) -> int:
+        return state + 1
+
+    def can_stop_polling(self, now: datetime, state: int) -> bool:
+        return state >= 3
+
+
+def term_custom_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A live watch whose stop condition keeps a state of its own per seed."""
+    spec = _snapshot_spec(sf_dir).with_termination_per_input(
+        term.either_of(Harvests(), term.after_iterations(SNAPSHOTS))
+    )
+    watch = _snapshot_ticks(spark, sf_dir, new_folder(spark, "watch-custom"), spec)
+    for poll_no in range(1, SNAPSHOTS + 1):
+        watch.tick(poll_no)
+    return watch.emitted().select("seed", "poll_no", "pos", "value", "discovered_ts")
+
+
 def watch_files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that appear in a folder in two waves; the stream restarts in between."""
     session = stream_session(spark)
@@ -204,7 +243,9 @@ QUERIES = {
     "source_read_metrics": source_read_metrics,
     "watch_dedup_stream": watch_dedup_stream,
     "watch_incremental": watch_incremental,
+    "watch_log_stream": watch_log_stream,
     "watch_replay": watch_replay,
+    "term_custom_live": term_custom_live,
     "watch_live_stream": watch_live_stream,
     "watch_files_stream": watch_files_stream,
 }
@@ -220,6 +261,11 @@ select event_type as seed, cast(ceil((date_diff('day', date '2024-01-01', cast(t
 from (select *, row_number() over (partition by event_type, user_id order by event_id) as rn from events)
 where rn = 1"""
 
+FIRST_SEEN_SQL = LOG_SQL + """
+select seed, poll_no, pos, value, event_ts
+from (select *, row_number() over (partition by seed, value order by poll_no, pos) as rn from poll_outputs)
+where rn = 1"""
+
 ORACLES = {
     "source_read_stream": RECORDS_SQL + "select * from source_records",
     "source_native_stream": RECORDS_SQL + "select * from source_records",
@@ -237,10 +283,16 @@ select count(*) as n_records, max(off) as last_off, epoch_us(max(event_ts)) as l
        count(*) filter (where terminal) as n_terminal
 from source_records""",
     "watch_dedup_stream": LOG_SQL + "select distinct seed, value from poll_outputs",
-    "watch_incremental": LOG_SQL + """
-select seed, poll_no, pos, value, event_ts
-from (select *, row_number() over (partition by seed, value order by poll_no, pos) as rn from poll_outputs)
-where rn = 1""",
+    "watch_incremental": FIRST_SEEN_SQL,
+    "watch_log_stream": FIRST_SEEN_SQL,
+    "term_custom_live": f"""
+with fresh as ({SNAPSHOT_SQL}),
+polls as (select seed, poll_no, count(f.value) as n_new
+          from (select distinct seed from fresh) s cross join (select cast(unnest(range(1, 5)) as int) as poll_no) n
+          left join fresh f using (seed, poll_no) group by seed, poll_no),
+harvests as (select *, sum(cast(n_new > 0 as int)) over (partition by seed order by poll_no) as had from polls),
+stops as (select seed, min(poll_no) as stop_at from harvests where had >= 3 or poll_no = 4 group by seed)
+select f.* from fresh f join stops s on f.seed = s.seed where f.poll_no <= s.stop_at""",
     "watch_replay": SNAPSHOT_SQL,
     "watch_live_stream": SNAPSHOT_SQL,
     "watch_files_stream": """

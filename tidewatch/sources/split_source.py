@@ -37,7 +37,11 @@ class SplitSource(DataSource):
 
     @abstractmethod
     def splits(self) -> list[str]:
-        """Names of the splits.  If this fails, the source is read as one split."""
+        """Names of the splits.  If this fails, the source is read as one split.
+
+        A split keeps its name and its records for good, since saved offsets refer to
+        them; new splits may be added.
+        """
 
     @abstractmethod
     def latest(self, split: str) -> int:

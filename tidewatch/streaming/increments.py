@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidewatch.operators.first_seen import first_seen, not_seen_before
@@ -17,16 +18,41 @@ def extend(outputs: DataFrame, root: str, after: int, upto: int, key: Sequence[s
     Reads only those polls of the log, which should be partitioned by ``poll_no``, and
     the results of earlier steps.  Repeating a step overwrites it with the same rows.
     """
-    step = outputs.filter((F.col("poll_no") > after) & (F.col("poll_no") <= upto))
-    new = first_seen(step, key)
-    if after > 0:
-        new = not_seen_before(new, found(outputs, root, after), key)
-    new.write.mode("overwrite").parquet(f"{root}/fresh/upto={upto}")
+    polls = outputs.filter((F.col("poll_no") > after) & (F.col("poll_no") <= upto))
+    _add_step(polls, root, upto, key, first=after == 0)
     return found(outputs, root, upto)
 
 
-def found(outputs: DataFrame, root: str, upto: int) -> DataFrame:
-    """The new outputs of all steps up to poll ``upto``."""
-    schema = StructType([*outputs.schema.fields, StructField("upto", IntegerType())])
+def follow(log: DataFrame, root: str, key: Sequence[str] = ("value",)) -> StreamingQuery:
+    """Work off a streaming poll log: each micro-batch is one step of :func:`extend`.
+
+    Takes what is available now and stops; started again on the same ``root`` it goes on.
+    Within a batch the first output by poll and position counts, across batches the one
+    that arrived first.  A batch that is run again overwrites its own step.
+    """
+    return (
+        log.writeStream.foreachBatch(lambda batch, batch_id: _add_step(batch, root, batch_id, key, batch_id == 0))
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def found(outputs: DataFrame, root: str, upto: int | None = None) -> DataFrame:
+    """The new outputs of all steps, or of those up to ``upto``, as columns of ``outputs``."""
+    schema = StructType([*outputs.schema.fields, StructField("step", IntegerType())])
     every = outputs.sparkSession.read.schema(schema).parquet(f"{root}/fresh")
-    return every.filter(F.col("upto") <= upto).select(*outputs.columns)
+    if upto is not None:
+        every = every.filter(F.col("step") <= upto)
+    return every.select(*outputs.columns)
+
+
+def _add_step(outputs: DataFrame, root: str, step: int, key: Sequence[str], first: bool) -> None:
+    new = first_seen(outputs, key)
+    if not first:
+        # Written first: the comparison with history reads it twice, the log only once.
+        listed = f"{root}/listed/step={step}"
+        new.write.mode("overwrite").parquet(listed)
+        new = outputs.sparkSession.read.schema(outputs.schema).parquet(listed)
+        new = not_seen_before(new, found(outputs, root, step - 1), key)
+    new.write.mode("overwrite").parquet(f"{root}/fresh/step={step}")
