@@ -67,6 +67,7 @@ class Ticks:
         if spec.poll_fn is None:
             raise ValueError("a live watch needs a poll_fn")
         self.spark, self.spec, self.seeds, self.root, self.clock = spark, spec, seeds, root, clock
+        self._polled: int | None = None  # the last poll in the ledger, once looked up
 
     def emitted(self) -> DataFrame:
         """Every new output so far."""
@@ -95,7 +96,7 @@ class Ticks:
 
     def next_poll(self) -> int:
         """The poll that comes after the last complete tick."""
-        return max(self._marks("done"), default=0) + 1
+        return self._last_mark("done") + 1
 
     @property
     def _remembers(self) -> bool:
@@ -111,28 +112,30 @@ class Ticks:
 
     def _poll_once(self, watched: DataFrame, poll_no: int) -> DataFrame:
         folder = self._folder("raw", poll_no)
-        if poll_no > max(self._marks("ledger"), default=0):
+        if self._polled is None:
+            self._polled = self._last_mark("ledger")
+        if poll_no > self._polled:
             poll_ts = self.clock(poll_no)
             rows = self.spec.poll_fn(watched, poll_no, poll_ts)
             stamped = rows.withColumn("poll_ts", F.lit(poll_ts.isoformat(" ")).cast("timestamp_ntz"))
             stamped.write.mode("overwrite").parquet(folder)
             self._mark("ledger", poll_no)
+            self._polled = poll_no
             return self.spark.read.schema(stamped.schema).parquet(folder)
         return self.spark.read.parquet(folder)
 
     def _mark(self, table: str, poll_no: int) -> None:
         self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(self._folder(table, poll_no))
 
-    def _marks(self, table: str) -> list[int]:
-        """The latest marked poll of a table, if there is one."""
+    def _last_mark(self, table: str) -> int:
+        """The latest marked poll of a table, or 0."""
         try:
             marked = self.spark.read.schema("id bigint, poll_no int").parquet(f"{self.root}/{table}")
         except AnalysisException as missing:
             if missing.getCondition() == "PATH_NOT_FOUND":
-                return []
+                return 0
             raise
-        last = marked.agg(F.max("poll_no")).first()[0]
-        return [] if last is None else [last]
+        return marked.agg(F.max("poll_no")).first()[0] or 0
 
     def _memory(self, poll_no: int) -> DataFrame:
         if poll_no < 1:
