@@ -67,7 +67,6 @@ class Ticks:
         if spec.poll_fn is None:
             raise ValueError("a live watch needs a poll_fn")
         self.spark, self.spec, self.seeds, self.root, self.clock = spark, spec, seeds, root, clock
-        self._polled: int | None = None  # the last poll in the ledger, once looked up
 
     def emitted(self) -> DataFrame:
         """Every new output so far."""
@@ -112,15 +111,12 @@ class Ticks:
 
     def _poll_once(self, watched: DataFrame, poll_no: int) -> DataFrame:
         folder = self._folder("raw", poll_no)
-        if self._polled is None:
-            self._polled = self._last_mark("ledger")
-        if poll_no > self._polled:
+        if poll_no > self._last_mark("ledger"):
             poll_ts = self.clock(poll_no)
             rows = self.spec.poll_fn(watched, poll_no, poll_ts)
             stamped = rows.withColumn("poll_ts", F.lit(poll_ts.isoformat(" ")).cast("timestamp_ntz"))
             stamped.write.mode("overwrite").parquet(folder)
             self._mark("ledger", poll_no)
-            self._polled = poll_no
             return self.spark.read.schema(stamped.schema).parquet(folder)
         return self.spark.read.parquet(folder)
 
