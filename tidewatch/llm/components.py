@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.workspace import written
 
 
+def local_roots(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The lowest index that each of ``count`` nodes reaches over links that one task holds."""
+    root = np.arange(count)
+    while True:
+        before = root.copy()
+        low = np.minimum(root[left], root[right])
+        for end in (root[left], root[right], left, right):
+            np.minimum.at(root, end, low)
+        root = root[root]
+        if np.array_equal(before, root):
+            return root
+
+
 def _state(edges: DataFrame) -> tuple:
     """Enough to tell whether a round changed the edges: how many, and a sum over them."""
     found = edges.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()

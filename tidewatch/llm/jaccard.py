@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import same, ship, words_of
-from tidewatch.llm.components import components
+from tidewatch.llm.components import components, local_roots
 from tidewatch.workspace import written
 
 NGRAM = 5
@@ -121,21 +121,6 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, digest binary, size long, bands array<long>")
 
 
-def _roots(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The lowest index that each of ``count`` nodes reaches over the given links."""
-    root = np.arange(count)
-    while True:
-        low = np.minimum(root[left], root[right])
-        before = root.copy()
-        np.minimum.at(root, root[left], low)
-        np.minimum.at(root, root[right], low)
-        np.minimum.at(root, left, low)
-        np.minimum.at(root, right, low)
-        root = root[root]
-        if np.array_equal(before, root):
-            return root
-
-
 def _overlaps(grams: list[np.ndarray]) -> np.ndarray:
     """How many n-grams each two texts share."""
     owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -169,7 +154,7 @@ def _verified(rows: pd.DataFrame, n: int, threshold: float) -> Iterator[tuple]:
         links &= tile[:, None] != tile[None, :]  # pairs within a tile belong to its own block
     counts = links @ copies
     left, right = np.nonzero(np.triu(links))
-    root = _roots(len(ids), left, right)
+    root = local_roots(len(ids), left, right)
     for at in np.flatnonzero(counts):
         yield int(ids[at]), int(counts[at]), int(ids[root[at]])
 
