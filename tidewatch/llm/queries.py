@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, embeddings, extract, hosts, jaccard, mixing, quality, rules, secrets, warc
 from tidewatch.llm.common import table
+from tidewatch.llm.sql import ORACLES as ORACLES
 from tidewatch.workspace import new_folder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -114,5 +115,3 @@ QUERIES = {
     "op9_main_text": op9_main_text,
     "op10_quality": op10_quality,
 }
-
-ORACLES: dict[str, str] = {}

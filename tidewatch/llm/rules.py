@@ -26,13 +26,15 @@ MAX_REPEAT_PERCENT = 50
 #: Trees, rows for each, and the labelled rows they are drawn from (those with the lowest
 #: hash of their id); of the sample, at most this share has label 0, so that these are few.
 TREES, TREE_ROWS, SAMPLE_ROWS, BAD_SHARE = 100, 256, 4096, 0.03
+#: Shares of capitals among the characters, and of repeated words, that are common in good text.
+USUAL = 0.2, 0.3
 #: Largest share of good labelled rows that the threshold may reject.
 MAX_GOOD_LOSS = 0.002
 #: Scores are compared in steps of this size.
 STEP = 1e-4
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE = ("n_capitals", "n_marked_words", "n_distinct_words")
+MORE = ("n_capitals", "n_marked_words")
 
 _SPACE = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -62,7 +64,7 @@ def statistics(text: str | None) -> tuple[int, ...]:
     words = words_of(text)
     symbols = sum(map(text.count, _SYMBOLS))
     if not words:
-        return (0, 0, symbols, *[0] * 5)
+        return (0, 0, symbols, *[0] * 4)
     seen: set[str] = set()
     repeated_lines = 0
     if "\n" in text:
@@ -86,7 +88,7 @@ def statistics(text: str | None) -> tuple[int, ...]:
     capitals = sum(map(str.isupper, text))
     return (
         len(words), len(text) - sum(map(text.count, _SPACE)), symbols, repeated_lines, covered,
-        capitals, int((hashed & np.uint64(1)).sum()), len(np.unique(hashed)),
+        capitals, int((hashed & np.uint64(1)).sum()),
     )
 
 
@@ -110,17 +112,16 @@ def base_failed() -> F.Column:
 
 
 def measures(rows: pd.DataFrame) -> np.ndarray:
-    """What the trees split on: ratios of the statistics, which don't depend on a text's length."""
+    """What the trees split on: shares that are 0, or nearly so, for ordinary text of any length.
+
+    Symbols beside words, words that end in a doubled sign, and what the shares of capitals
+    and of repeated words have beyond ``USUAL``.
+    """
     words = np.maximum(1, rows["n_words"].to_numpy())
-    characters = np.maximum(1, rows["word_chars"].to_numpy())
-    return np.column_stack([
-        characters / words,
-        rows["n_symbols"].to_numpy() / words,
-        rows["n_repeat_words"].to_numpy() / words,
-        rows["n_dup_lines"].to_numpy() / words,
-        rows["n_capitals"].to_numpy() / characters,
-        rows["n_marked_words"].to_numpy() / words,
-    ]).astype(np.float64)
+    symbols = rows["n_symbols"].to_numpy()
+    shares = rows["n_capitals"].to_numpy() / np.maximum(1, rows["word_chars"].to_numpy()), rows["n_repeat_words"].to_numpy() / words
+    beyond = [np.maximum(0.0, share - usual) for share, usual in zip(shares, USUAL)]
+    return np.column_stack([symbols / (symbols + words), rows["n_marked_words"].to_numpy() / words, *beyond])
 
 
 def _mean_path(rows: np.ndarray | float) -> np.ndarray:
