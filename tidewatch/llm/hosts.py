@@ -4,7 +4,7 @@ Labelled pages are counted by host.  A host's share of good pages has a beta pri
 mean is its registered domain's posterior mean, the domain's prior comes from its public
 suffix, and the suffix's from all pages.  How strong the priors are is estimated on each
 level from how much the children of a parent differ beyond chance (Pearson's statistic of
-the beta-binomial).  A host is blocked if even the upper bound of its posterior is
+the beta-binomial), and is at most that of the parent's own posterior.  A host is blocked if even the upper bound of its posterior is
 below the wanted share.  All of it is aggregations and joins of DataFrames.
 """
 
@@ -88,8 +88,10 @@ def _strength(children: DataFrame) -> float:
 
 
 def _with_posterior(level: DataFrame, strength: float) -> DataFrame:
-    mean = (F.lit(strength) * F.col("prior") + F.col("good")) / (F.lit(strength) + F.col("n"))
-    return level.withColumn("posterior", mean).withColumn("weight", F.lit(strength) + F.col("n"))
+    """Add ``posterior`` and ``weight``, the pages it stands for; a prior is never surer than its parent."""
+    held = level.withColumn("_m", F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(strength), "backing")))
+    mean = (F.col("_m") * F.col("prior") + F.col("good")) / (F.col("_m") + F.col("n"))
+    return held.withColumn("posterior", mean).withColumn("weight", F.col("_m") + F.col("n")).drop("_m")
 
 
 def reputations(judged: DataFrame, bound: float = BOUND) -> DataFrame:
@@ -110,14 +112,16 @@ def reputations(judged: DataFrame, bound: float = BOUND) -> DataFrame:
     def below(level: DataFrame, parents: DataFrame, key: str) -> DataFrame:
         """Children with the raw share of their parent as ``mean`` and its posterior as ``prior``."""
         parent = parents.select(
-            key, F.when(F.col("n") > 0, F.col("good") / F.col("n")).alias("mean"), F.col("posterior").alias("prior")
+            key, F.when(F.col("n") > 0, F.col("good") / F.col("n")).alias("mean"), F.col("posterior").alias("prior"),
+            F.col("weight").alias("backing"),
         )
         return written(level.join(parent, key), f"{key}-children")
 
-    suffixes = counted("suffix").withColumn("mean", F.lit(overall)).withColumn("prior", F.lit(overall))
+    suffixes = counted("suffix").select("*", *[F.lit(overall).alias(c) for c in ("mean", "prior")])
+    suffixes = suffixes.withColumn("backing", F.lit(float(total or 0)))
     suffixes = written(_with_posterior(suffixes, _strength(suffixes)), "suffixes")
     domains = below(counted("suffix", "domain"), suffixes, "suffix")
-    domains = _with_posterior(domains, _strength(domains)).drop("mean", "prior")
+    domains = _with_posterior(domains, _strength(domains)).drop("mean", "prior", "backing")
     leaves = below(hosts, domains, "domain")
     leaves = _with_posterior(leaves, _strength(leaves))
     deviation = F.sqrt(F.col("posterior") * (1 - F.col("posterior")) / (F.col("weight") + 1))

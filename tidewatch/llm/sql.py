@@ -66,22 +66,28 @@ with split as (
          case when array_to_string(parts[-2:], '.') in ({_TWO_LABELS}) then array_to_string(parts[-2:], '.')
               else parts[-1] end as suffix
   from hosts
-), overall as (select case when sum(n) > 0 then sum(good) / sum(n) else 1.0 end as mean from named
+), overall as (select case when sum(n) > 0 then sum(good) / sum(n) else 1.0 end as mean, sum(n) as backing from named
 ), suffixes as (
-  select suffix, sum(n) as n, sum(good) as good, any_value(o.mean) as mean from named, overall o group by suffix
+  select suffix, sum(n) as n, sum(good) as good, any_value(o.mean) as mean, any_value(o.backing) as backing from named, overall o group by suffix
 ), suffix_m as ({_strength("suffixes")}
-), suffix_post as (select suffix, n, good, (m * mean + good) / (m + n) as posterior from suffixes, suffix_m
+), suffix_post as (
+  select suffix, n, good, (k * mean + good) / (k + n) as posterior, k + n as weight
+  from (select *, greatest(1.0, least(m, backing)) as k from suffixes, suffix_m)
 ), domains as (
-  select d.*, case when s.n > 0 then s.good / s.n end as mean, s.posterior as prior
+  select d.*, case when s.n > 0 then s.good / s.n end as mean, s.posterior as prior, s.weight as backing
   from (select suffix, domain, sum(n) as n, sum(good) as good from named group by suffix, domain) d
   join suffix_post s on s.suffix = d.suffix
 ), domain_m as ({_strength("domains")}
-), domain_post as (select domain, n, good, (m * prior + good) / (m + n) as posterior from domains, domain_m
+), domain_post as (
+  select domain, n, good, (k * prior + good) / (k + n) as posterior, k + n as weight
+  from (select *, greatest(1.0, least(m, backing)) as k from domains, domain_m)
 ), leaves as (
-  select h.host, h.n, h.good, case when d.n > 0 then d.good / d.n end as mean, d.posterior as prior
+  select h.host, h.n, h.good, case when d.n > 0 then d.good / d.n end as mean, d.posterior as prior, d.weight as backing
   from named h join domain_post d on d.domain = h.domain
 ), leaf_m as ({_strength("leaves")}
-), leaf_post as (select host, (m * prior + good) / (m + n) as p, m + n as weight from leaves, leaf_m
+), leaf_post as (
+  select host, (k * prior + good) / (k + n) as p, k + n as weight
+  from (select *, greatest(1.0, least(m, backing)) as k from leaves, leaf_m)
 ), upper_bound as (select host, p + 1.645 * sqrt(p * (1 - p) / (weight + 1)) as upper from leaf_post
 ), ruled as (
   select s.*, case
