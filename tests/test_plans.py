@@ -8,6 +8,7 @@ import pytest
 
 from tidewatch.operators import records as ops
 from tidewatch.operators.first_seen import first_in_poll, first_seen, not_seen_before
+from tidewatch.operators.polls import with_discovery_time
 from tidewatch.plans import source_queries, tables, watch_queries
 
 
@@ -55,10 +56,29 @@ def test_running_watermark_never_windows_a_whole_split(spark, sf_dir):
 def test_scans_are_pruned_and_filtered(spark, sf_dir):
     text = plan(ops.split_counts(tables.records_of(tables.events(spark, sf_dir))))
     assert "value" not in text.split("ReadSchema")[1] and "props" not in text
-    text = plan(ops.until_terminal(tables.records_of(tables.events(spark, sf_dir))))
+    text = plan(tables.records_of(tables.events(spark, sf_dir)).filter("terminal").select("arrival_no"))
     assert "GreaterThan(value,200.0)" in text and "EqualTo(event_type,purchase)" in text
 
 
+def test_records_are_not_shuffled_on_the_split(spark, sf_dir):
+    """With the threshold between the small tables and the records, only the small side moves."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        records = tables.records_of(tables.events(spark, sf_dir))
+        saved, polls = tables.checkpoints(records), tables.polls(tables.events(spark, sf_dir))
+        outputs = tables.poll_outputs(tables.events(spark, sf_dir))
+        for df in (
+            ops.resume(records, saved), ops.until_terminal(records), with_discovery_time(outputs, polls),
+            ops.with_checkpoint(records, saved),
+        ):
+            text = plan(df)
+            assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_dedup_by_id_is_one_shuffle(spark, sf_dir):
     text = plan(ops.dedup_by_id(tables.records_of(tables.events(spark, sf_dir))))
     assert text.count("Exchange") == 1 and "SortAggregate" not in text

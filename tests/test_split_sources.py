@@ -95,7 +95,9 @@ def test_large_split_is_read_by_many_tasks(spark, tmp_path):
 def test_unsplittable_is_read_as_one(spark, tmp_path):
     put(tmp_path, "a", "x")
     put(tmp_path, "b", "y")
-    write_available(lines(spark, tmp_path, unsplittable="yes"), f"{tmp_path}/out")
+    with pytest.raises(Exception, match="cannot split"):
+        write_available(lines(spark, tmp_path, unsplittable="yes"), f"{tmp_path}/failed")
+    write_available(lines(spark, tmp_path, unsplittable="yes", unsplit="true"), f"{tmp_path}/out")
     rows = spark.read.parquet(f"{tmp_path}/out/rows").collect()
     assert sorted((r.value, r.split) for r in rows) == [("x", "whole"), ("y", "whole")]
 
@@ -174,3 +176,32 @@ def test_parquet_ranges_cross_row_groups(tmp_path):
         batches = list(source.read_range(schema, split, start, end))
         assert [v for b in batches for v in b.column("a").to_pylist()] == list(range(start, end))
         assert all(b.schema.names == ["a"] for b in batches)
+
+
+def test_failing_listing_in_mid_stream_repeats_nothing(tmp_path):
+    """The error fails the batch, and a read cannot change between split and unsplit."""
+    from tidewatch.sources.split_source import _BatchReader, _StreamReader
+
+    class Shaky(CountingSource):
+        broken = False
+
+        def splits(self):
+            if self.broken:
+                raise RuntimeError("no listing")
+            return super().splits()
+
+        def latest(self, split):
+            return 7 if split == "whole" else super().latest(split)
+
+    source = Shaky({"maxCount": "10", "numSplits": "2"})
+    reader = _StreamReader(source, None)
+    start = reader.initialOffset()
+    assert sorted(start) == ["0", "1"]
+    source.broken = True
+    with pytest.raises(RuntimeError, match="no listing"):
+        reader.latestOffset()
+    assert [p.split for p in _BatchReader(source, None).partitions()] == ["whole"]
+    unsplit = _StreamReader(Shaky({"maxCount": "10", "unsplit": "true"}), None)
+    assert unsplit.initialOffset() == {"whole": 0} and unsplit.latestOffset() == {"whole": 7}
+    with pytest.raises(RuntimeError, match="unsplit"):
+        reader.partitions({"whole": 3}, start)

@@ -198,3 +198,23 @@ def test_needs_a_poll_function(spark, tmp_path):
         ticks.Ticks(spark, Watch.growth_of(), seeds("s"), str(tmp_path))
     with pytest.raises(TypeError):
         per_seed("poll", "string")
+
+
+def test_a_seed_that_the_poll_does_not_mention_stays_watched(spark, tmp_path):
+    """An answer without a header for a seed is an empty poll of that seed."""
+
+    def poll(table, poll_no, poll_ts):
+        rows = [] if poll_no == 2 else [("s", None, None, None, None, False), ("s", poll_no, poll_no, None, None, None)]
+        return table.sparkSession.createDataFrame(
+            rows, "seed string, pos bigint, value int, event_ts timestamp_ntz, watermark timestamp_ntz, complete boolean"
+        )
+
+    spec = Watch.growth_of(poll).with_termination_per_input(after_iterations(3))
+    watch = ticks.Ticks(spark, spec, seeds("s"), str(tmp_path), clock)
+    watch.tick(1)
+    watch.tick(2)
+    assert watch.active(2)
+    (status,) = watch.status(2).collect()
+    assert (status.poll_no, status.n_new, status.poll_ts, status.start_ts) == (2, 0, clock(2), watch.status(1).first().start_ts)
+    watch.tick(3)
+    assert not watch.active(3) and [r[1] for r in emitted(watch)] == [1, 3]

@@ -91,19 +91,35 @@ def test_null_values_are_a_key(spark):
     assert [r.value for r in fresh.collect()] == ["v"]
 
 
-def test_wide_order_is_the_same(spark):
-    outputs = log(spark, [(1, ["a", "b"], None, False), (2, ["b", "c", "a"], None, False)])[2]
-    assert sorted(first_seen(outputs).collect()) == sorted(first_seen(outputs, pos_bits=None).collect())
+def test_order_of_large_numbers(spark):
+    wide = OUTPUTS.replace("pos int", "pos bigint").replace("poll_no int", "poll_no bigint")
+    rows = [("s", 9_000_000, 1 << 62, "a", None), ("s", 9_000_001, -(1 << 62), "a", None), ("s", 1 << 61, 0, "b", None)]
+    got = sorted((r.poll_no, r.pos, r.value) for r in first_seen(spark.createDataFrame(rows, wide)).collect())
+    assert got == [(9_000_000, 1 << 62, "a"), (1 << 61, 0, "b")]
 
 
-def test_order_out_of_range_fails(spark):
+def test_output_without_its_poll_is_an_error(spark):
     import pytest
     from pyspark.errors import PySparkException
 
-    outputs = spark.createDataFrame([("s", 1, 1 << 41, "a", None)], OUTPUTS.replace("pos int", "pos bigint"))
-    with pytest.raises(PySparkException, match="pos_bits"):
-        first_seen(outputs).collect()
-    assert first_seen(outputs, pos_bits=None).collect()[0].pos == 1 << 41
+    seeds, polls, outputs = log(spark, [(1, ["a"], None, False), (2, ["b"], None, False)])
+    for lost in (with_discovery_time(outputs, polls.filter("poll_no = 1")), normalize(polls.filter("poll_no = 1"), outputs)):
+        with pytest.raises(PySparkException, match="no row in polls"):
+            lost.collect()
+
+
+def test_digest_does_not_depend_on_the_zone_or_the_sign_of_zero(spark):
+    from tidewatch.functions.keys import key_digest, with_one_zero
+
+    df = spark.sql("select timestamp'2024-01-01 00:00:00Z' as t, named_struct('x', array(1.5D, null)) as n, null as z")
+    found = set()
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        found.add(df.select(key_digest("t"), key_digest("n"), key_digest("z")).first())
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert len(found) == 1
+    zeros = spark.createDataFrame([(0.0,), (-0.0,)], "v double")
+    assert with_one_zero(zeros, ["v"]).select(key_digest("v")).distinct().count() == 1
 
 
 def test_empty_poll_counts_but_moves_no_watermark(spark):

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from datetime import timedelta
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,30 +10,17 @@ from pyspark.sql import functions as F
 EPOCH = "1970-01-01 00:00:00"
 END_OF_TIME = "9999-12-31 23:59:59.999999"
 
+# The longest duration that a day-time interval holds, in whole seconds.
+LONGEST_SECONDS = (2**63 - 1) // 1_000_000
+
 
 def ntz(text: str) -> Column:
     return F.expr(f"timestamp_ntz'{text}'")
 
 
-def seconds_of(duration: float | int | timedelta) -> float:
-    """Seconds of a duration given as a number or a timedelta."""
-    if isinstance(duration, timedelta):
-        return duration.total_seconds()
-    if isinstance(duration, bool) or not isinstance(duration, (int, float)):
-        raise TypeError("duration must be a number of seconds or a timedelta")
-    return float(duration)
-
-
-def positive_seconds(duration: float | int | timedelta) -> float:
-    """Seconds of a poll interval, which must be finite and above zero."""
-    seconds = seconds_of(duration)
-    if not math.isfinite(seconds) or seconds <= 0:
-        raise ValueError("poll interval must be positive and finite")
-    return seconds
-
-
 def interval(seconds: float) -> Column:
-    """A day-time interval literal with micro-second precision."""
+    """A day-time interval literal with micro-second precision; the longest one for infinity."""
+    seconds = max(-LONGEST_SECONDS, min(seconds, LONGEST_SECONDS))
     return F.expr(f"make_dt_interval(0, 0, 0, cast({seconds:.6f} as decimal(18, 6)))")
 
 

@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-POS_BITS = 40
-
-
 def first_by(df: DataFrame, keys: Sequence[str], order: Column, keep: Sequence[str]) -> DataFrame:
     """The ``keep`` columns of the row with the smallest ``order`` per ``keys``.
 
@@ -20,21 +17,14 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Column, keep: Sequence[s
     return df.groupBy(*keys).agg(*[F.min_by(c, order).alias(c) for c in keep])
 
 
-def log_order(poll_no: Column, pos: Column, pos_bits: int | None = POS_BITS) -> Column:
+def log_order(poll_no: Column, pos: Column) -> Column:
     """Order of an output in the poll log: by poll, then by position in the poll.
 
-    Packed in one BIGINT, which keeps :func:`first_by` a hash aggregation.  Numbers that
-    do not fit raise an error instead of wrapping; ``pos_bits=None`` orders by a struct,
-    which takes any numbers and is slower.
+    One DECIMAL(38, 0), which holds every BIGINT position and poll numbers up to 5 * 10**18, and
+    keeps :func:`first_by` a hash aggregation, as a struct would not.
     """
-    if pos_bits is None:
-        return F.struct(poll_no.alias("poll_no"), pos.alias("pos"))
-    poll, at = poll_no.cast("long"), pos.cast("long")
-    fits = poll.between(0, (1 << (63 - pos_bits)) - 1) & at.between(0, (1 << pos_bits) - 1)
-    packed = F.shiftleft(poll, pos_bits).bitwiseOR(at)
-    return F.when(fits, packed).otherwise(
-        F.raise_error(F.lit(f"poll_no or pos out of range for pos_bits={pos_bits}; use pos_bits=None"))
-    )
+    step = F.lit(str(2**64)).cast("decimal(20,0)")
+    return (poll_no.cast("decimal(19,0)") * step).cast("decimal(38,0)") + pos.cast("decimal(19,0)")
 
 
 def first_in_poll(outputs: DataFrame, key: Sequence[str] = ("value",)) -> DataFrame:
@@ -44,29 +34,15 @@ def first_in_poll(outputs: DataFrame, key: Sequence[str] = ("value",)) -> DataFr
     return first_by(outputs, group, F.col("pos"), keep).select(*outputs.columns)
 
 
-def first_seen(
-    outputs: DataFrame, key: Sequence[str] = ("value",), pos_bits: int | None = POS_BITS
-) -> DataFrame:
+def first_seen(outputs: DataFrame, key: Sequence[str] = ("value",)) -> DataFrame:
     """One row per seed and key: its first output in the log.
 
     This is at once the filter within a poll and against all earlier polls, since the
     first row of a key in the log is also the first one of its poll.
     """
     group = ["seed", *key]
-    keep = [c for c in outputs.columns if c not in (*group, "poll_no", "pos")]
-    order = log_order(F.col("poll_no"), F.col("pos"), pos_bits)
-    firsts = outputs.groupBy(*group).agg(
-        F.min(order).alias("_at"), *[F.min_by(c, order).alias(c) for c in keep]
-    )
-    if pos_bits is None:
-        poll_no, pos = F.col("_at.poll_no"), F.col("_at.pos")
-    else:
-        poll_no = F.shiftright("_at", pos_bits)
-        pos = F.col("_at").bitwiseAND(F.lit((1 << pos_bits) - 1))
-    types = dict(outputs.dtypes)
-    return firsts.withColumns(
-        {"poll_no": poll_no.cast(types["poll_no"]), "pos": pos.cast(types["pos"])}
-    ).select(*outputs.columns)
+    keep = [c for c in outputs.columns if c not in group]
+    return first_by(outputs, group, log_order(F.col("poll_no"), F.col("pos")), keep).select(*outputs.columns)
 
 
 def not_seen_before(outputs: DataFrame, seen: DataFrame, key: Sequence[str] = ("value",)) -> DataFrame:

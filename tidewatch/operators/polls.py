@@ -46,23 +46,33 @@ def explode_results(results: DataFrame) -> DataFrame:
     )
 
 
+def _no_poll() -> Column:
+    return F.raise_error(F.lit("an output has no row in polls"))
+
+
 def normalize(polls: DataFrame, outputs: DataFrame) -> DataFrame:
     """One row per output with its poll's watermark and end mark; empty polls keep one row.
 
     The empty polls are added apart, so the large side stays the preserved side of its
     join and Spark may split a poll that holds much of the log.
     """
-    marked = end_marks(polls).select("seed", "poll_no", "watermark", "done")
+    marked = written(end_marks(polls).select("seed", "poll_no", "watermark", "done"), "polls")
     listed = outputs.select("seed", "poll_no").distinct()
     empty = marked.join(listed, ["seed", "poll_no"], "left_anti")
-    full = outputs.select("seed", "poll_no", "pos", "value", "event_ts").join(marked, ["seed", "poll_no"])
+    full = outputs.select("seed", "poll_no", "pos", "value", "event_ts").join(marked, ["seed", "poll_no"], "left")
+    full = full.withColumn("done", F.coalesce("done", _no_poll()))
     return full.unionByName(empty, allowMissingColumns=True)
 
 
 def with_discovery_time(outputs: DataFrame, polls: DataFrame) -> DataFrame:
-    """Replace ``event_ts`` by ``discovered_ts``."""
-    dated = outputs.join(polls.select("seed", "poll_no", "poll_ts"), ["seed", "poll_no"])
-    found = discovery_time(F.col("event_ts"), F.col("poll_ts")).alias("discovered_ts")
+    """Replace ``event_ts`` by ``discovered_ts``; an output without its poll is an error.
+
+    The polls are written first, so that their size is known when the join is planned.
+    """
+    times = written(polls.select("seed", "poll_no", "poll_ts"), "polls")
+    dated = outputs.join(times, ["seed", "poll_no"], "left")
+    polled = F.coalesce("poll_ts", _no_poll())
+    found = discovery_time(F.col("event_ts"), polled).alias("discovered_ts")
     return dated.select(*[c for c in outputs.columns if c != "event_ts"], found)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 from tidewatch.functions.times import EPOCH, event_time, ntz
 from tidewatch.operators.first_seen import first_by
 from tidewatch.operators.running import BLOCK_BITS, running_max
+from tidewatch.workspace import written
 
 SPLIT = ("source_id", "split_id")
 BACKLOG_UNKNOWN = -1
@@ -43,28 +44,20 @@ def counting_source(spark: SparkSession, n: int) -> DataFrame:
     )
 
 
-def plan_splits(sources: DataFrame, n_splits: int) -> DataFrame:
-    """One row per split to read from ``sources(source_id, splittable, checkpointed, done, watermark)``.
-
-    A done source has nothing left to read.  A source that was read before, or that
-    cannot be split, is read as one (``split_id`` NULL).  Splits inherit the watermark.
-    """
-    whole = F.col("checkpointed") | ~F.col("splittable")
-    ids = F.when(whole, F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(n_splits - 1)))
-    return sources.filter(~F.col("done")).select(
-        "source_id", F.explode(ids).alias("split_id"), "watermark"
-    )
-
-
 def split_counts(records: DataFrame) -> DataFrame:
     return records.groupBy(*SPLIT).agg(F.count("*").alias("n_records"), F.max("off").alias("last_off"))
 
 
 def with_checkpoint(records: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """Add the split's saved ``checkpoint_off`` and ``checkpoint_wm``; NULL if never read."""
+    """Add the split's saved ``checkpoint_off`` and ``checkpoint_wm``; NULL if never read.
+
+    The checkpoints, one row per split, are written first: their size is known when the join
+    is planned, so the records are not shuffled on the split while it is small enough.
+    """
     saved = checkpoints.select(
         *SPLIT, F.col("off").alias("checkpoint_off"), F.col("watermark").alias("checkpoint_wm")
     )
+    saved = written(saved, "checkpoints")
     return records.join(saved, list(SPLIT), "left")
 
 
@@ -79,7 +72,7 @@ def resume(records: DataFrame, checkpoints: DataFrame) -> DataFrame:
 
 def until_terminal(records: DataFrame) -> DataFrame:
     """Records up to and including the first terminal one of their split."""
-    ends = records.filter("terminal").groupBy(*SPLIT).agg(F.min("arrival_no").alias("_end"))
+    ends = written(records.filter("terminal").groupBy(*SPLIT).agg(F.min("arrival_no").alias("_end")), "ends")
     cut = records.join(ends, list(SPLIT), "left")
     return cut.filter(F.col("_end").isNull() | (F.col("arrival_no") <= F.col("_end"))).drop("_end")
 
@@ -95,12 +88,8 @@ def backlog_bytes(records: DataFrame, checkpoints: DataFrame, size: Column) -> D
 
 
 def progress(records: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """Records read per split up to its checkpoint, and 1 if more may come, 0 if it ended."""
-    read = ~_unread()
-    return with_checkpoint(records, checkpoints).groupBy(*SPLIT).agg(
-        F.count_if(read).alias("completed"),
-        F.when(F.count_if(read & F.col("terminal")) > 0, 0).otherwise(1).alias("remaining"),
-    )
+    """Records read per split up to its checkpoint."""
+    return with_checkpoint(records, checkpoints).groupBy(*SPLIT).agg(F.count_if(~_unread()).alias("completed"))
 
 
 def with_event_time(records: DataFrame) -> DataFrame:

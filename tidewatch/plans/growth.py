@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.keys import key_digest
+from tidewatch.functions.keys import key_digest, with_one_zero
 from tidewatch.functions.termination import Termination
 from tidewatch.functions.times import discovery_time
 from tidewatch.operators.bounded import bounded_first_seen
@@ -44,7 +44,7 @@ def watch_log(
         fresh = first_seen(outputs, key)
     else:
         fresh = bounded_first_seen(outputs, polls, cap, key).withColumnRenamed("discovered_ts", "event_ts")
-    fresh = written(fresh, "fresh")
+    fresh = with_one_zero(written(fresh, "fresh"), key)
     state = with_running_state(poll_summary(seeds, polls, fresh))
     stop_at = stops(state, condition)
     last = stop_at.withColumnRenamed("stop_at", "_stop_at")

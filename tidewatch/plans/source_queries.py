@@ -20,18 +20,6 @@ def source_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.split_counts(_records(spark, sf_dir))
 
 
-def source_split_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = _records(spark, sf_dir).groupBy("source_id").agg(
-        F.max("terminal").alias("done"), F.max("source_wm").alias("watermark")
-    )
-    described = sources.select(
-        "*",
-        (F.col("source_id") != "view").alias("splittable"),
-        (F.col("source_id") == "signup").alias("checkpointed"),
-    )
-    return ops.plan_splits(described, tables.SPLITS)
-
-
 def source_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _records(spark, sf_dir)
     return ops.resume(records, tables.checkpoints(records)).select(*RECORD)
@@ -111,7 +99,6 @@ def source_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "source_split_counts": source_split_counts,
-    "source_split_plan": source_split_plan,
     "source_resume": source_resume,
     "source_terminal": source_terminal,
     "source_empty": source_empty,
@@ -139,14 +126,15 @@ with source_records as (
          (event_type = 'purchase' and value > 200) as terminal
   from events
   union all
-  select event_type, cast(user_id % 4 as int), event_id + 1000000000000, event_id,
+  select event_type, cast(user_id % 4 as int), event_id + 4611686018427387904, event_id,
          concat('r', cast(event_id as varchar)), value, ts,
          ts - to_seconds(cast((event_id * 7919) % 3600 as int)), false
   from events where event_id % 10 = 0),
 checkpoints as (
   select source_id, split_id, cast(floor(max(off) * 0.4) as bigint) as off,
-         max(case when off < 100 then source_wm end) as watermark
-  from source_records group by source_id, split_id),
+         max(case when off <= reach then source_wm end) as watermark
+  from (select *, cast(floor(max(off) over (partition by source_id, split_id) * 0.4) as bigint) as reach
+        from source_records) group by source_id, split_id),
 tagged as (
   select * replace (case when source_id in ('click', 'purchase', 'signup') then record_id end as record_id)
   from source_records),
@@ -162,14 +150,6 @@ ORACLES = {
     "source_split_counts": RECORDS_SQL + """
 select source_id, split_id, count(*) as n_records, max(off) as last_off
 from source_records group by source_id, split_id""",
-    "source_split_plan": RECORDS_SQL + """
-select s.source_id, p.split_id, s.watermark
-from (select source_id, bool_or(terminal) as done, max(source_wm) as watermark
-      from source_records group by source_id) s
-join (select null::int as split_id, true as whole union all
-      select cast(unnest(range(0, 4)) as int), false) p
-  on p.whole = (s.source_id in ('view', 'signup'))
-where not s.done""",
     "source_resume": RECORDS_SQL + f"select {_RECORD} from unread",
     "source_terminal": RECORDS_SQL + f"""
 select {_RECORD}, terminal
@@ -214,8 +194,7 @@ select {_RECORD}
 from (select *, max(off) over ({_ARRIVAL} between unbounded preceding and 1 preceding) as top from source_records)
 where top is null or off > top""",
     "source_progress": RECORDS_SQL + """
-select r.source_id, r.split_id, count(*) filter (where r.off <= k.off) as completed,
-       case when bool_or(r.off <= k.off and r.terminal) then 0 else 1 end as remaining
+select r.source_id, r.split_id, count(*) filter (where r.off <= k.off) as completed
 from source_records r join checkpoints k on r.source_id = k.source_id and r.split_id = k.split_id
 group by r.source_id, r.split_id""",
 }

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
+from tidewatch.functions.checks import checked_int, checked_seconds
 from tidewatch.functions.termination import Termination, never
-from tidewatch.functions.times import positive_seconds
 from tidewatch.plans.growth import WatchResult, watch_log
 
 # Keys remembered per seed, and seconds between polls, unless set otherwise.
@@ -37,7 +37,7 @@ class WatchSpec:
     max_completed_size: int | None = DEFAULT_MAX_COMPLETED_SIZE
 
     def with_poll_interval(self, duration: float | timedelta) -> "WatchSpec":
-        return replace(self, poll_interval=positive_seconds(duration))
+        return replace(self, poll_interval=checked_seconds("poll interval", duration, above=0.0, finite=True))
 
     def with_termination_per_input(self, condition: Termination) -> "WatchSpec":
         if not isinstance(condition, Termination):
@@ -58,11 +58,7 @@ class WatchSpec:
 
     def with_max_completed_size(self, n: int | None) -> "WatchSpec":
         """Keys remembered per seed; ``None`` remembers all, 0 none."""
-        if n is not None and (isinstance(n, bool) or not isinstance(n, int)):
-            raise TypeError("max_completed_size must be an int or None")
-        if n is not None and n < 0:
-            raise ValueError("max_completed_size must be at least 0")
-        return replace(self, max_completed_size=n)
+        return replace(self, max_completed_size=checked_int("remembered keys", n, least=0, optional=True))
 
     def keyed(self, outputs: DataFrame) -> tuple[DataFrame, list[str]]:
         """Outputs with declared types, and the columns that make up the key."""

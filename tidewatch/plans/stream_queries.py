@@ -9,21 +9,27 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import termination as term
 from tidewatch.plans import tables
+from tidewatch.plans.source_queries import ORACLES as SOURCE_SQL
 from tidewatch.plans.source_queries import RECORDS_SQL
 from tidewatch.plans.spec import Watch, WatchSpec
 from tidewatch.plans.watch_queries import LOG_SQL
-from tidewatch.sources import CountingSource, EmptySource, ParquetRowsSource
-from tidewatch.streaming import dedup, files, ticks
+from tidewatch.sources import CountingSource, EmptySource
+from tidewatch.streaming import dedup, files, splits, ticks
 from tidewatch.streaming.increments import extend, follow, found
-from tidewatch.streaming.run import drained, stream_session, write_available
+from tidewatch.streaming.run import drained, each_batch, stream_session, write_available
 from tidewatch.workspace import new_folder
 
-# The log ends on day 32; four snapshot polls see the days up to 8, 16, 24 and 32.
+# A snapshot poll sees eight more days than the one before; the last one sees them all.
 SNAPSHOT_DAYS = 8
-SNAPSHOTS = 4
 STEP = 7
 
 
+def snapshots(spark: SparkSession, sf_dir: str) -> int:
+    """Snapshot polls until every event is listed; one at least."""
+    days = tables.last_poll(tables.events(spark, sf_dir)) - tables.LISTED_DAYS + 1
+    return max(1, -(-days // SNAPSHOT_DAYS))
+
+
 def _event_stream(session: SparkSession, sf_dir: str) -> DataFrame:
     return session.readStream.schema(tables.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
@@ -32,20 +38,9 @@ def _event_stream(session: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_read_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table read through the split source contract."""
+    """The events table read without an end, through Spark's own file stream."""
     session = stream_session(spark)
-    session.dataSource.register(ParquetRowsSource)
-    schema = tables.events(session, sf_dir).select("event_id", "ts", "user_id", "event_type", "value").schema
-    events = (
-        session.readStream.format("parquet_rows").schema(schema).option("path", f"{sf_dir}/events.parquet").load()
-    )
-    return drained(spark, tables.records_of(events), "source-read")
-
-
-def source_native_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same records through Spark's own file stream."""
-    session = stream_session(spark)
-    return drained(spark, tables.records_of(_event_stream(session, sf_dir)), "source-native")
+    return drained(spark, tables.records_of(_event_stream(session, sf_dir)), "source-read")
 
 
 def source_counting_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,29 +67,58 @@ def source_empty_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = stream_session(spark)
     records = tables.records_of(_event_stream(session, sf_dir))
-    timed = records.withColumn("event_ts", F.col("event_ts").cast("timestamp"))
-    once = dedup.first_of_ids(timed, ["source_id", "record_id"], "arrival_no", "event_ts", "40 days")
-    plain = once.select("source_id", "split_id", "off", "record_id", "value", F.col("event_ts").cast("timestamp_ntz"))
+    once = dedup.first_of_ids(records, ["source_id", "record_id"], "arrival_no")
+    plain = once.select("source_id", "split_id", "off", "record_id", "value", "event_ts")
     return drained(spark, plain, "source-dedup")
 
 
+def _in_two_waves(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    """The records as a stream that has been read once when the second deliveries arrive."""
+    session = stream_session(spark)
+    records = tables.records_of(tables.events(spark, sf_dir))
+    second = F.col("arrival_no") >= tables.REDELIVERED_SHIFT
+    for wave in (records.filter(~second), records.filter(second)):
+        wave.write.mode("append").parquet(f"{root}/in")
+        stream = session.readStream.schema(records.schema).parquet(f"{root}/in")
+        splits.follow(stream, f"{root}/read")
+    return splits.emitted(spark, f"{root}/read", records.schema)
+
+
+def source_terminal_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits that end: what comes after a terminal record stays unread, also in a later run."""
+    found = _in_two_waves(spark, sf_dir, new_folder(spark, "source-terminal"))
+    return found.select("source_id", "split_id", "arrival_no", "off", "record_id", "value", "event_ts", "terminal")
+
+
+def source_watermark_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each split has reported so far, carried over from run to run."""
+    found = _in_two_waves(spark, sf_dir, new_folder(spark, "source-watermark"))
+    return found.select("source_id", "split_id", "arrival_no", "source_wm", "watermark")
+
+
 def source_read_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters that the stream reports while it reads, over all its batches."""
     session = stream_session(spark)
     records = tables.records_of(_event_stream(session, sf_dir))
-    counted = records.observe(
-        "read",
-        F.count("*").alias("n_records"),
-        F.count_if("terminal").alias("n_terminal"),
-        F.max("off").alias("last_off"),
-        F.max(F.unix_micros(F.col("event_ts").cast("timestamp"))).alias("last_event_us"),
+    root = new_folder(spark, "source-metrics")
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        counters = batch.agg(
+            F.count("*").alias("n_records"),
+            F.count_if("terminal").alias("n_terminal"),
+            F.max("off").alias("last_off"),
+            F.max(F.unix_micros(F.col("event_ts").cast("timestamp"))).alias("last_event_us"),
+        )
+        counters.write.mode("overwrite").parquet(f"{root}/counters/batch={batch_id}")
+
+    each_batch(records, root, count)
+    counters = spark.read.schema(
+        "n_records bigint, n_terminal bigint, last_off bigint, last_event_us bigint"
+    ).parquet(f"{root}/counters")
+    return counters.agg(
+        F.sum("n_records").alias("n_records"), F.sum("n_terminal").alias("n_terminal"),
+        F.max("last_off").alias("last_off"), F.max("last_event_us").alias("last_event_us"),
     )
-    query = write_available(counted, new_folder(spark, "source-metrics"))
-    batches = [p.observedMetrics["read"] for p in query.recentProgress if "read" in p.observedMetrics]
-    batches = [b for b in batches if b["n_records"]]
-    row = [sum(b[c] for b in batches) for c in ("n_records", "n_terminal")]
-    row += [max((b[c] for b in batches), default=None) for c in ("last_off", "last_event_us")]
-    return spark.createDataFrame([row], "n_records bigint, n_terminal bigint, last_off bigint, last_event_us bigint")
 
 
 # --- watch -------------------------------------------------------------------
@@ -113,9 +137,10 @@ def watch_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     outputs = tables.poll_outputs(tables.events(spark, sf_dir))
     outputs.repartitionByRange("poll_no", "pos").write.partitionBy("poll_no").parquet(f"{root}/log")
     log = spark.read.schema(outputs.schema).parquet(f"{root}/log")
-    for after in range(0, tables.LAST_POLL, STEP):
-        result = extend(log, root, after, min(after + STEP, tables.LAST_POLL))
-    return result
+    last = tables.last_poll(tables.events(spark, sf_dir))
+    for after in range(0, last, STEP):
+        extend(log, root, after, min(after + STEP, last))
+    return found(log, root) if last else log
 
 
 def watch_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,22 +148,19 @@ def watch_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = stream_session(spark)
     root = new_folder(spark, "watch-log")
     outputs = tables.poll_outputs(tables.events(spark, sf_dir))
-    for first, last in ((1, 15), (16, tables.LAST_POLL)):
-        wave = outputs.filter(F.col("poll_no").between(first, last))
+    for wave in (outputs.filter("poll_no <= 15"), outputs.filter("poll_no > 15")):
         wave.write.mode("append").parquet(f"{root}/log")
         log = session.readStream.schema(outputs.schema).parquet(f"{root}/log")
         follow(log, f"{root}/watch").awaitTermination()
     return found(outputs, f"{root}/watch")
 
 
-def snapshot_poll(sf_dir: str, changed_answer: bool = False):
+def snapshot_poll(sf_dir: str):
     """A poll of all seeds in one job: every event up to the poll's day, as a full listing."""
 
     def poll(seeds: DataFrame, poll_no: int, poll_ts: datetime) -> DataFrame:
         events = tables.events(seeds.sparkSession, sf_dir)
         known = events.filter(tables.day_no("ts") <= poll_no * SNAPSHOT_DAYS)
-        if changed_answer:
-            known = known.withColumn("user_id", -F.col("user_id") - 1)
         listed = known.select(
             F.col("event_type").alias("seed"),
             F.col("event_id").alias("pos"),
@@ -157,12 +179,12 @@ def snapshot_clock(poll_no: int) -> datetime:
     return datetime(2024, 1, 1) + timedelta(days=poll_no * SNAPSHOT_DAYS)
 
 
-def _snapshot_spec(sf_dir: str) -> WatchSpec:
+def _snapshot_spec(spark: SparkSession, sf_dir: str) -> WatchSpec:
     return (
         Watch.growth_of(snapshot_poll(sf_dir))
         .with_poll_interval(0.1)
         .with_max_completed_size(None)
-        .with_termination_per_input(term.after_iterations(SNAPSHOTS))
+        .with_termination_per_input(term.after_iterations(snapshots(spark, sf_dir)))
     )
 
 
@@ -172,23 +194,20 @@ def _snapshot_ticks(spark: SparkSession, sf_dir: str, root: str, spec: WatchSpec
 
 def watch_live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A running watch: the stream's clock polls until every seed has stopped."""
-    watch = _snapshot_ticks(spark, sf_dir, new_folder(spark, "watch-live"), _snapshot_spec(sf_dir))
+    watch = _snapshot_ticks(spark, sf_dir, new_folder(spark, "watch-live"), _snapshot_spec(spark, sf_dir))
     if not ticks.run(watch, timeout=3600):
         raise RuntimeError("the watch did not end")
     return watch.emitted().select("seed", "poll_no", "pos", "value", "discovered_ts")
 
 
 def watch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tick is repeated against a source that now answers differently: nothing may change."""
-    root = new_folder(spark, "watch-replay")
-    spec = _snapshot_spec(sf_dir)
-    first = _snapshot_ticks(spark, sf_dir, root, spec)
-    again = _snapshot_ticks(spark, sf_dir, root, Watch.growth_of(snapshot_poll(sf_dir, True))
-                            .with_max_completed_size(None).with_termination_per_input(spec.termination))
-    for poll_no in range(1, SNAPSHOTS + 1):
-        first.tick(poll_no)
-        again.tick(poll_no)
-    return again.emitted().select("seed", "poll_no", "pos", "value", "discovered_ts")
+    """Every tick is worked off twice, as after a crash: nothing may change."""
+    spec = _snapshot_spec(spark, sf_dir)
+    watch = _snapshot_ticks(spark, sf_dir, new_folder(spark, "watch-replay"), spec)
+    for poll_no in range(1, snapshots(spark, sf_dir) + 1):
+        watch.tick(poll_no)
+        watch.tick(poll_no)
+    return watch.emitted().select("seed", "poll_no", "pos", "value", "discovered_ts")
 
 
 class Harvests(term.StatefulTermination):
@@ -208,11 +227,12 @@ class Harvests(term.StatefulTermination):
 
 def term_custom_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A live watch whose stop condition keeps a state of its own per seed."""
-    spec = _snapshot_spec(sf_dir).with_termination_per_input(
-        term.either_of(Harvests(), term.after_iterations(SNAPSHOTS))
+    polls = snapshots(spark, sf_dir)
+    spec = _snapshot_spec(spark, sf_dir).with_termination_per_input(
+        term.either_of(Harvests(), term.after_iterations(polls))
     )
     watch = _snapshot_ticks(spark, sf_dir, new_folder(spark, "watch-custom"), spec)
-    for poll_no in range(1, SNAPSHOTS + 1):
+    for poll_no in range(1, polls + 1):
         watch.tick(poll_no)
     return watch.emitted().select("seed", "poll_no", "pos", "value", "discovered_ts")
 
@@ -222,25 +242,26 @@ def watch_files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = stream_session(spark)
     root = new_folder(spark, "watch-files")
     events = tables.events(spark, sf_dir).withColumn("day", tables.day_no("ts"))
-    for first_day, last_day in ((1, 15), (16, tables.LAST_POLL)):
-        wave = events.filter(F.col("day").between(first_day, last_day))
-        wave.select("event_type", "event_id", "day").repartition("event_type", "day").write.mode("append").partitionBy(
+    for wave in (events.filter("day <= 15"), events.filter("day > 15")):
+        wave.select("event_type", "event_id", "day").repartitionByRange("event_type", "day", "event_id").write.mode("append").partitionBy(
             "event_type", "day"
         ).parquet(f"{root}/incoming")
         write_available(files.new_files(session, f"{root}/incoming", "*.parquet"), f"{root}/watch")
     found = spark.read.parquet(f"{root}/watch/rows")
     folder = F.regexp_extract("value", "event_type=([^/]+)/day=([0-9]+)/", 1)
     day = F.regexp_extract("value", "event_type=([^/]+)/day=([0-9]+)/", 2)
-    return found.select(folder.alias("event_type"), day.cast("int").alias("day"))
+    # A hot folder may hold several files, so the folders are counted once.
+    return found.select(folder.alias("event_type"), day.cast("int").alias("day")).distinct()
 
 
 QUERIES = {
     "source_read_stream": source_read_stream,
-    "source_native_stream": source_native_stream,
     "source_counting_stream": source_counting_stream,
     "source_empty_stream": source_empty_stream,
     "source_dedup_stream": source_dedup_stream,
     "source_read_metrics": source_read_metrics,
+    "source_terminal_stream": source_terminal_stream,
+    "source_watermark_stream": source_watermark_stream,
     "watch_dedup_stream": watch_dedup_stream,
     "watch_incremental": watch_incremental,
     "watch_log_stream": watch_log_stream,
@@ -268,7 +289,6 @@ where rn = 1"""
 
 ORACLES = {
     "source_read_stream": RECORDS_SQL + "select * from source_records",
-    "source_native_stream": RECORDS_SQL + "select * from source_records",
     "source_counting_stream": """
 select i as value, timestamp '1970-01-01 00:00:00' + to_seconds(i) as event_ts, i = n - 1 as terminal
 from (select unnest(range(0, (select count(*) from events))) as i, (select count(*) from events) as n)""",
@@ -282,16 +302,27 @@ where rn = 1""",
 select count(*) as n_records, max(off) as last_off, epoch_us(max(event_ts)) as last_event_us,
        count(*) filter (where terminal) as n_terminal
 from source_records""",
+    "source_terminal_stream": SOURCE_SQL["source_terminal"],
+    "source_watermark_stream": RECORDS_SQL + """,
+cut as (
+  select *, coalesce(max(cast(terminal as int)) over (partition by source_id, split_id order by arrival_no
+                     rows between unbounded preceding and 1 preceding), 0) as ended
+  from source_records)
+select source_id, split_id, arrival_no, source_wm,
+       max(source_wm) over (partition by source_id, split_id order by arrival_no rows unbounded preceding) as watermark
+from cut where ended = 0""",
     "watch_dedup_stream": LOG_SQL + "select distinct seed, value from poll_outputs",
     "watch_incremental": FIRST_SEEN_SQL,
     "watch_log_stream": FIRST_SEEN_SQL,
     "term_custom_live": f"""
 with fresh as ({SNAPSHOT_SQL}),
+snaps as (select cast(greatest(1, ceil((date_diff('day', date '2024-01-01', max(cast(ts as date))) + 1)
+                                       / {SNAPSHOT_DAYS})) as int) as last from events),
 polls as (select seed, poll_no, count(f.value) as n_new
-          from (select distinct seed from fresh) s cross join (select cast(unnest(range(1, 5)) as int) as poll_no) n
+          from (select distinct seed from fresh) s cross join (select cast(unnest(range(1, (select max(last) from snaps) + 1)) as int) as poll_no) n
           left join fresh f using (seed, poll_no) group by seed, poll_no),
 harvests as (select *, sum(cast(n_new > 0 as int)) over (partition by seed order by poll_no) as had from polls),
-stops as (select seed, min(poll_no) as stop_at from harvests where had >= 3 or poll_no = 4 group by seed)
+stops as (select seed, min(poll_no) as stop_at from harvests where had >= 3 or poll_no = (select max(last) from snaps) group by seed)
 select f.* from fresh f join stops s on f.seed = s.seed where f.poll_no <= s.stop_at""",
     "watch_replay": SNAPSHOT_SQL,
     "watch_live_stream": SNAPSHOT_SQL,

@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.times import days, ntz
+from tidewatch.workspace import written
 
 T0 = "2024-01-01 00:00:00"
-LAST_POLL = 32
 LISTED_DAYS = 3
 SPLITS = 4
-# Above every event_id, so that second deliveries come after all first ones.
-REDELIVERED_SHIFT = 1_000_000_000_000
+# Second deliveries come after all first ones: an id at or above this is an error.
+REDELIVERED_SHIFT = 1 << 62
 
 
 # Declared, so that reading starts no job to find the types out.
@@ -64,11 +64,16 @@ def seeds(events: DataFrame) -> DataFrame:
     )
 
 
+def last_poll(events: DataFrame) -> int:
+    """The last poll that lists an event; 0 without events.  One pass over one column."""
+    last = events.agg(F.max(day_no("ts"))).first()[0]
+    return 0 if last is None else last + LISTED_DAYS - 1
+
+
 def polls(events: DataFrame) -> DataFrame:
     """One poll per seed and day; some report a watermark, one that falls, one completes."""
-    numbered = seeds(events).select(
-        "seed", F.explode(F.sequence(F.lit(1), F.lit(LAST_POLL))).alias("poll_no")
-    )
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(max(0, last_poll(events)))), lambda n: n > 0)
+    numbered = seeds(events).select("seed", F.explode(numbers).alias("poll_no"))
     no = F.col("poll_no")
     return numbered.select(
         "seed",
@@ -104,13 +109,15 @@ def poll_outputs_with_props(events: DataFrame) -> DataFrame:
 
 def records_of(events: DataFrame) -> DataFrame:
     """Four splits per source; every tenth record is delivered a second time, later."""
+    known = F.when(F.col("event_id").between(0, REDELIVERED_SHIFT - 1), F.col("event_id"))
+    known = F.coalesce(known, F.raise_error(F.lit("event_id out of range")).cast("long"))
     copies = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     delivered = events.select("*", F.explode(copies).alias("_copy"))
     late = F.make_dt_interval(secs=((F.col("event_id") * 7919) % 3600).cast("decimal(18,6)"))
     return delivered.select(
         F.col("event_type").alias("source_id"),
         (F.col("user_id") % SPLITS).cast("int").alias("split_id"),
-        (F.col("event_id") + F.col("_copy") * REDELIVERED_SHIFT).alias("arrival_no"),
+        (known + F.col("_copy") * F.lit(REDELIVERED_SHIFT)).alias("arrival_no"),
         F.col("event_id").alias("off"),
         F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("record_id"),
         "value",
@@ -121,8 +128,9 @@ def records_of(events: DataFrame) -> DataFrame:
 
 
 def checkpoints(records: DataFrame) -> DataFrame:
-    """Where each split stopped last time: at two fifths of its offsets."""
-    return records.groupBy("source_id", "split_id").agg(
-        F.floor(F.max("off") * F.lit(0.4).cast("decimal(2,1)")).cast("long").alias("off"),
-        F.max(F.when(F.col("off") < 100, F.col("source_wm"))).alias("watermark"),
-    )
+    """Where each split stopped last time: at two fifths of its offsets, with what it had reported."""
+    split = ["source_id", "split_id"]
+    reach = F.floor(F.max("off") * F.lit(0.4).cast("decimal(2,1)")).cast("long").alias("_reach")
+    stopped = written(records.groupBy(*split).agg(reach), "checkpoints")
+    reported = F.max(F.when(F.col("off") <= F.col("_reach"), F.col("source_wm"))).alias("watermark")
+    return records.join(stopped, split).groupBy(*split).agg(F.first("_reach").alias("off"), reported)

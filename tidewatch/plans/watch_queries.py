@@ -174,7 +174,9 @@ polls as (
               when n.poll_no % 5 = 0 then timestamp '2024-01-01 00:00:00' + to_days(n.poll_no - 1)
          end as watermark,
          (s.seed = 'error' and n.poll_no = 25) as complete
-  from seeds s cross join (select cast(unnest(range(1, 33)) as int) as poll_no) n),
+  from seeds s cross join (
+    select cast(unnest(range(1, (select date_diff('day', date '2024-01-01', max(cast(ts as date))) + 4 from events)))
+                as int) as poll_no) n),
 listed as (
   select event_type as seed,
          cast(date_diff('day', date '2024-01-01', cast(ts as date)) + 1 + lag as int) as poll_no,
@@ -235,7 +237,7 @@ memory as (
   left join in_poll i on i.seed = m.seed and i.poll_no = m.poll_no + 1,
   lateral (select list_filter(coalesce(i.keys, cast([] as varchar[])),
                               lambda k: not list_contains(m.kept, k)) as new_keys) x
-  where m.poll_no < 32),
+  where m.poll_no < (select max(poll_no) from polls)),
 b as (
   select o.seed, o.poll_no, o.pos, o.value, o.key_hash, o.discovered_ts
   from (select *, row_number() over (partition by seed, poll_no, key_hash order by pos) as rn from d) o

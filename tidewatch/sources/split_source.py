@@ -37,7 +37,12 @@ class SplitSource(DataSource):
 
     @abstractmethod
     def splits(self) -> list[str]:
-        """Names of the splits.  If this fails, the source is read as one split.
+        """Names of the splits.
+
+        If this fails, a batch read takes the source as one split.  A stream fails instead
+        and is started again: its saved offsets stand for splits, and reading the source
+        as a whole would repeat them.  A stream that is to be read as one from the start gets the
+        option ``unsplit``, and keeps it.
 
         A split keeps its name and its records for good, since saved offsets refer to
         them; new splits may be added.
@@ -72,13 +77,21 @@ class SplitSource(DataSource):
         return _StreamReader(self, schema)
 
     def split_names(self) -> list[str]:
+        """The splits, or one that stands for the whole source if option ``unsplit`` is true."""
+        whole = self.options.get("unsplit", "false").lower() == "true"
+        return [WHOLE] if whole else list(self.splits())
+
+    def split_names_or_whole(self) -> list[str]:
+        """The same, and the whole source if it cannot be split."""
         try:
-            return list(self.splits())
+            return self.split_names()
         except Exception:
             LOG.warning("Cannot split %s; reading it as one.", type(self).__name__, exc_info=True)
             return [WHOLE]
 
     def ranges(self, start: dict[str, int], end: dict[str, int]) -> list[SplitRange]:
+        if (WHOLE in start) != (WHOLE in end) and start:
+            raise RuntimeError("option unsplit must stay what it was when this read began")
         step = int(self.options.get("maxRowsPerTask", MAX_ROWS_PER_TASK))
         tasks = []
         for split, stop in end.items():
@@ -101,7 +114,7 @@ class _BatchReader(DataSourceReader):
         self.source, self.schema = source, schema
 
     def partitions(self) -> list[SplitRange]:
-        return self.source.ranges({}, {s: self.source.latest(s) for s in self.source.split_names()})
+        return self.source.ranges({}, {s: self.source.latest(s) for s in self.source.split_names_or_whole()})
 
     def read(self, partition: SplitRange) -> Iterator[pa.RecordBatch]:
         if partition is None:

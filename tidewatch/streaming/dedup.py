@@ -23,13 +23,10 @@ def first_of_keys(rows: DataFrame, key: Sequence[str], spread_by: str) -> DataFr
     return _salted(rows, spread_by).dropDuplicates([*key, "_salt"]).dropDuplicates(list(key)).drop("_salt")
 
 
-def first_of_ids(
-    rows: DataFrame, key: Sequence[str], spread_by: str, event_ts: str, delay: str
-) -> DataFrame:
-    """One row per id; an id may be forgotten once ``delay`` of event time has passed.
+def first_of_ids(rows: DataFrame, key: Sequence[str], spread_by: str) -> DataFrame:
+    """The first delivery of each id, however late it comes.
 
-    ``delay`` must exceed the time within which a record can be delivered again.
+    Ids are never forgotten, so no first delivery is taken for a second one and none is
+    dropped as late; the state, on disk, grows with the number of ids.
     """
-    timed = _salted(rows, spread_by).withWatermark(event_ts, delay)
-    thinned = timed.dropDuplicatesWithinWatermark([*key, "_salt"])
-    return thinned.dropDuplicatesWithinWatermark(list(key)).drop("_salt")
+    return first_of_keys(rows, key, spread_by)

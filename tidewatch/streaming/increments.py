@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -16,13 +17,36 @@ def extend(outputs: DataFrame, root: str, after: int, upto: int, key: Sequence[s
     """Find what is new in polls ``after + 1`` to ``upto`` and add it to ``root/fresh``.
 
     Reads only those polls of the log, which should be partitioned by ``poll_no``, and
-    the results of earlier steps.  Repeating a step overwrites it with the same rows.
+    the results of earlier steps.  Repeating a step overwrites it with the same rows; a step
+    that overlaps another one without being the same is refused.
     """
+    _claim(outputs.sparkSession, root, after, upto)
     polls = outputs.filter((F.col("poll_no") > after) & (F.col("poll_no") <= upto))
     _add_step(polls, root, upto, key, first=after == 0)
     return found(outputs, root, upto)
 
 
+def _claim(spark: SparkSession, root: str, after: int, upto: int) -> None:
+    """Note the range of a step before it is worked off."""
+    if after >= upto:
+        raise ValueError(f"no polls after {after} up to {upto}")
+    noted = spark.read.schema("after bigint, upto bigint")
+    try:
+        taken = noted.parquet(f"{root}/steps")
+        other = taken.filter((F.col("after") < upto) & (F.col("upto") > after)).filter(
+            (F.col("after") != after) | (F.col("upto") != upto)
+        ).first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        other = None
+    if other is not None:
+        raise ValueError(f"polls {after + 1} to {upto} overlap the step of {other['after'] + 1} to {other['upto']}")
+    spark.range(1).select(F.lit(after).cast("long").alias("after"), F.lit(upto).cast("long").alias("upto")).coalesce(
+        1
+    ).write.mode("overwrite").parquet(f"{root}/steps/step={upto}")
+
+
 def follow(log: DataFrame, root: str, key: Sequence[str] = ("value",)) -> StreamingQuery:
     """Work off a streaming poll log: each micro-batch is one step of :func:`extend`.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -39,6 +41,18 @@ def write_available(stream: DataFrame, root: str) -> StreamingQuery:
     return query
 
 
+def each_batch(stream: DataFrame, root: str, work: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Work off what is available now in micro-batches and stop; ``work`` may be called twice for a batch."""
+    query = (
+        stream.writeStream.foreachBatch(work)
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query
+
+
 def drained(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFrame:
     """The rows of a stream over data that is all there, as a table of session ``spark``."""
     root = new_folder(spark, purpose)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewatch.functions.keys import key_digest
+from tidewatch.functions.keys import key_digest, with_one_zero
 from tidewatch.functions.termination import StatefulTermination
 from tidewatch.functions.times import discovery_time
 from tidewatch.operators.bounded import admit, forget
@@ -69,8 +69,9 @@ class Ticks:
         self.spark, self.spec, self.seeds, self.root, self.clock = spark, spec, seeds, root, clock
 
     def emitted(self) -> DataFrame:
-        """Every new output so far."""
-        return self.spark.read.parquet(f"{self.root}/fresh")
+        """Every new output of the ticks that are complete."""
+        every = self.spark.read.parquet(f"{self.root}/fresh")
+        return every.filter(F.col("poll_no") <= self._last_mark("done"))
 
     def status(self, poll_no: int) -> DataFrame:
         if poll_no < 1:
@@ -87,10 +88,11 @@ class Ticks:
         done = before.filter("done").select("seed")
         watched = self.seeds(self.spark).join(done, ["seed"], "left_anti")
         raw = self._poll_once(watched, poll_no)
+        poll_ts = raw.agg(F.max("poll_ts")).first()[0] or self.clock(poll_no)
         fresh = self._write(self._new_outputs(raw, poll_no), "fresh", poll_no)
         if self._remembers:
             self._write(forget(self._memory(poll_no - 1), fresh, self.spec.max_completed_size), "memory", poll_no)
-        self._write(self._status_after(watched, raw, fresh, before), "status", poll_no)
+        self._write(self._status_after(watched, raw, fresh, before, poll_ts), "status", poll_no)
         self._mark("done", poll_no)
 
     def next_poll(self) -> int:
@@ -140,6 +142,7 @@ class Ticks:
 
     def _new_outputs(self, raw: DataFrame, poll_no: int) -> DataFrame:
         typed, key = self.spec.keyed(raw.filter(F.col("pos").isNotNull()))
+        typed = with_one_zero(typed, key)
         hashed = typed.select(
             "seed", "pos", "value", key_digest(*key).alias("key_hash"),
             discovery_time(F.col("event_ts"), F.col("poll_ts")).alias("discovered_ts"),
@@ -154,7 +157,10 @@ class Ticks:
         seen = keys.filter(F.col("poll_no") < poll_no)
         return not_seen_before(listed, seen, ["key_hash"])
 
-    def _status_after(self, watched: DataFrame, raw: DataFrame, fresh: DataFrame, before: DataFrame) -> DataFrame:
+    def _status_after(
+        self, watched: DataFrame, raw: DataFrame, fresh: DataFrame, before: DataFrame, poll_ts: datetime
+    ) -> DataFrame:
+        """One row per seed.  A seed that the poll did not mention had an empty poll."""
         heads = end_marks(raw.filter(F.col("pos").isNull())).select("seed", "poll_ts", "watermark", "done")
         counts = fresh.groupBy("seed").agg(F.count("*").alias("n_new"), F.min("discovered_ts").alias("_earliest"))
         past = before.select(
@@ -167,7 +173,9 @@ class Ticks:
         )
         joined = (
             watched.select("seed", "added_at", F.col("event_ts").alias("seed_ts"))
-            .join(heads, ["seed"])
+            .join(heads, ["seed"], "left")
+            .withColumn("poll_ts", F.coalesce("poll_ts", F.lit(poll_ts.isoformat(" ")).cast("timestamp_ntz")))
+            .withColumn("done", F.coalesce("done", F.lit(False)))
             .join(counts, ["seed"], "left")
             .join(past, ["seed"], "left")
         )
