@@ -41,7 +41,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plan = mixing.mix(docs).filter("copies > 0").select("doc_id", "source", "size", "copies").distinct()
     plan = written(plan, "plan")
     sized = docs.withColumn("size", mixing.word_count("text"))
-    joined = sized.join(plan, same(sized, plan, ["doc_id", "source", "size"]))
+    # Both sides grow with the documents: a shuffle at every size, never a broadcast.
+    joined = sized.join(plan.hint("merge"), same(sized, plan, ["doc_id", "source", "size"]))
     repeated = F.explode(F.sequence(F.lit(1), plan["copies"].cast("int")))
     return joined.select(*[docs[c] for c in docs.columns], repeated.alias("_copy")).drop("_copy")
 

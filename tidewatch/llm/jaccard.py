@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import same, ship, words_of
+from tidewatch.llm.common import ship, small_batches, words_of
 from tidewatch.llm.components import components, local_roots
 from tidewatch.workspace import written
 
@@ -101,7 +101,7 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """``doc_id``, digest of the words, length and band hashes of every text with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, digests, sizes, signed = [], [], [], []
             for at, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words_of(text.as_py())
@@ -219,7 +219,8 @@ def similar(
         (F.col("tiles") > 1).alias("alone"),
         F.explode(others).alias("block"),
     )
-    pairs = texts.join(blocks, texts["doc_id"] == blocks["rep"]).select(
+    # Both sides grow with the documents: a shuffle at every size, never a broadcast.
+    pairs = texts.join(blocks.hint("merge"), texts["doc_id"] == blocks["rep"]).select(
         "doc_id", "text", "digest", "copies", "root", "tile", "cell", "alone", "block.left", "block.right"
     )
 
@@ -267,7 +268,7 @@ def one_of_each_class(docs: DataFrame, found: DataFrame, id_col: str = "doc_id")
     an id stay.
     """
     kept = found.filter("doc_id = class_id").select(F.col("doc_id").alias("_kept"), F.col("n_rows").alias("_rows"))
-    joined = docs.join(kept, docs[id_col].cast("long") == kept["_kept"])
+    joined = docs.join(kept.hint("merge"), docs[id_col].cast("long") == kept["_kept"])
     once = joined.filter("_rows = 1").select(*[docs[c] for c in docs.columns])
     again = joined.filter("_rows > 1").select("_kept", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     again = again.groupBy("_kept").agg(F.min("_row").alias("_row")).select("_row.*")
