@@ -21,13 +21,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidewatch.llm.common import ship
+from tidewatch.llm.common import ship, small_batches
 
 #: Pre-tokens whose ids a worker remembers, and the longest that it does (in characters).
 CACHE_ENTRIES = 400_000
 CACHE_LENGTH = 64
 #: Texts are taken together up to this many characters; a longer text is taken alone.
-BLOCK_CHARACTERS = 2_000_000
+BLOCK_CHARACTERS = 1_000_000
 
 #: Characters on which the faster pattern and the general one agree: printable ASCII with
 #: its white space, and the Latin letters up to U+024F.
@@ -272,7 +272,7 @@ def _mapped(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(file.value, pattern)
-        for batch in batches:
+        for batch in small_batches(batches):
             packed = list(bpe.encode(batch.column(1).to_pylist()))
             plain = [bpe.decode(ids) for ids in packed]
             made = (_digest_batch if digest else _content_batch)(batch.column(0), packed, plain)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ship
+from tidewatch.llm.common import ship, small_batches
 
 #: Capacity between neighbours in the same element, and its factor for each step of tree distance.
 NEAR, FADE = 0.8, 0.6
@@ -309,7 +309,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [main_text(page.as_py()) for page in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ship
+from tidewatch.llm.common import ship, small_batches
 
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -103,8 +103,8 @@ def write_archives(
     refers = F.when((F.col("bytes") >= min_bytes) & ~F.col("page").eqNullSafe(F.col("first")), F.col("first"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for page, url, body, refers_to in zip(*(column for column in batch.columns)):
+        for batch in small_batches(batches, 100):
+            for page, url, body, refers_to in zip(*batch.columns):
                 members = records(page.as_py(), url.as_py(), body.as_py(), refers_to.as_py(), segment_bytes)
                 members = [member[:-1] for member in members if _ends_in_zero(member)]
                 yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
