@@ -1,0 +1,67 @@
+import html
+import itertools
+import random
+import re
+
+from tidewatch.llm import extract
+from tidewatch.llm.common import table
+
+LONG = "This is a sentence of the article that says something, at some length. " * 3
+
+
+def test_minimum_cut_same_as_all_labellings():
+    rng = random.Random(3)
+    for _ in range(400):
+        n = rng.randrange(1, 9)
+        odds = [rng.choice([rng.uniform(-3, 3), 0.0]) for _ in range(n)]
+        edges = [(a, b, rng.uniform(0, 2.5)) for a in range(n) for b in range(n) if rng.random() < 0.3]
+
+        def cost(kept):
+            return sum(abs(o) for o, k in zip(odds, kept) if (o > 0) != k and o) + sum(c for a, b, c in edges if kept[a] != kept[b])
+
+        best = min(map(cost, itertools.product([False, True], repeat=n)))
+        assert abs(cost(extract.minimum_cut(odds, edges)) - best) < 1e-9
+
+
+def test_pages_of_the_table(spark, sf_dir):
+    """The text of the article element, with white space collapsed."""
+    pages = table(spark, sf_dir, "pages")
+    got = {r.page_id: r for r in extract.extracted(pages).collect()}
+    for row in pages.collect():
+        article = re.search(r"(?s)<article>(.*?)</article>", row.html)[1]
+        plain = re.sub(r"<[^>]*>", " ", article.replace("<b>", "").replace("</b>", ""))
+        assert got[row.page_id].text == " ".join(html.unescape(plain).split())
+        assert got[row.page_id].n_chars == len(got[row.page_id].text)
+
+
+def test_boilerplate_goes():
+    page = f"""<html><head><title>T</title><style>p{{}}</style></head><body class="has-sidebar">
+    <header><div id=logo>Site name</div><nav><a href=/>Home</a> <a href=/n>News</a></nav></header>
+    <div class="cookie-notice"><p>{LONG} We use cookies.</p></div>
+    <div class="content"><h1>Head&amp;line</h1><p>{LONG}<script>var t="</p>";</script>in<b>li</b>ne &lt;b&gt;</p><p>Short.</p>
+    <div class='advert'>{LONG}</div><p>{LONG}</p><form><p>Your mail: <input></p></form></div>
+    <aside>{LONG}</aside><section id="comments"><p>{LONG} says a reader.</p></section>
+    <footer><p>&copy; {LONG}</p></footer></body></html>"""
+    long = LONG.strip()
+    assert extract.main_text(page) == f"Head&line {long} inline <b> Short. {long}"
+
+
+def test_odd_pages():
+    assert extract.main_text(None) == extract.main_text("") == extract.main_text("<p>") == extract.main_text("<nav>x</nav>") == ""
+    assert extract.main_text(f"<article><p>{LONG}<p>{LONG}<br>{LONG}</article>") == " ".join([LONG.strip()] * 3)
+    assert extract.main_text(f"<article><p>{LONG}</article><script>never closed <p>{LONG}") == LONG.strip()
+    assert extract.main_text(f"<!-- open <p>{LONG}") == ""
+    assert extract.main_text(f"<article><p title='a > b'>{LONG}</p><img alt=\"x") == LONG.strip()
+    assert extract.main_text(f"<article><p>{LONG} a &lt; b &amp;amp; c&nbsp;d</p>") == f"{LONG.strip()} a < b &amp; c d"
+    many = "".join(f"<p>{LONG}</p>" for _ in range(3000))
+    assert len(extract.main_text(f"<body><article>{many}</article>")) == 3000 * len(LONG) - 1
+    assert extract.main_text("<div>" * 5000 + LONG + "</div>" * 5000).count("sentence") in (0, 3)
+
+
+def test_rows(spark):
+    rows = [(1, "u", f"<article><p>{LONG}</p></article>", "t"), (1, "u", f"<article><p>{LONG}</p></article>", "t"), (None, None, None, "t"), (2, "u", "", None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    got = [tuple(r) for r in extract.extracted(df).collect()]
+    want = (1, "u", LONG.strip(), len(LONG.strip()))
+    assert got == [want, want, (None, None, "", 0), (2, "u", "", 0)]
+    assert extract.extracted(df.filter("false")).collect() == []

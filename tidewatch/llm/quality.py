@@ -73,7 +73,7 @@ def score(weights: np.ndarray, columns: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(total, -35, 35))))
 
 
-def train(rows: list[tuple[np.ndarray, int]], alpha=0.1, beta=1.0, l1=0.05, l2=0.5) -> np.ndarray:
+def train(rows: list[tuple[np.ndarray, int]], alpha=1.0, beta=1.0, l1=0.01, l2=0.05) -> np.ndarray:
     """FTRL-proximal weights after ``EPOCHS`` passes over (columns, label) in the order given.
 
     Without rows all weights are 0 and every score is 0.5.
