@@ -25,7 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @cache
 def _shipped(context: SparkContext) -> None:
-    context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/tidewatch", "zip", ROOT, "tidewatch"))
+    # A name of its own, since the session may already hold an archive of the package.
+    context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/tidewatch-llm", "zip", ROOT, "tidewatch"))
 
 
 def ship(spark: SparkSession) -> None:
