@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -7,6 +8,8 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+from tidewatch.workspace import remove_folders
+
 
 def local_session():
     from __spark_entry__ import _ship
@@ -18,6 +21,7 @@ def local_session():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidewatch-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -27,7 +31,9 @@ def local_session():
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session()
+    session = local_session()
+    yield session
+    remove_folders(session)
 
 
 @pytest.fixture(scope="session")

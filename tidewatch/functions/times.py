@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 EPOCH = "1970-01-01 00:00:00"
 END_OF_TIME = "9999-12-31 23:59:59.999999"
 
-# The longest duration that a day-time interval holds, in whole seconds.
-LONGEST_SECONDS = (2**63 - 1) // 1_000_000
+# Seconds that an interval is cut to: about 30,000 years, longer than the calendar.
+LONGEST_SECONDS = 999_999_999_999
 
 
 def ntz(text: str) -> Column:
@@ -19,7 +19,7 @@ def ntz(text: str) -> Column:
 
 
 def interval(seconds: float) -> Column:
-    """A day-time interval literal with micro-second precision; the longest one for infinity."""
+    """A day-time interval literal with micro-second precision; infinity is cut to the longest one."""
     seconds = max(-LONGEST_SECONDS, min(seconds, LONGEST_SECONDS))
     return F.expr(f"make_dt_interval(0, 0, 0, cast({seconds:.6f} as decimal(18, 6)))")
 

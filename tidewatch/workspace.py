@@ -28,7 +28,22 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A folder path under the shared root that nobody has used before."""
-    return f"{shared_root(spark)}/tidewatch/{purpose}-{uuid.uuid4().hex}"
+    return f"{_own_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _own_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/tidewatch/{spark.sparkContext.applicationId}"
+
+
+def remove_folders(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application.
+
+    Call it once no result that was built from them is needed any more; whoever starts the
+    session owns them.
+    """
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_own_root(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, purpose: str, folder: str | None = None) -> DataFrame:
