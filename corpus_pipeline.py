@@ -31,20 +31,20 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced in their texts and ``n_chars`` counted anew."""
     forest = secrets.fit(secrets.labelled_findings(spark))
-    found = secrets.scan(docs, forest)
-    changed = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
+    found = secrets.scan(docs, forest, findings="_findings", redacted="_redacted")
+    changed = {"text": F.col("_redacted"), "n_chars": F.length("_redacted").cast("long")}
     return found.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    plan = mixing.mix(docs).filter("copies > 0").select("doc_id", "source", "size", "copies").distinct()
-    plan = written(plan, "plan")
-    sized = docs.withColumn("size", mixing.word_count("text"))
+    taken = mixing.mix(docs).filter("copies > 0").select("doc_id", "source", F.col("size").alias("_size"), "copies")
+    plan = written(taken.distinct(), "plan")
+    sized = docs.withColumn("_size", mixing.word_count("text"))
     # Both sides grow with the documents: a shuffle at every size, never a broadcast.
-    joined = sized.join(plan.hint("merge"), same(sized, plan, ["doc_id", "source", "size"]))
+    joined = sized.join(plan.hint("merge"), same(sized, plan, ["doc_id", "source", "_size"]))
     repeated = F.explode(F.sequence(F.lit(1), plan["copies"].cast("int")))
-    return joined.select(*[docs[c] for c in docs.columns], repeated.alias("_copy")).drop("_copy")
+    return joined.select(*[sized[c] for c in docs.columns], repeated.alias("_copy")).drop("_copy")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import numpy as np
 import public_tokenizers
 import tiktoken
+from pyspark.sql.types import IntegerType, StringType
 
 import corpus_pipeline
 from tests.llm.helpers import classes, grams, words
@@ -87,7 +88,7 @@ def test_no_documents(spark, sf_dir):
 
 def test_odd_documents(spark, sf_dir):
     """Nulls in any column, repeated rows and extra columns go through every stage."""
-    schema = table(spark, sf_dir, "documents").schema.add("score", "string").add("size", "int")
+    schema = table(spark, sf_dir, "documents").schema.add("findings", StringType()).add("size", IntegerType())
     clean = table(spark, sf_dir, "documents").limit(30).collect()
     rows = [(*r, "x", 1) for r in clean] + [(*clean[0], "x", 1), (None, None, None, None, None, None, None), (10**6, "", "en", None, 0, None, 2)]
     docs = spark.createDataFrame(rows, schema)

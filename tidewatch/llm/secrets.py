@@ -152,28 +152,31 @@ def fit(findings: DataFrame, max_rows: int = MAX_FINDINGS, trees: int = TREES, d
     return Forest(model.toDebugString)
 
 
-def scan(docs: DataFrame, forest: Forest, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``findings`` and ``redacted``; columns of these names are replaced.
+def scan(
+    docs: DataFrame, forest: Forest, text_col: str = "text", threshold: float = THRESHOLD,
+    findings: str = "findings", redacted: str = "redacted",
+) -> DataFrame:
+    """``docs`` with the columns ``findings`` and ``redacted``; such columns are replaced.
 
     ``findings`` is an array of (``value``, ``before``, ``score``, ``secret``), one for each
     candidate of the whole text in its order; ``redacted`` is the text with every secret
     replaced by ``[secret]``.  A null text has no findings and stays null; an empty one stays
     empty; repeated rows are judged alike.
     """
-    columns = [c for c in docs.columns if c not in ("findings", "redacted")]
+    columns = [c for c in docs.columns if c not in (findings, redacted)]
     measured = _measured(docs.select(*columns), text_col)
     found = measured.withColumn("_scores", F.expr(f"transform(_measured, one -> {forest.score('one.features')})"))
-    found = found.withColumn("findings", F.zip_with("_measured", "_scores", lambda one, score: F.struct(
+    found = found.withColumn(findings, F.zip_with("_measured", "_scores", lambda one, score: F.struct(
         one["value"].alias("value"), one["before"].alias("before"), score.alias("score"),
         (score > threshold).alias("secret"))))
 
     def rebuilt(piece: Column, at: Column) -> Column:
-        one = F.get("findings", at)
+        one = F.get(findings, at)
         value = F.when(one["secret"], F.lit(PLACEHOLDER)).otherwise(one["value"])
         return F.concat(piece, F.coalesce(value, F.lit("")))
 
-    text = F.when(F.exists("findings", lambda one: one["secret"]), F.array_join(F.transform("_pieces", rebuilt), ""))
-    return found.select(*columns, "findings", F.coalesce(text, F.col(text_col)).alias("redacted"))
+    text = F.when(F.exists(findings, lambda one: one["secret"]), F.array_join(F.transform("_pieces", rebuilt), ""))
+    return found.select(*columns, findings, F.coalesce(text, F.col(text_col)).alias(redacted))
 
 
 def labelled_findings(spark: SparkSession, rows: int = MAX_FINDINGS, seed: int = 1) -> DataFrame:
