@@ -131,7 +131,8 @@ def copies_of(
     names = [*columns, "copies", "blocks", "block", "level"]
 
     def trade(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in (*unit, "size")])
+        # Large documents first: their fractions are settled by the many small ones after them.
+        rows = rows.sort_by([("size", "descending"), *[(c, "ascending") for c in unit]])
         source, block, level, blocks = (rows[c][0].as_py() for c in ("source", "block", "level", "blocks"))
         copies = rows["copies"].to_pylist()
         draw = random.Random(f"{seed} {source} {block} {level}").random
