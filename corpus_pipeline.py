@@ -30,7 +30,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced in their texts and ``n_chars`` counted anew."""
-    forest = secrets.fit(secrets.labelled_findings(spark))
+    forest = secrets.fit(secrets.findings_by_rule(spark))
     found = secrets.scan(docs, forest, findings="_findings", redacted="_redacted")
     changed = {"text": F.col("_redacted"), "n_chars": F.length("_redacted").cast("long")}
     return found.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -87,3 +87,41 @@ def test_no_python_in_the_plan(spark, forest):
     df = spark.createDataFrame([(1, "x", "", "")], SCHEMA)
     text = plan(secrets.scan(df, forest))
     assert "Python" not in text and "Arrow" not in text and "Exchange" not in text
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    return secrets.fit(secrets.findings_by_rule(spark))
+
+
+def test_secrets_of_every_length_and_sign(spark, wide):
+    block = "-----BEGIN RSA PRIVATE KEY-----{}-----END RSA PRIVATE KEY-----"
+    texts = {
+        'password = "hunter2!Xy" and': 'password = "[secret]" and',
+        'token = "QwErTyUiOpAsDfGhJkLz"': 'token = "[secret]"',
+        "postgres://svc:Tr0ub4dor@db": "postgres://svc:[secret]@db",
+        f"OAUTH2_CLIENT_SECRET={KEY}": "OAUTH2_CLIENT_SECRET=[secret]",
+        block.format("\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F1E\n\nMIIabc+/=\n"): "[secret]",
+        '{"private_key": "' + block.format("\\nMIIabc+/=\\n") + '\\n"}': '{"private_key": "[secret]\\n"}',
+        "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2\n\nlQOYBF\n=abcd\n-----END PGP PRIVATE KEY BLOCK-----": "[secret]",
+        'password = "' + "ab1!" * 50_000 + '"': 'password = "[secret]"',
+    }
+    harmless = [
+        "the password is required and responsibilities", 'password = os.environ["DB_PASSWORD"]', 'password: "changeme"',
+        "getUserAccountByOrderNumber", "http://host:8080/path/user@example.com", "thanonontioniner", 'password = ""',
+    ]
+    got = scanned(spark, wide, [*texts, *harmless])
+    assert [redacted for _, redacted in got] == [*texts.values(), *harmless]
+
+
+def test_before_is_the_text_in_front_of_the_match(spark, wide):
+    [(found, _)] = scanned(spark, wide, [f"FIRST_CLIENT_ID_12345 OAUTH2_CLIENT_SECRET={KEY}=="])
+    assert [f.value for f in found] == ["FIRST_CLIENT_ID_12345", KEY + "=="]
+    assert found[1].before == "FIRST_CLIENT_ID_12345 OAUTH2_CLIENT_SECRET="
+
+
+def test_held_out_assigned_findings(spark, wide):
+    rows = secrets.scan(secrets.assigned_findings(spark, 2000, seed=77), wide).collect()
+    judged = [(r.label, bool(r.findings) and r.findings[0].secret) for r in rows]
+    assert all(r.findings for r in rows if r.label)
+    assert sum(bool(a) == b for a, b in judged) / len(judged) > 0.95

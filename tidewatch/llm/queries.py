@@ -71,7 +71,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of every document, and the digest of its text without secrets."""
-    forest = secrets.fit(secrets.labelled_findings(spark))
+    forest = secrets.fit(secrets.findings_by_rule(spark))
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), forest)
     secret = F.filter("findings", lambda one: one["secret"])
     return found.select(
