@@ -76,3 +76,22 @@ def test_path_lengths():
     scores = rules.isolation(forest, np.array([[0.0, 0.0], [9.0, 9.0], [1.0, 1.0]]), 256)
     assert scores[1] > scores[2] > 0 and scores[1] > scores[0] + 0.1
     assert rules.isolation([], sample, 256).max() == 0 and len(rules.measures(pd.DataFrame(columns=[*rules.BASE, *rules.MORE]))) == 0
+
+
+def test_word_length_and_duplicate_lines_count(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(600):
+        text = ordinary(rng, 80)
+        bad = i % 20 == 0
+        if bad and i % 40:  # distinct words of 40 letters
+            text = " ".join("".join(rng.choices("abcdeilnorst", k=40)) for _ in range(80))
+        elif bad:  # most lines are copies of a two-word line, which is under the limit on repeated words
+            text = "\n".join([text, *["so it"] * 12])
+        rows.append((i, text, "x", "y"))
+        labels.append((i, int(not bad)))
+    got = rules.judge(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()
+    assert not any(r.base_failed for r in got)
+    good = dict(labels)
+    assert not any(r.kept for r in got if not good[r.doc_id])
+    assert sum(not r.kept for r in got if good[r.doc_id]) <= rules.MAX_GOOD_LOSS * 570

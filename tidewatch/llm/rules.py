@@ -35,6 +35,8 @@ STEP = 1e-4
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_capitals", "n_marked_words")
+#: All columns of :func:`with_statistics` besides the id.
+NAMES = (*BASE, *MORE, "n_lines")
 
 _SPACE = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -92,14 +94,19 @@ def statistics(text: str | None) -> tuple[int, ...]:
     )
 
 
+def lines_of(text: str | None) -> int:
+    """Lines that are not blank."""
+    return sum(1 for line in (text or "").split("\n") if line.strip(_SPACE))
+
+
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and the statistics of every whole text, one row per row; other columns are not read."""
     ship(docs.sparkSession)
-    names = [*BASE, *MORE]
+    names = NAMES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            rows = [statistics(text.as_py()) for text in batch.column(1)]
+            rows = [(*statistics(text), lines_of(text)) for text in (one.as_py() for one in batch.column(1))]
             made = [pa.array(column, pa.int64()) for column in (zip(*rows) if rows else [[]] * len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", *names])
 
@@ -124,6 +131,20 @@ def measures(rows: pd.DataFrame) -> np.ndarray:
     return np.column_stack([symbols / (symbols + words), rows["n_marked_words"].to_numpy() / words, *beyond])
 
 
+def base_measures(rows: pd.DataFrame) -> np.ndarray:
+    """Mean word length, and the shares of duplicate lines, repeated words and symbols, uncut."""
+    words, lines = np.maximum(1, rows["n_words"].to_numpy()), np.maximum(1, rows["n_lines"].to_numpy())
+    symbols = rows["n_symbols"].to_numpy()
+    return np.column_stack([
+        rows["word_chars"].to_numpy() / words, rows["n_dup_lines"].to_numpy() / lines,
+        rows["n_repeat_words"].to_numpy() / words, symbols / (symbols + words),
+    ])
+
+
+#: One forest on each of these; in one forest the spread of ordinary texts would hide rare signs.
+MEASURES = {"isolation": measures, "isolation_base": base_measures}
+
+
 def _mean_path(rows: np.ndarray | float) -> np.ndarray:
     """Mean path length of an unsuccessful search among so many rows."""
     n = np.asarray(rows, np.float64)
@@ -176,21 +197,21 @@ def isolation(forest: list[np.ndarray], points: np.ndarray, rows: int) -> np.nda
     return 2.0 ** (-total / len(forest) / max(float(_mean_path(rows)), 1e-9))
 
 
-def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> list[np.ndarray]:
-    """Trees from a bounded sample of the labelled rows that pass the plain rules.
+def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> dict[str, list[np.ndarray]]:
+    """Trees of every forest of ``MEASURES``, from a bounded sample of the labelled rows that pass the plain rules.
 
     A label is 1 for good and 0 for bad; the higher of several counts.  Without labels
     there are no trees, and nothing is anomalous.
     """
     told = _told(measured, labels, label).filter(~base_failed())
-    columns = [*BASE, *MORE]
+    columns = NAMES
     found = []
     for value, most in ((1, sample_rows), (0, max(1, int(sample_rows * BAD_SHARE)))):
         rows = told.filter(F.col("_label") == value).orderBy(F.xxhash64("doc_id"), "doc_id", *columns)
-        found.append(measures(rows.limit(most).select(*columns).toPandas()))
+        found.append(rows.limit(most).select(*columns).toPandas())
     good, bad = found
     bad = bad[: max(1, int(len(good) * BAD_SHARE / (1 - BAD_SHARE)))] if len(good) else bad
-    return grow(np.concatenate([good, bad]))
+    return {name: grow(np.concatenate([made(good), made(bad)])) for name, made in MEASURES.items()}
 
 
 def _told(measured: DataFrame, labels: DataFrame, label: str) -> DataFrame:
@@ -198,39 +219,47 @@ def _told(measured: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return measured.join(known.groupBy("doc_id").agg(F.max("_label").alias("_label")), "doc_id")
 
 
-def with_isolation(measured: DataFrame, forest: list[np.ndarray]) -> DataFrame:
-    """``measured`` with the column ``isolation``."""
+def with_isolation(measured: DataFrame, forests: dict[str, list[np.ndarray]]) -> DataFrame:
+    """``measured`` with the columns ``isolation`` and ``isolation_base``."""
     spark = measured.sparkSession
     ship(spark)
-    trees = spark.sparkContext.broadcast(forest)
+    trees = spark.sparkContext.broadcast(forests)
     rows = TREE_ROWS
 
-    @F.pandas_udf("double")
-    def scored(*columns: pd.Series) -> pd.Series:
-        frame = pd.concat(columns, axis=1, keys=[*BASE, *MORE])
-        return pd.Series(isolation(trees.value, measures(frame), rows))
+    @F.pandas_udf(", ".join(f"{name} double" for name in MEASURES))
+    def scored(*columns: pd.Series) -> pd.DataFrame:
+        frame = pd.concat(columns, axis=1, keys=NAMES)
+        return pd.DataFrame({name: isolation(trees.value[name], made(frame), rows) for name, made in MEASURES.items()})
 
-    return measured.withColumn("isolation", scored(*[F.col(c) for c in (*BASE, *MORE)]))
+    return measured.withColumn("_scores", scored(*[F.col(c) for c in NAMES])).select(*measured.columns, "_scores.*")
 
 
-def threshold(scored: DataFrame, labels: DataFrame, label: str = "quality", loss: float = MAX_GOOD_LOSS) -> float:
+def threshold(
+    scored: DataFrame, labels: DataFrame, label: str = "quality", loss: float = MAX_GOOD_LOSS, score: str = "isolation",
+    limits: dict[str, float] | None = None,
+) -> float:
     """The score above which a row is anomalous, from all labelled rows that pass the plain rules.
 
     Of the scores that reject at most ``loss`` of the good rows, the one that tells the bad
-    rows best from the good ones; 1 without good and bad rows.  The driver sees counts
-    per step of the score only.
+    rows best from the good ones; 1 without good and bad rows.  Rows that ``limits`` of other
+    scores reject count as lost already.  The driver sees counts per step of the score only.
     """
     told = _told(scored, labels, label).filter(~base_failed())
-    step = F.floor(F.col("isolation") / STEP).cast("int").alias("step")
+    out = F.lit(False)
+    for name, limit in (limits or {}).items():
+        out = out | (F.col(name) > limit)
+    step = F.when(out, F.lit(None)).otherwise(F.floor(F.col(score) / STEP)).cast("int").alias("step")
     counts = told.groupBy(step).agg(
         F.sum((F.col("_label") == 1).cast("long")).alias("good"), F.sum((F.col("_label") == 0).cast("long")).alias("bad")
     )
-    rows = sorted(counts.collect(), reverse=True)
-    all_good, all_bad = sum(r["good"] for r in rows), sum(r["bad"] for r in rows)
+    found = counts.collect()
+    rows = sorted((r for r in found if r["step"] is not None), reverse=True)
+    lost = sum(r["good"] for r in found if r["step"] is None)
+    all_good, all_bad = lost + sum(r["good"] for r in rows), sum(r["bad"] for r in rows)
     best, gained, good, bad = 1.0, 0.0, 0, 0
     for at, row in enumerate(rows):
         good, bad = good + row["good"], bad + row["bad"]
-        if good > loss * all_good or not all_bad or not all_good:
+        if lost + good > loss * all_good or not all_bad or not all_good:
             break
         gain = bad / all_bad - good / all_good
         if gain > gained:  # halfway to the next step that holds a row
@@ -240,14 +269,20 @@ def threshold(scored: DataFrame, labels: DataFrame, label: str = "quality", loss
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, the statistics, ``base_failed``, ``isolation`` and ``kept`` of every row of ``docs``.
+    """``doc_id``, the statistics, ``base_failed``, both scores and ``kept`` of every row of ``docs``.
 
-    A row is kept if it passes the plain rules and its isolation is at most the threshold.
+    A row is kept if it passes the plain rules and neither score is above its threshold; both
+    together reject at most ``MAX_GOOD_LOSS`` of the good labelled rows.
     Null and empty texts have statistics 0 and fail; null ids and repeated rows are judged
     like others, but null ids have no label.
     """
     measured = written(with_statistics(docs, id_col, text_col), "statistics")
     scored = written(with_isolation(measured, fit(measured, labels)), "isolation")
-    limit = threshold(scored, labels)
+    limits: dict[str, float] = {}
+    for name in MEASURES:
+        limits[name] = threshold(scored, labels, score=name, limits=limits)
     failed = scored.withColumn("base_failed", base_failed())
-    return failed.withColumn("kept", ~F.col("base_failed") & (F.col("isolation") <= limit))
+    usual = F.lit(True)
+    for name, limit in limits.items():
+        usual = usual & (F.col(name) <= limit)
+    return failed.withColumn("kept", ~F.col("base_failed") & usual)
