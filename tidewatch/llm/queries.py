@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, embeddings, extract, hosts, jaccard, mixing, quality, rules, secrets, warc
+from tidewatch.llm import bpe, decontaminate, embeddings, extract, hosts, jaccard, mixing, quality, rules, secrets, warc
 from tidewatch.llm.common import table
 from tidewatch.llm.sql import ORACLES as ORACLES
 from tidewatch.workspace import new_folder
@@ -103,6 +103,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in passages of the benchmark, and the items they are from."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -114,4 +123,5 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_main_text": op9_main_text,
     "op10_quality": op10_quality,
+    "op13_decontamination": op13_decontamination,
 }

@@ -140,7 +140,39 @@ select d.doc_id, least(d.doc_id, coalesce(l.low, d.doc_id)) as class_id, coalesc
 from documents d left join counts c on c.a = d.doc_id left join lowest l on l.node = d.doc_id
 """
 
+DECONTAMINATION = """
+with docs as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from documents
+), items as (
+  select cast(item_id as varchar) as item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from benchmark
+), windows as (
+  select distinct item_id, least(10, len(w)) as n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') as run
+  from items, unnest(range(1, len(w) - least(10, len(w)) + 2)) as t(i) where len(w) > 0
+), lengths as (select distinct n from windows
+), runs as (
+  select r, i, n, array_to_string(w[i : i + n - 1], ' ') as run
+  from docs, lengths, unnest(range(1, cast(len(w) - n + 2 as bigint))) as t(i)
+), found as (
+  select r, i, d.n, item_id from runs d join windows x on d.n = x.n and d.run = x.run
+), hit as (
+  select r, count(distinct i + k) as n_hit from (select distinct r, i, n from found), unnest(range(0, cast(n as bigint))) as t(k) group by r
+), named as (
+  select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
+  from (select distinct r, item_id from found where item_id is not null) group by r
+)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hit using (r) left join named using (r)
+"""
+
 ORACLES = {
+    "op13_decontamination": DECONTAMINATION,
     "op1_embedding_dedup": EMBEDDING_DEDUP,
     "op3_host_reputation": HOST_REPUTATION,
     "op6_warc": WARC,
