@@ -1,0 +1,131 @@
+import math
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidewatch.llm import whitening
+from tidewatch.llm.whitening import Spectrum
+
+SCHEMA = "vec_id long, embedding array<float>, whitened string, part string"
+
+
+def whole(vector):
+    return [math.floor(1024 * float(np.float32(c))) + 100_000 for c in vector]
+
+
+def check(found, vectors, components=8):
+    """``found`` rows against a plain eigendecomposition of ``vectors`` (id, vector) in exact numbers."""
+    x = [whole(v) for _, v in vectors]
+    n, sums = len(x), [sum(c) for c in zip(*x)]
+    gaps = np.array([[n * a - s for a, s in zip(row, sums)] for row in x], object)
+    centred = gaps.astype(np.float64) / n
+    values, basis = np.linalg.eigh(centred.T @ centred / n)
+    order = np.argsort(-values)
+    values, basis = values[order], basis[:, order]
+    size = min(components, int((values > len(values) * np.finfo(float).eps * values[0]).sum()))
+    rows = {}
+    for r in found:
+        rows.setdefault(r["vec_id"], {}).setdefault(r["component"], []).append(r)
+    assert sorted(r["component"] for r in found) == sorted(list(range(1, size + 1)) * n)
+    for c in range(size):
+        (explained,) = {r["explained"] for r in found if r["component"] == c + 1}
+        assert explained == pytest.approx(values[c] / values.sum(), rel=1e-9)
+    assert {r["n"] for r in found} == {n} and max(r["identity_error"] for r in found) < 1e-9
+    apart = [min(abs(values[c] - v) for k, v in enumerate(values) if k != c) > 1e-6 * values[0] for c in range(size)]
+    signs = {}
+    for (i, _), gap, white in zip(vectors, gaps, centred @ basis[:, :size] / np.sqrt(values[:size])):
+        for c in range(size):
+            deviation = sum(int(g) ** 2 for g in gap)
+            own = next(r for r in rows[i][c + 1] if r["deviation"] == deviation)
+            rows[i][c + 1].remove(own)
+            if apart[c]:  # vectors of equal eigenvalues may be any basis of their plane
+                if abs(white[c]) > 1e-6:
+                    signs.setdefault(c, np.sign(own["whitened"] * white[c]))
+                assert own["whitened"] == pytest.approx(signs.get(c, 1) * white[c], abs=1e-7)
+
+
+def frame(spark, vectors, parts=3):
+    rows = [(i, None if v is None else [None if c is None else float(c) for c in v], "w", "p") for i, v in vectors]
+    return spark.createDataFrame(rows, SCHEMA).repartition(parts)
+
+
+@pytest.mark.parametrize("parts,block,fan_in", [(1, 4096, 16), (5, 7, 2), (8, 1, 3)])
+def test_equal_to_plain_eigenvectors(spark, parts, block, fan_in):
+    draws = np.random.default_rng(4)
+    mixed = draws.normal(size=(90, 12)) @ draws.normal(size=(12, 12)) * 0.2
+    vectors = [(i * 7 - 50, v) for i, v in enumerate(mixed)]
+    found = whitening.whitened(frame(spark, vectors, parts), block_rows=block, fan_in=fan_in).collect()
+    check(found, vectors)
+
+
+def test_flat_directions_copies_and_equal_eigenvalues(spark):
+    draws = np.random.default_rng(5)
+    flat = np.column_stack([draws.normal(size=40), np.zeros(40), draws.normal(size=40)] + [np.ones(40)] * 3)
+    check(whitening.whitened(frame(spark, list(enumerate(flat)))).collect(), list(enumerate(flat)))
+    corners = [(k, v) for k, v in enumerate([(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)] * 4)]
+    found = whitening.whitened(frame(spark, corners)).collect()
+    check(found, corners)
+    for a in (1, 2, 3):  # whatever the basis, components are uncorrelated and of one
+        own = np.array([r["whitened"] for r in sorted((r for r in found if r["component"] == a), key=lambda r: r["vec_id"])])
+        assert np.mean(own * own) == pytest.approx(1) and abs(own.mean()) < 1e-12
+
+
+def test_far_from_zero_and_hardly_varying(spark):
+    """An offset of 10^9 against a spread of some units."""
+    draws = np.random.default_rng(6)
+    vectors = [(i, np.float32(1e6) + np.float32(0.25) * draws.integers(-2, 3, 4)) for i in range(50)]
+    check(whitening.whitened(frame(spark, vectors)).collect(), vectors)
+
+
+def test_unusable_rows(spark):
+    good = [(i, [float(i % 3), float(i * i % 5)]) for i in range(9)]
+    bad = [(100, None), (101, []), (102, [1.0, None]), (103, [1.0, float("nan")]), (104, [float("inf"), 1.0]), (105, [1.0, 2.0, 3.0])]
+    repeated = good + [(3, [2.5, 1.0])]
+    check(whitening.whitened(frame(spark, repeated + bad)).collect(), repeated)
+    assert whitening.whitened(frame(spark, good[:1])).collect() == []
+    assert whitening.whitened(frame(spark, [(i, [1.0, 2.0]) for i in range(5)])).collect() == []
+    assert whitening.whitened(frame(spark, bad[:5])).collect() == []
+    assert whitening.whitened(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_numbers_beyond_64_bits(spark):
+    vectors = [(0, [3e15, 0.0]), (1, [-3e15, 1.0]), (2, [0.0, 1.0]), (3, [1e30, 0.0])]
+    found = whitening.whitened(frame(spark, vectors)).collect()
+    assert {r["deviation"] for r in found} == {None} and len(found) in (4, 8)
+
+
+finite = st.floats(-50, 50).map(lambda c: round(c, 3))
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.lists(finite, min_size=5, max_size=5), min_size=1, max_size=12), st.integers(1, 12))
+def test_updates_keep_the_scatter(vectors, block):
+    x = np.array([whole(v) for v in vectors], np.int64)
+    spectra = [Spectrum.empty(5)]
+    for start in range(0, len(x), block):
+        spectra[-1].add(x[start : start + block])
+        if start % 2:
+            spectra.append(Spectrum.empty(5))
+    own = spectra[0]
+    for other in spectra[1:]:
+        if other.n:
+            own.combine(other)
+    centred = whitening.from_mean(x, len(x), [int(s) for s in x.sum(axis=0)]) / len(x)
+    want = centred.T @ centred
+    scale = max(1.0, np.abs(want).max())
+    assert np.abs(own.vectors.T @ own.vectors - np.eye(5)).max() < 1e-12
+    assert np.abs((own.vectors * own.values) @ own.vectors.T - want).max() < 1e-11 * scale
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([0.0, 1e-300, 1e-20, 1.0, 1.0 + 1e-15, 2.0, 1e8]), min_size=6, max_size=6),
+       st.lists(st.sampled_from([0.0, 1e-200, 1e-9, 1.0, -1.0, 3.0, 1e6]), min_size=6, max_size=6))
+def test_one_update_with_close_and_tiny_numbers(values, v):
+    basis, _ = np.linalg.qr(np.random.default_rng(1).normal(size=(6, 6)))
+    values, v = np.array(values), basis @ np.array(v)
+    d, q = whitening.rank_one_update(values, basis, v, 2.0)
+    want = (basis * values) @ basis.T + 2 * np.outer(v, v)
+    assert np.abs(q.T @ q - np.eye(6)).max() < 1e-12
+    assert np.abs((q * d) @ q.T - want).max() <= 1e-12 * max(np.abs(want).max(), 1e-290)

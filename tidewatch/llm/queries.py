@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, decontaminate, embeddings, extract, hosts, jaccard, mixing, quality, rules, secrets, warc
+from tidewatch.llm import align, bpe, decontaminate, embeddings, extract, hosts, jaccard, mixing, quality, rules, secrets, warc, whitening
 from tidewatch.llm.common import table
 from tidewatch.llm.sql import ORACLES as ORACLES
 from tidewatch.workspace import new_folder
@@ -103,6 +103,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight leading whitened components of every embedding."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def _vocabulary(name: str) -> bytes:
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two public tokenizers line up in every document, and which pairs are usual."""
+    docs = table(spark, sf_dir, "documents")
+    return align.linked(docs, _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in passages of the benchmark, and the items they are from."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -123,5 +139,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_main_text": op9_main_text,
     "op10_quality": op10_quality,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_token_alignment": op12_token_alignment,
     "op13_decontamination": op13_decontamination,
 }
