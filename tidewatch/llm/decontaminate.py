@@ -148,7 +148,8 @@ def contamination(
     else:
         matched = named.limit(0).select(
             "key", F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit("").alias("item_set"))
-    result = _per_text(matched, sets)
+    # Written, so that its size is known and Spark may split a text with many copies in the join.
+    result = written(_per_text(matched, sets), "contaminated")
     joined = texts.select("doc_id", "key", F.size(words("text")).cast("long").alias("n_words")).join(result, "key", "left")
     return joined.select(
         "doc_id", "n_words",
