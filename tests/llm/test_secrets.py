@@ -125,3 +125,20 @@ def test_held_out_assigned_findings(spark, wide):
     judged = [(r.label, bool(r.findings) and r.findings[0].secret) for r in rows]
     assert all(r.findings for r in rows if r.label)
     assert sum(bool(a) == b for a, b in judged) / len(judged) > 0.95
+
+
+@pytest.mark.parametrize("unit,size", [
+    ("://a:b", 300_000), ("://user:pa/ss?w", 300_000), ("password=", 300_000), ("://a:b@c", 40_000), ("-----BEGIN RSA PRIVATE KEY-----", 100_000),
+])
+def test_hostile_texts_take_linear_time(spark, wide, unit, size):
+    """The time of a quadratic pattern would be many times the limit."""
+    import time
+
+    start = time.perf_counter()
+    [(_, redacted)] = scanned(spark, wide, [unit * (size // len(unit))])
+    assert redacted and time.perf_counter() - start < 15
+
+
+def test_passwords_with_slashes(spark, wide):
+    texts = ["postgres://svc:Tr0/ub4?dor@db", "see http://a:80/x and postgres://svc:Tr0ub4:dor@db"]
+    assert [r for _, r in scanned(spark, wide, texts)] == ["postgres://svc:[secret]@db", "see http://a:80/x and postgres://svc:[secret]@db"]

@@ -9,6 +9,7 @@ machine learning library on labelled findings.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -16,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.workspace import written
+from tidewatch.workspace import new_folder, written
 
 PLACEHOLDER = "[secret]"
 #: Key blocks that are secrets by their form, whatever the trees say: data or a line end follows the mark.
@@ -73,13 +74,14 @@ def _quoted(sign: str) -> str:
     )
 
 
-#: A private key block; the password of a url; a value of any length after a secret's name,
+#: A private key block; the password of a url, which holds no "://", so that no part of a text is read for
+#: two urls; a value of any length after a secret's name,
 #: quoted or not; 16 and more characters of keys and digests, unless they are a secret's name
 #: with a value behind it.  No loop over alternatives can be re-entered: Java would recurse.
 CANDIDATE = (
     r"-{4,5} ?BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)? ?-{4,5}(?:(?!-{4,5} ?(?:BEGIN|END) )[\s\S])*+"
     r"-{4,5} ?END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)? ?-{4,5}"
-    r"""|(?<=:)(?<=://[^\s/:@"'`<>]{0,255}:)(?!\d{1,5}[/?#,])(?:[^\s/?#"'`<>]+(?=@)|[^\s"'`<>@]+(?=@))"""
+    r"""|(?<=:)(?!//)(?<=://[^\s/:@"'`<>]{0,255}:)(?!\d{1,5}[/?#,])(?:[^\s/?#"'`<>]+(?=@)|(?:[^\s"'`<>@:]|:(?!//))++(?=@))"""
     r"""|(?<=[:=(>,\s"'`])(?=[^\s"'`])(?:"""
     rf"(?<![A-Za-z0-9]\s)(?<=[:=(>,]\s{{0,40}}(?:[bfruBFRUL@]{{0,2}}[\\\"'`]{{1,4}})?)(?<={_NAMES}{_ASSIGN})"
     rf"|(?<={_SCHEME}\s{{1,4}})(?<=(?i:auth|authorization){_ASSIGN}{_SCHEME}\s{{1,4}}))"
@@ -166,18 +168,13 @@ def _measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return with_candidates(docs, text_col).withColumn("_tails", tails).withColumn("_measured", F.transform("_values", measured))
 
 
-def _branch(lines: list[str], at: int, features: str) -> tuple[str, int]:
-    """SQL of the node in line ``at``, and the line after it."""
-    if lines[at].startswith("Predict:"):
-        return f"{float(lines[at].split(':')[1])}D", at + 1
-    column, bound = re.match(r"If \(feature (\d+) <= (\S+)\)", lines[at]).groups()
-    low, at = _branch(lines, at + 1, features)
-    high, at = _branch(lines, at + 1, features)  # its first line is the Else
-    return f"CASE WHEN {features}[{column}] <= {float(bound)!r}D THEN {low} ELSE {high} END", at
+def _list(values: list, kind: str) -> str:
+    """A literal array in SQL: one text, which the optimizer turns into the array once."""
+    return f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)"
 
 
 class Forest:
-    """The trees of a fitted forest, taken from its description, to be turned into SQL."""
+    """The trees of a fitted forest, taken from its description, as flat lists of nodes."""
 
     def __init__(self, description: str):
         self.trees: list[list[str]] = []
@@ -187,10 +184,37 @@ class Forest:
             elif line.strip():
                 self.trees[-1].append(line.strip())
 
+    def _nodes(self) -> tuple[list[int], list[tuple[int, float, int, int, float]], int]:
+        """The roots, all nodes as (feature, bound, lower child, upper child, vote), and the longest way down.
+
+        A leaf is its own child, so that every way may be walked for the same number of steps.
+        """
+        nodes: list[tuple[int, float, int, int, float]] = []
+
+        def place(lines: Iterator[str]) -> tuple[int, int]:
+            own, line = len(nodes), next(lines)
+            if line.startswith("Predict:"):
+                nodes.append((0, 0.0, own, own, float(line.split(":")[1])))
+                return own, 0
+            column, bound = re.match(r"If \(feature (\d+) <= (\S+)\)", line).groups()
+            nodes.append((0, 0.0, own, own, 0.0))
+            low, low_depth = place(lines)
+            next(lines)  # the Else
+            high, high_depth = place(lines)
+            nodes[own] = int(column), float(bound), low, high, 0.0
+            return own, 1 + max(low_depth, high_depth)
+
+        placed = [place(iter(tree)) for tree in self.trees]
+        return [root for root, _ in placed], nodes, max(depth for _, depth in placed)
+
     def score(self, features: str) -> str:
         """SQL of the share of trees that vote for a secret, given the SQL of the feature array."""
-        votes = [_branch(tree, 0, features)[0] for tree in self.trees]
-        return f"({' + '.join(votes)}) / {len(votes)}D"
+        roots, nodes, depth = self._nodes()
+        feature, bound, low, high, vote = (
+            _list(list(column), kind) for column, kind in zip(zip(*nodes), ("int", "double", "int", "int", "double")))
+        step = f"if({features}[{feature}[at]] <= {bound}[at], {low}[at], {high}[at])"
+        leaf = f"aggregate(sequence(1, {max(depth, 1)}), root, (at, step) -> {step})"
+        return f"aggregate({_list(roots, 'int')}, 0D, (votes, root) -> votes + {vote}[{leaf}]) / {len(roots)}D"
 
 
 def fit(findings: DataFrame, max_rows: int = MAX_FINDINGS, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> Forest:
@@ -250,6 +274,19 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def _generated(spark: SparkSession, made: Callable[[SparkSession], DataFrame]) -> DataFrame:
+    """The rows of ``made`` as a table of ``spark``.
+
+    They are few and their expressions many, so a session of their own evaluates them without compiling,
+    which would take the driver hundreds of megabytes.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    rows, folder = made(session), new_folder(spark, "labelled")
+    return spark.read.schema(written(rows, "labelled", folder).schema).parquet(folder)
+
+
 def _pick(made: list[Column], salt: int) -> Column:
     at = _draw(salt, len(made))
     return reduce(lambda rest, one: F.when(at == one[0], one[1]).otherwise(rest), enumerate(made), F.lit(""))
@@ -263,6 +300,10 @@ def labelled_findings(spark: SparkSession, rows: int = MAX_FINDINGS, seed: int =
     by mistake: digests, commits, numbers, identifiers, paths, links and placeholders.
     Some are in capitals, quoted, or followed by punctuation.
     """
+    return _generated(spark, lambda session: _labelled_rows(session, rows, seed))
+
+
+def _labelled_rows(spark: SparkSession, rows: int, seed: int) -> DataFrame:
     keys = ["token", "api_key", "secret", "access_key", "auth_token", "client_secret", "password", "API-KEY"]
     plain = ["", "see ", "commit ", "sha256: ", "md5 ", "checksum = ", "id: ", "revision ", "etag ", "integrity sha512-"]
     numbers = ["", "card ", "order ", "call ", "invoice ", "phone "]
@@ -312,7 +353,7 @@ def labelled_findings(spark: SparkSession, rows: int = MAX_FINDINGS, seed: int =
     line = F.when(_draw(30, 6) == 0, F.upper("line")).otherwise(F.col("line"))
     lead = _choose(["", "and then ", "erwh thon. ", "| ", "THE!! ", "of%%% the&&& "], 31)
     tail = _choose(["", "", " and so on", "!!", "###", " | rest", ".", ","], 32)
-    return written(made.select(F.concat(lead, line, tail).alias("text"), "label"), "labelled")
+    return made.select(F.concat(lead, line, tail).alias("text"), "label")
 
 
 def assigned_findings(spark: SparkSession, rows: int = MAX_FINDINGS, seed: int = 2) -> DataFrame:
@@ -322,6 +363,10 @@ def assigned_findings(spark: SparkSession, rows: int = MAX_FINDINGS, seed: int =
     of other makes; the others are long words, names and paths, and code or placeholders after
     a secret's name.
     """
+    return _generated(spark, lambda session: _assigned_rows(session, rows, seed))
+
+
+def _assigned_rows(spark: SparkSession, rows: int, seed: int) -> DataFrame:
     def part(name: str, start: int, length: int) -> Column:
         return F.substring(name, start, length)
 
@@ -383,7 +428,7 @@ def assigned_findings(spark: SparkSession, rows: int = MAX_FINDINGS, seed: int =
     line = F.when(F.col("label") == 1, _pick(secrets, 20)).otherwise(_pick(others, 21))
     lead = _choose(["", "and then ", "erwh thon. ", "| ", "the ", "  "], 31)
     tail = _choose(["", "", " and so on", "\n", " | rest", "\nthe"], 32)
-    return written(made.select(F.concat(lead, line, tail).alias("text"), "label"), "labelled")
+    return made.select(F.concat(lead, line, tail).alias("text"), "label")
 
 
 def findings_by_rule(spark: SparkSession, rows: int = MAX_FINDINGS) -> DataFrame:
