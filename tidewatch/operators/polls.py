@@ -60,7 +60,8 @@ def normalize(polls: DataFrame, outputs: DataFrame) -> DataFrame:
     listed = outputs.select("seed", "poll_no").distinct()
     empty = marked.join(listed, ["seed", "poll_no"], "left_anti")
     full = outputs.select("seed", "poll_no", "pos", "value", "event_ts").join(marked, ["seed", "poll_no"], "left")
-    full = full.withColumn("done", F.coalesce("done", _no_poll()))
+    # Filtered on, so that the check holds whatever columns are read.
+    full = full.filter(F.coalesce("done", _no_poll()).isNotNull())
     return full.unionByName(empty, allowMissingColumns=True)
 
 
@@ -71,9 +72,9 @@ def with_discovery_time(outputs: DataFrame, polls: DataFrame) -> DataFrame:
     """
     times = written(polls.select("seed", "poll_no", "poll_ts"), "polls")
     dated = outputs.join(times, ["seed", "poll_no"], "left")
-    polled = F.coalesce("poll_ts", _no_poll())
-    found = discovery_time(F.col("event_ts"), polled).alias("discovered_ts")
-    return dated.select(*[c for c in outputs.columns if c != "event_ts"], found)
+    polled = dated.filter(F.coalesce(F.col("poll_ts"), _no_poll().cast("timestamp_ntz")).isNotNull())
+    found = discovery_time(F.col("event_ts"), F.col("poll_ts")).alias("discovered_ts")
+    return polled.select(*[c for c in outputs.columns if c != "event_ts"], found)
 
 
 def with_emit_order(fresh: DataFrame) -> DataFrame:

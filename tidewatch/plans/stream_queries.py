@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, time, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +12,11 @@ from tidewatch.plans import tables
 from tidewatch.plans.source_queries import ORACLES as SOURCE_SQL
 from tidewatch.plans.source_queries import RECORDS_SQL
 from tidewatch.plans.spec import Watch, WatchSpec
-from tidewatch.plans.watch_queries import LOG_SQL
+from tidewatch.plans.tables import Days, PollLog
+from tidewatch.plans.watch_queries import DAY_SQL, LOG_SQL, START_SQL
 from tidewatch.sources import CountingSource, EmptySource
 from tidewatch.streaming import dedup, files, splits, ticks
-from tidewatch.streaming.increments import extend, follow, found
+from tidewatch.streaming.increments import extend, follow, found, seen_keys
 from tidewatch.streaming.run import drained, each_batch, stream_session, write_available
 from tidewatch.workspace import new_folder
 
@@ -24,10 +25,9 @@ SNAPSHOT_DAYS = 8
 STEP = 7
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> int:
+def _snapshots(days: Days) -> int:
     """Snapshot polls until every event is listed; one at least."""
-    days = tables.last_poll(tables.events(spark, sf_dir)) - tables.LISTED_DAYS + 1
-    return max(1, -(-days // SNAPSHOT_DAYS))
+    return max(1, -(-days.last // SNAPSHOT_DAYS))
 
 
 def _event_stream(session: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ def source_read_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def watch_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = stream_session(spark)
-    outputs = tables.outputs_of(_event_stream(session, sf_dir)).drop("props")
+    outputs = PollLog(tables.events(spark, sf_dir)).outputs(_event_stream(session, sf_dir))
     once = dedup.first_of_keys(outputs, ["seed", "value"], "pos")
     return drained(spark, once.select("seed", "value"), "watch-dedup")
 
@@ -134,12 +134,13 @@ def watch_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def watch_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log is written by poll, then worked off in steps of seven polls."""
     root = new_folder(spark, "watch-incremental")
-    outputs = tables.poll_outputs(tables.events(spark, sf_dir))
+    polls = PollLog(tables.events(spark, sf_dir))
+    outputs, last = polls.outputs(), polls.last_poll
     outputs.repartitionByRange("poll_no", "pos").write.partitionBy("poll_no").parquet(f"{root}/log")
     log = spark.read.schema(outputs.schema).parquet(f"{root}/log")
-    last = tables.last_poll(tables.events(spark, sf_dir))
-    for after in range(0, last, STEP):
-        extend(log, root, after, min(after + STEP, last))
+    with seen_keys(spark, root) as seen:
+        for after in range(0, last, STEP):
+            extend(log, root, after, min(after + STEP, last), seen=seen)
     return found(log, root) if last else log
 
 
@@ -147,7 +148,7 @@ def watch_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The poll log arrives in two waves and is followed as a stream, which restarts in between."""
     session = stream_session(spark)
     root = new_folder(spark, "watch-log")
-    outputs = tables.poll_outputs(tables.events(spark, sf_dir))
+    outputs = PollLog(tables.events(spark, sf_dir)).outputs()
     for wave in (outputs.filter("poll_no <= 15"), outputs.filter("poll_no > 15")):
         wave.write.mode("append").parquet(f"{root}/log")
         log = session.readStream.schema(outputs.schema).parquet(f"{root}/log")
@@ -155,12 +156,12 @@ def watch_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(outputs, f"{root}/watch")
 
 
-def snapshot_poll(sf_dir: str):
+def snapshot_poll(sf_dir: str, days: Days):
     """A poll of all seeds in one job: every event up to the poll's day, as a full listing."""
 
     def poll(seeds: DataFrame, poll_no: int, poll_ts: datetime) -> DataFrame:
         events = tables.events(seeds.sparkSession, sf_dir)
-        known = events.filter(tables.day_no("ts") <= poll_no * SNAPSHOT_DAYS)
+        known = events.filter(days.number("ts") <= poll_no * SNAPSHOT_DAYS)
         listed = known.select(
             F.col("event_type").alias("seed"),
             F.col("event_id").alias("pos"),
@@ -175,26 +176,25 @@ def snapshot_poll(sf_dir: str):
     return poll
 
 
-def snapshot_clock(poll_no: int) -> datetime:
-    return datetime(2024, 1, 1) + timedelta(days=poll_no * SNAPSHOT_DAYS)
-
-
-def _snapshot_spec(spark: SparkSession, sf_dir: str) -> WatchSpec:
+def _snapshot_spec(sf_dir: str, days: Days) -> WatchSpec:
     return (
-        Watch.growth_of(snapshot_poll(sf_dir))
+        Watch.growth_of(snapshot_poll(sf_dir, days))
         .with_poll_interval(0.1)
         .with_max_completed_size(None)
-        .with_termination_per_input(term.after_iterations(snapshots(spark, sf_dir)))
+        .with_termination_per_input(term.after_iterations(_snapshots(days)))
     )
 
 
-def _snapshot_ticks(spark: SparkSession, sf_dir: str, root: str, spec: WatchSpec) -> ticks.Ticks:
-    return ticks.Ticks(spark, spec, lambda s: tables.seeds(tables.events(s, sf_dir)), root, snapshot_clock)
+def _snapshot_ticks(spark: SparkSession, log: PollLog, root: str, spec: WatchSpec) -> ticks.Ticks:
+    start = datetime.combine(log.days.first, time())
+    clock = lambda poll_no: start + timedelta(days=poll_no * SNAPSHOT_DAYS)
+    return ticks.Ticks(spark, spec, lambda _: log.seeds(), root, clock)
 
 
 def watch_live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A running watch: the stream's clock polls until every seed has stopped."""
-    watch = _snapshot_ticks(spark, sf_dir, new_folder(spark, "watch-live"), _snapshot_spec(spark, sf_dir))
+    log = PollLog(tables.events(spark, sf_dir))
+    watch = _snapshot_ticks(spark, log, new_folder(spark, "watch-live"), _snapshot_spec(sf_dir, log.days))
     if not ticks.run(watch, timeout=3600):
         raise RuntimeError("the watch did not end")
     return watch.emitted().select("seed", "poll_no", "pos", "value", "discovered_ts")
@@ -202,11 +202,12 @@ def watch_live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def watch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tick is worked off twice, as after a crash: nothing may change."""
-    spec = _snapshot_spec(spark, sf_dir)
-    watch = _snapshot_ticks(spark, sf_dir, new_folder(spark, "watch-replay"), spec)
-    for poll_no in range(1, snapshots(spark, sf_dir) + 1):
+    log = PollLog(tables.events(spark, sf_dir))
+    watch = _snapshot_ticks(spark, log, new_folder(spark, "watch-replay"), _snapshot_spec(sf_dir, log.days))
+    for poll_no in range(1, _snapshots(log.days) + 1):
         watch.tick(poll_no)
         watch.tick(poll_no)
+    watch.close()
     return watch.emitted().select("seed", "poll_no", "pos", "value", "discovered_ts")
 
 
@@ -227,13 +228,15 @@ class Harvests(term.StatefulTermination):
 
 def term_custom_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A live watch whose stop condition keeps a state of its own per seed."""
-    polls = snapshots(spark, sf_dir)
-    spec = _snapshot_spec(spark, sf_dir).with_termination_per_input(
+    log = PollLog(tables.events(spark, sf_dir))
+    polls = _snapshots(log.days)
+    spec = _snapshot_spec(sf_dir, log.days).with_termination_per_input(
         term.either_of(Harvests(), term.after_iterations(polls))
     )
-    watch = _snapshot_ticks(spark, sf_dir, new_folder(spark, "watch-custom"), spec)
+    watch = _snapshot_ticks(spark, log, new_folder(spark, "watch-custom"), spec)
     for poll_no in range(1, polls + 1):
         watch.tick(poll_no)
+    watch.close()
     return watch.emitted().select("seed", "poll_no", "pos", "value", "discovered_ts")
 
 
@@ -241,7 +244,8 @@ def watch_files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that appear in a folder in two waves; the stream restarts in between."""
     session = stream_session(spark)
     root = new_folder(spark, "watch-files")
-    events = tables.events(spark, sf_dir).withColumn("day", tables.day_no("ts"))
+    events = tables.events(spark, sf_dir)
+    events = events.withColumn("day", tables.days_of(events).number("ts"))
     for wave in (events.filter("day <= 15"), events.filter("day > 15")):
         wave.select("event_type", "event_id", "day").repartitionByRange("event_type", "day", "event_id").write.mode("append").partitionBy(
             "event_type", "day"
@@ -272,14 +276,11 @@ QUERIES = {
 }
 
 SNAPSHOT_SQL = f"""
-select event_type as seed, cast(ceil((date_diff('day', date '2024-01-01', cast(ts as date)) + 1) / {SNAPSHOT_DAYS})
-                                as int) as poll_no,
-       event_id as pos, user_id as value,
-       case when event_id % 3 <> 0 then ts
-            else timestamp '2024-01-01 00:00:00' + to_days(cast({SNAPSHOT_DAYS} * ceil(
-                   (date_diff('day', date '2024-01-01', cast(ts as date)) + 1) / {SNAPSHOT_DAYS}) as int))
-       end as discovered_ts
-from (select *, row_number() over (partition by event_type, user_id order by event_id) as rn from events)
+select seed, poll_no, pos, value, coalesce(event_ts, start + to_days({SNAPSHOT_DAYS} * poll_no)) as discovered_ts
+from (select *, row_number() over (partition by seed, value order by poll_no, pos) as rn
+      from (select event_type as seed, cast(ceil({DAY_SQL} / {SNAPSHOT_DAYS}) as int) as poll_no, event_id as pos,
+                   user_id as value, case when event_id % 3 <> 0 then ts end as event_ts, {START_SQL} as start
+            from events))
 where rn = 1"""
 
 FIRST_SEEN_SQL = LOG_SQL + """
@@ -316,8 +317,7 @@ from cut where ended = 0""",
     "watch_log_stream": FIRST_SEEN_SQL,
     "term_custom_live": f"""
 with fresh as ({SNAPSHOT_SQL}),
-snaps as (select cast(greatest(1, ceil((date_diff('day', date '2024-01-01', max(cast(ts as date))) + 1)
-                                       / {SNAPSHOT_DAYS})) as int) as last from events),
+snaps as (select cast(greatest(1, ceil(max({DAY_SQL}) / {SNAPSHOT_DAYS})) as int) as last from events),
 polls as (select seed, poll_no, count(f.value) as n_new
           from (select distinct seed from fresh) s cross join (select cast(unnest(range(1, (select max(last) from snaps) + 1)) as int) as poll_no) n
           left join fresh f using (seed, poll_no) group by seed, poll_no),
@@ -326,7 +326,5 @@ stops as (select seed, min(poll_no) as stop_at from harvests where had >= 3 or p
 select f.* from fresh f join stops s on f.seed = s.seed where f.poll_no <= s.stop_at""",
     "watch_replay": SNAPSHOT_SQL,
     "watch_live_stream": SNAPSHOT_SQL,
-    "watch_files_stream": """
-select distinct event_type, cast(date_diff('day', date '2024-01-01', cast(ts as date)) + 1 as int) as day
-from events""",
+    "watch_files_stream": f"select distinct event_type, cast({DAY_SQL} as int) as day from events",
 }

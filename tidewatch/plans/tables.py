@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from dataclasses import dataclass
+from datetime import date
+from functools import cached_property, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from pyspark.sql import functions as F
 from tidewatch.functions.times import days, ntz
 from tidewatch.workspace import written
 
-T0 = "2024-01-01 00:00:00"
+# The first day if no event has a time.
+T0 = "2024-01-01"
 LISTED_DAYS = 3
 SPLITS = 4
 # Second deliveries come after all first ones: an id at or above this is an error.
@@ -46,65 +49,108 @@ def over_events(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
-def day_no(ts: Column | str) -> Column:
-    """Days since T0, from 1."""
-    return F.datediff(F.to_date(ts), F.lit("2024-01-01").cast("date")) + 1
+def over_log(query: Callable[["PollLog"], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A registered query from a function of the poll log."""
+    return over_events(lambda opened: query(PollLog(opened)))
 
 
-def after_days(n: Column | str) -> Column:
-    return ntz(T0) + F.make_dt_interval(F.col(n) if isinstance(n, str) else n)
+@dataclass(frozen=True)
+class Days:
+    """The days that events fall on, numbered from 1 on the day of the earliest one.
 
+    An event without a time falls on day 1.  ``last`` is the last day of an event, 0 without events.
+    """
 
-def seeds(events: DataFrame) -> DataFrame:
-    names = events.select(F.col("event_type").alias("seed")).distinct()
-    return names.select(
-        "seed",
-        ntz(T0).alias("added_at"),
-        F.when(F.col("seed") == "click", ntz(T0) + days(2)).alias("event_ts"),
-    )
+    first: date
+    last: int
 
+    def number(self, ts: Column | str) -> Column:
+        since = F.datediff(F.to_date(ts), F.lit(self.first.isoformat()).cast("date"))
+        return F.coalesce(since + 1, F.lit(1))
 
-def last_poll(events: DataFrame) -> int:
-    """The last poll that lists an event; 0 without events.  One pass over one column."""
-    last = events.agg(F.max(day_no("ts"))).first()[0]
-    return 0 if last is None else last + LISTED_DAYS - 1
+    def midnight(self) -> Column:
+        return ntz(f"{self.first.isoformat()} 00:00:00")
 
+    def after(self, n: Column | str) -> Column:
+        """Midnight ``n`` days after that of the first day."""
+        return self.midnight() + F.make_dt_interval(F.col(n) if isinstance(n, str) else n)
 
-def polls(events: DataFrame) -> DataFrame:
-    """One poll per seed and day; some report a watermark, one that falls, one completes."""
-    numbers = F.filter(F.sequence(F.lit(0), F.lit(max(0, last_poll(events)))), lambda n: n > 0)
-    numbered = seeds(events).select("seed", F.explode(numbers).alias("poll_no"))
-    no = F.col("poll_no")
-    return numbered.select(
-        "seed",
-        "poll_no",
-        after_days(no).alias("poll_ts"),
-        F.when(no % 7 == 0, after_days(no - 5)).when(no % 5 == 0, after_days(no - 1)).alias("watermark"),
-        ((F.col("seed") == "error") & (no == 25)).alias("complete"),
-    )
 
+def days_of(events: DataFrame) -> Days:
+    """One pass over one column."""
+    found = events.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts")), F.count("*")).first()
+    first, last, count = found
+    if first is None:
+        return Days(date.fromisoformat(T0), 1 if count else 0)
+    return Days(first, (last - first).days + 1)
 
-def outputs_of(events: DataFrame) -> DataFrame:
-    """Each poll lists the users of the last three days, so keys repeat in and across polls."""
-    listed = events.select("*", F.explode(F.array(*[F.lit(i) for i in range(LISTED_DAYS)])).alias("_lag"))
-    rows = listed.select(
-        F.col("event_type").alias("seed"),
-        (day_no("ts") + F.col("_lag")).cast("int").alias("poll_no"),
-        F.col("event_id").alias("pos"),
-        F.col("user_id").alias("value"),
-        F.when(F.col("event_id") % 3 != 0, F.col("ts")).alias("event_ts"),
-        "props",
-    )
-    return rows.filter(~((F.col("seed") == "signup") & (F.col("poll_no") % 6 == 0)))
 
+class PollLog:
+    """The poll log of a watch that polls once a day; each poll lists the events of the last ``LISTED_DAYS`` days.
 
-def poll_outputs(events: DataFrame) -> DataFrame:
-    return outputs_of(events).drop("props")
+    It starts on the day of the earliest event and ends when a poll has listed the latest one.
+    """
+
+    def __init__(self, events: DataFrame):
+        self.events = events
+
+    @cached_property
+    def days(self) -> Days:
+        return days_of(self.events)
+
+    @property
+    def last_poll(self) -> int:
+        """The last poll that lists an event; 0 without events."""
+        return self.days.last + LISTED_DAYS - 1 if self.days.last else 0
+
+    def seeds(self) -> DataFrame:
+        names = self.events.select(F.col("event_type").alias("seed")).distinct()
+        start = self.days.midnight()
+        return names.select(
+            "seed", start.alias("added_at"), F.when(F.col("seed") == "click", start + days(2)).alias("event_ts"),
+        )
 
+    def polls(self) -> DataFrame:
+        """One poll per seed and day; some report a watermark, one that falls, one completes."""
+        numbers = F.filter(F.sequence(F.lit(0), F.lit(self.last_poll)), lambda n: n > 0)
+        numbered = self.seeds().select("seed", F.explode(numbers).alias("poll_no"))
+        no, after = F.col("poll_no"), self.days.after
+        return numbered.select(
+            "seed",
+            "poll_no",
+            after(no).alias("poll_ts"),
+            F.when(no % 7 == 0, after(no - 5)).when(no % 5 == 0, after(no - 1)).alias("watermark"),
+            ((F.col("seed") == "error") & (no == 25)).alias("complete"),
+        )
 
-def poll_outputs_with_props(events: DataFrame) -> DataFrame:
-    """The same log with a JSON document as value."""
-    return outputs_of(events).drop("value").withColumnRenamed("props", "value")
+    def _listed(self, events: DataFrame) -> DataFrame:
+        """Each poll lists the users of the last three days, so keys repeat in and across polls."""
+        listed = events.select("*", F.explode(F.array(*[F.lit(i) for i in range(LISTED_DAYS)])).alias("_lag"))
+        rows = listed.select(
+            F.col("event_type").alias("seed"),
+            (self.days.number("ts") + F.col("_lag")).cast("int").alias("poll_no"),
+            F.col("event_id").alias("pos"),
+            F.col("user_id").alias("value"),
+            F.when(F.col("event_id") % 3 != 0, F.col("ts")).alias("event_ts"),
+            "props",
+        )
+        return rows.filter(~((F.col("seed") == "signup") & (F.col("poll_no") % 6 == 0)))
+
+    def outputs(self, events: DataFrame | None = None) -> DataFrame:
+        """What the polls listed, of ``events`` if given, which may be a stream over the same table."""
+        return self._listed(self.events if events is None else events).drop("props")
+
+    def outputs_with_props(self) -> DataFrame:
+        """The same log with a JSON document as value."""
+        return self._listed(self.events).drop("value").withColumnRenamed("props", "value")
+
+
+def polls(events: DataFrame) -> DataFrame:
+    return PollLog(events).polls()
+
+
+def poll_outputs(events: DataFrame) -> DataFrame:
+    return PollLog(events).outputs()
 
 
 def records_of(events: DataFrame) -> DataFrame:

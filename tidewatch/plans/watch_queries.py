@@ -23,6 +23,7 @@ from tidewatch.operators.polls import (
     with_running_state,
 )
 from tidewatch.plans import tables
+from tidewatch.plans.tables import PollLog
 from tidewatch.plans.spec import Watch
 
 TOTAL = term.after_total_of(timedelta(days=10))
@@ -33,101 +34,101 @@ QUIET_POLL = term.custom(lambda: (F.col("n_new") == 0) & (F.col("poll_no") % 4 =
 CAP = 50
 
 
-def _fresh(events: DataFrame) -> DataFrame:
-    return first_seen(tables.poll_outputs(events))
+def _fresh(log: PollLog) -> DataFrame:
+    return first_seen(log.outputs())
 
 
-def _new_outputs(events: DataFrame) -> DataFrame:
-    found = with_discovery_time(_fresh(events), tables.polls(events))
+def _new_outputs(log: PollLog) -> DataFrame:
+    found = with_discovery_time(_fresh(log), log.polls())
     return found.withColumn("key_hash", key_digest("value"))
 
 
-def _summary(events: DataFrame) -> DataFrame:
-    return poll_summary(tables.seeds(events), tables.polls(events), _fresh(events))
+def _summary(log: PollLog) -> DataFrame:
+    return poll_summary(log.seeds(), log.polls(), _fresh(log))
 
 
-def _state(events: DataFrame) -> DataFrame:
-    return with_running_state(_summary(events))
+def _state(log: PollLog) -> DataFrame:
+    return with_running_state(_summary(log))
 
 
-def watch_normalize(events: DataFrame) -> DataFrame:
-    return normalize(tables.polls(events), tables.poll_outputs(events))
+def watch_normalize(log: PollLog) -> DataFrame:
+    return normalize(log.polls(), log.outputs())
 
 
-def watch_discovery_time(events: DataFrame) -> DataFrame:
-    return with_discovery_time(tables.poll_outputs(events), tables.polls(events))
+def watch_discovery_time(log: PollLog) -> DataFrame:
+    return with_discovery_time(log.outputs(), log.polls())
 
 
-def watch_key_digest(events: DataFrame) -> DataFrame:
-    return tables.poll_outputs(events).select(
+def watch_key_digest(log: PollLog) -> DataFrame:
+    return log.outputs().select(
         "seed", "poll_no", "pos",
         key_digest("value").alias("key_hash"),
         key_digest("seed", "value").alias("pair_hash"),
     )
 
 
-def watch_poll_dedup(events: DataFrame) -> DataFrame:
-    return first_in_poll(tables.poll_outputs(events))
+def watch_poll_dedup(log: PollLog) -> DataFrame:
+    return first_in_poll(log.outputs())
 
 
-def watch_new_by_key(events: DataFrame) -> DataFrame:
+def watch_new_by_key(log: PollLog) -> DataFrame:
     by_field = Watch.growth_of().with_output_key(lambda v: F.get_json_object(v, "$.k")).with_key_type("int")
-    outputs, key = by_field.keyed(tables.poll_outputs_with_props(events))
+    outputs, key = by_field.keyed(log.outputs_with_props())
     return first_seen(outputs, key).select("seed", "key", "poll_no", "pos", "value")
 
 
-def watch_emit_order(events: DataFrame) -> DataFrame:
-    found = with_discovery_time(_fresh(events), tables.polls(events))
+def watch_emit_order(log: PollLog) -> DataFrame:
+    found = with_discovery_time(_fresh(log), log.polls())
     return with_emit_order(found)
 
 
-def watch_poll_watermark(events: DataFrame) -> DataFrame:
-    return _summary(events).select("seed", "poll_no", "n_new", "candidate", "done")
+def watch_poll_watermark(log: PollLog) -> DataFrame:
+    return _summary(log).select("seed", "poll_no", "n_new", "candidate", "done")
 
 
-def watch_watermark(events: DataFrame) -> DataFrame:
-    return _state(events).select("seed", "poll_no", F.col("wm").alias("watermark"))
+def watch_watermark(log: PollLog) -> DataFrame:
+    return _state(log).select("seed", "poll_no", F.col("wm").alias("watermark"))
 
 
-def watch_watermark_initial(events: DataFrame) -> DataFrame:
-    return _state(events).select("seed", "poll_no", initial_watermark("wm").alias("watermark"))
+def watch_watermark_initial(log: PollLog) -> DataFrame:
+    return _state(log).select("seed", "poll_no", initial_watermark("wm").alias("watermark"))
 
 
-def watch_reported_watermark(events: DataFrame) -> DataFrame:
-    state = _state(events)
+def watch_reported_watermark(log: PollLog) -> DataFrame:
+    state = _state(log)
     return reported_watermarks(state, stops(state, MIXED))
 
 
-def watch_complete_stop(events: DataFrame) -> DataFrame:
-    stop_at = stops(_state(events), term.never())
-    return until_stop(_fresh(events), stop_at).select("seed", "poll_no", "pos", "value", "stop_at")
+def watch_complete_stop(log: PollLog) -> DataFrame:
+    stop_at = stops(_state(log), term.never())
+    return until_stop(_fresh(log), stop_at).select("seed", "poll_no", "pos", "value", "stop_at")
 
 
-def watch_stop_at(events: DataFrame) -> DataFrame:
-    return stops(_state(events), MIXED)
+def watch_stop_at(log: PollLog) -> DataFrame:
+    return stops(_state(log), MIXED)
 
 
-def watch_growth(events: DataFrame) -> DataFrame:
+def watch_growth(log: PollLog) -> DataFrame:
     spec = Watch.growth_of().with_termination_per_input(MIXED).with_max_completed_size(None)
     return spec.over_log(
-        tables.seeds(events), tables.polls(events), tables.poll_outputs(events)
+        log.seeds(), log.polls(), log.outputs()
     ).outputs
 
 
-def watch_bounded_seen(events: DataFrame) -> DataFrame:
-    return bounded_first_seen(tables.poll_outputs(events), tables.polls(events), CAP)
+def watch_bounded_seen(log: PollLog) -> DataFrame:
+    return bounded_first_seen(log.outputs(), log.polls(), CAP)
 
 
-def watch_bounded_growth(events: DataFrame) -> DataFrame:
+def watch_bounded_growth(log: PollLog) -> DataFrame:
     spec = Watch.growth_of().with_termination_per_input(MIXED).with_max_completed_size(CAP)
     return spec.over_log(
-        tables.seeds(events), tables.polls(events), tables.poll_outputs(events)
+        log.seeds(), log.polls(), log.outputs()
     ).outputs
 
 
 def _stop_query(condition: term.Termination):
-    def run(events: DataFrame) -> DataFrame:
-        return _state(events).select("seed", "poll_no", condition.stop().alias("stop"))
+    def run(log: PollLog) -> DataFrame:
+        return _state(log).select("seed", "poll_no", condition.stop().alias("stop"))
 
     return run
 
@@ -157,36 +158,40 @@ QUERIES = {
     "watch_bounded_seen": watch_bounded_seen,
     "watch_bounded_growth": watch_bounded_growth,
 }
-QUERIES = {name: tables.over_events(query) for name, query in QUERIES.items()}
+QUERIES = {name: tables.over_log(query) for name, query in QUERIES.items()}
 
 # ---------------------------------------------------------------------------
 # SQL
 # ---------------------------------------------------------------------------
 
-LOG_SQL = """
+# The first day is that of the earliest event; an event without a time falls on it.
+FIRST_DAY_SQL = "(select coalesce(min(cast(ts as date)), date '2024-01-01') from events)"
+DAY_SQL = f"coalesce(date_diff('day', {FIRST_DAY_SQL}, cast(ts as date)) + 1, 1)"
+START_SQL = f"cast({FIRST_DAY_SQL} as timestamp)"
+
+LOG_SQL = f"""
 with recursive seeds as (
-  select distinct event_type as seed, timestamp '2024-01-01 00:00:00' as added_at,
-         case when event_type = 'click' then timestamp '2024-01-03 00:00:00' end as event_ts
+  select distinct event_type as seed, {START_SQL} as added_at,
+         case when event_type = 'click' then {START_SQL} + to_days(2) end as event_ts
   from events),
 polls as (
-  select s.seed, n.poll_no, timestamp '2024-01-01 00:00:00' + to_days(n.poll_no) as poll_ts,
-         case when n.poll_no % 7 = 0 then timestamp '2024-01-01 00:00:00' + to_days(n.poll_no - 5)
-              when n.poll_no % 5 = 0 then timestamp '2024-01-01 00:00:00' + to_days(n.poll_no - 1)
+  select s.seed, n.poll_no, s.added_at + to_days(n.poll_no) as poll_ts,
+         case when n.poll_no % 7 = 0 then s.added_at + to_days(n.poll_no - 5)
+              when n.poll_no % 5 = 0 then s.added_at + to_days(n.poll_no - 1)
          end as watermark,
          (s.seed = 'error' and n.poll_no = 25) as complete
   from seeds s cross join (
-    select cast(unnest(range(1, (select date_diff('day', date '2024-01-01', max(cast(ts as date))) + 4 from events)))
-                as int) as poll_no) n),
+    select cast(unnest(range(1, (select max({DAY_SQL}) + 3 from events))) as int) as poll_no) n),
 listed as (
   select event_type as seed,
-         cast(date_diff('day', date '2024-01-01', cast(ts as date)) + 1 + lag as int) as poll_no,
+         cast({DAY_SQL} + lag as int) as poll_no,
          event_id as pos, user_id as value,
          case when event_id % 3 = 0 then null else ts end as event_ts, props
   from events cross join (select unnest([0, 1, 2]) as lag)),
 poll_outputs as (
   select * from listed where not (seed = 'signup' and poll_no % 6 = 0)),
 d as (
-  select o.seed, o.poll_no, o.pos, o.value, md5(cast(to_json({'k0': o.value}) as varchar)) as key_hash,
+  select o.seed, o.poll_no, o.pos, o.value, md5(cast(to_json({{'k0': o.value}}) as varchar)) as key_hash,
          coalesce(o.event_ts, p.poll_ts) as discovered_ts
   from poll_outputs o join polls p on o.seed = p.seed and o.poll_no = p.poll_no),
 n as (

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+#: Rows beyond one per id that a task holds.
+HELD_ROWS = 100_000
 
 
 def _salted(rows: DataFrame, spread_by: str) -> DataFrame:
@@ -23,10 +26,38 @@ def first_of_keys(rows: DataFrame, key: Sequence[str], spread_by: str) -> DataFr
     return _salted(rows, spread_by).dropDuplicates([*key, "_salt"]).dropDuplicates(list(key)).drop("_salt")
 
 
-def first_of_ids(rows: DataFrame, key: Sequence[str], spread_by: str) -> DataFrame:
-    """The first delivery of each id, however late it comes.
+def first_of_ids(rows: DataFrame, key: Sequence[str], order: str | Sequence[str]) -> DataFrame:
+    """The first delivery of each id by ``order``, however late it comes.
 
-    Ids are never forgotten, so no first delivery is taken for a second one and none is
-    dropped as late; the state, on disk, grows with the number of ids.
+    Within a micro-batch the least by ``order`` counts, across micro-batches the one that came first.  Each task keeps one row
+    per id of what it reads, so an id with most of the rows sends few; then the rows of an id meet in one task,
+    and what is left, one row per id, goes through one stateful step.  Ids are never forgotten, so no first delivery
+    is taken for a second one and none is dropped as late; the state, on disk, grows with the number of ids.
     """
-    return first_of_keys(rows, key, spread_by)
+    keep = _keep_first(list(key), [order] if isinstance(order, str) else list(order))
+    thinned = rows.mapInArrow(keep, rows.schema)
+    return thinned.repartition(*key).mapInArrow(keep, rows.schema).dropDuplicates(list(key))
+
+
+def _keep_first(key: list[str], order: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row per key of a task's rows: it holds the ids it has met and at most ``HELD_ROWS`` more rows."""
+
+    def first(table: pa.Table) -> pa.Table:
+        ordered = table.sort_by([(name, "ascending") for name in order])
+        numbered = ordered.append_column("_at", pa.array(range(len(ordered)), pa.int64()))
+        least = numbered.group_by(key).aggregate([("_at", "min")])["_at_min"]
+        return ordered.take(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, kept = [], 0, 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(pa.Table.from_batches([batch]))
+                rows += batch.num_rows
+            if rows > kept + HELD_ROWS:
+                held = [first(pa.concat_tables(held))]
+                rows = kept = len(held[0])
+        if held:
+            yield from first(pa.concat_tables(held)).to_batches()
+
+    return run

@@ -5,7 +5,8 @@ Under ``root``, one folder per poll number:
 * ``raw``     what the poll answered, written before anything is derived from it
 * ``ledger``  one row once ``raw`` is complete
 * ``fresh``   the outputs that were new: the watch result
-* ``memory``  with a bounded memory: the keys remembered after the poll
+* ``memory``  with a bounded memory: the keys remembered after the poll; with an unbounded one they
+  are the state of a deduplication under ``seen``, so a tick reads none of what earlier ones found
 * ``status``  one row per seed after the poll: clocks, watermark, done
 * ``done``    one row once the tick is complete
 
@@ -32,9 +33,10 @@ from tidewatch.functions.keys import key_digest, with_one_zero
 from tidewatch.functions.termination import StatefulTermination
 from tidewatch.functions.times import discovery_time
 from tidewatch.operators.bounded import admit, forget
-from tidewatch.operators.first_seen import first_in_poll, not_seen_before
+from tidewatch.operators.first_seen import first_in_poll
 from tidewatch.operators.polls import end_marks
 from tidewatch.plans.spec import WatchSpec
+from tidewatch.streaming.seen import SeenKeys
 from tidewatch.workspace import new_folder
 
 STATUS = (
@@ -67,6 +69,11 @@ class Ticks:
         if spec.poll_fn is None:
             raise ValueError("a live watch needs a poll_fn")
         self.spark, self.spec, self.seeds, self.root, self.clock = spark, spec, seeds, root, clock
+        self._seen = SeenKeys(spark, f"{root}/seen")
+
+    def close(self) -> None:
+        """Stop what runs between ticks; another tick starts it again."""
+        self._seen.close()
 
     def emitted(self) -> DataFrame:
         """Every new output of the ticks that are complete."""
@@ -151,11 +158,9 @@ class Ticks:
         listed = first_in_poll(hashed, ["key_hash"]).drop("poll_no")
         if self._remembers:
             return admit(listed, self._memory(poll_no - 1))
-        if self.spec.max_completed_size == 0 or poll_no == 1:
+        if self.spec.max_completed_size == 0:
             return listed
-        keys = self.spark.read.schema("seed string, key_hash string, poll_no int").parquet(f"{self.root}/fresh")
-        seen = keys.filter(F.col("poll_no") < poll_no)
-        return not_seen_before(listed, seen, ["key_hash"])
+        return self._seen.admit(listed, poll_no)
 
     def _status_after(
         self, watched: DataFrame, raw: DataFrame, fresh: DataFrame, before: DataFrame, poll_ts: datetime
@@ -276,4 +281,5 @@ def run(ticks: Ticks, timeout: float | None = None) -> bool:
             query.awaitTermination(min(ticks.spec.poll_interval, 1.0))
     finally:
         runner.stop()
+        ticks.close()
     return runner.finished

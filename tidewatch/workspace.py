@@ -46,6 +46,13 @@ def remove_folders(spark: SparkSession) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def is_complete(spark: SparkSession, folder: str) -> bool:
+    """Was a table written to ``folder`` to its end?"""
+    context = spark.sparkContext
+    mark = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return mark.getFileSystem(context._jsc.hadoopConfiguration()).exists(mark)
+
+
 def written(df: DataFrame, purpose: str, folder: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, however often it is read.
 
