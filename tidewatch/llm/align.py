@@ -20,6 +20,7 @@ import os
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,9 @@ _PRE_TOKEN = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+"
 )
 
+#: A pre-token that ends where the next blank begins.
+_SPACED = re.compile(rf" [{_LATIN}]+").fullmatch
+
 
 def _byte_alphabet() -> dict[str, int]:
     """The character that byte-level vocabularies write for each byte.
@@ -81,25 +85,40 @@ class ByteLevel:
             self.bytes[at] = bytes(own[c] for c in token) if all(c in own for c in token) else token.encode("utf-8")
         self.known: dict[str, list[int]] = {}
 
-    def encode(self, texts: Sequence[str]) -> list[list[int]]:
-        plain = [self.split and not _ELSEWHERE.search(text) for text in texts]
-        parts = [_PRE_TOKEN.findall(text) if simple else [text] for text, simple in zip(texts, plain)]
+    def encode(self, texts: Sequence[str]) -> list[list[int] | None]:
+        """Ids of each text; None where their bytes aren't the text's, which is tested once per pre-token."""
+        parts = [_PRE_TOKEN.findall(text) if self.split and not _ELSEWHERE.search(text) else [text] for text in texts]
         known = self.known
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        missing = {part for found, simple in zip(parts, plain) for part in found if not simple or part not in known}
-        missing = list(missing)
-        fresh = dict(zip(missing, (e.ids for e in self.library.encode_batch_fast(missing, add_special_tokens=False))))
-        ids = []
-        for found in parts:
-            one: list[int] = []
-            for part in found:
-                one += fresh[part] if part in fresh else known[part]
-            ids.append(one)
-        known.update((part, own) for part, own in fresh.items() if len(part) <= CACHE_LENGTH)
+        missing = list(set().union(*parts).difference(known))
+        self._learn([part for part in missing if _SPACED(part)])
+        others = [part for part in missing if part not in known]
+        for part, found in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False)):
+            known[part] = found.ids
+        odd = {part for part in missing if b"".join(map(self.bytes.__getitem__, known[part])) != part.encode("utf-8")}
+        ids = [
+            None if odd and not odd.isdisjoint(found) else list(chain.from_iterable(map(known.__getitem__, found))) for found in parts
+        ]
+        for part in missing:  # what is long or doesn't give back its bytes isn't remembered
+            if len(part) > CACHE_LENGTH or part in odd:
+                del known[part]
         return ids
 
 
+    def _learn(self, parts: list[str]) -> None:
+        """Remember the ids of words that begin with a blank: in a row they are the same pre-tokens as apart."""
+        if not parts:
+            return
+        ids = self.library.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids
+        reached = np.cumsum(_widths(self)[np.array(ids, np.int64)])
+        ends = np.cumsum([len(part.encode("utf-8")) for part in parts])
+        cuts = np.searchsorted(reached, ends)
+        if cuts[-1] < len(reached) and (reached[cuts] == ends).all():
+            cuts = [0, *(cuts + 1).tolist()]
+            self.known.update((part, ids[i:j]) for part, i, j in zip(parts, cuts, cuts[1:]))
+
+
 class Pieces:
     """A ``sentencepiece`` model; it puts a space before a text by itself."""
 
@@ -113,8 +132,11 @@ class Pieces:
             for at, name in enumerate(names)
         ]
 
-    def encode(self, texts: Sequence[str]) -> list[list[int]]:
-        return self.library.encode(list(texts), num_threads=1)
+    def encode(self, texts: Sequence[str]) -> list[list[int] | None]:
+        """Ids of a space and each text; None where their bytes aren't those of the space and the text."""
+        every = self.library.encode(list(texts), num_threads=1)
+        token = self.bytes.__getitem__
+        return [ids if b"".join(map(token, ids)) == b" " + text.encode("utf-8") else None for text, ids in zip(texts, every)]
 
 
 @lru_cache(maxsize=2)
@@ -135,7 +157,7 @@ def _nearest_shared(a_ends: np.ndarray, b_ends: np.ndarray, low: np.ndarray, hig
     near, far = 0, 1
     while len(active):
         steps = np.arange(near, far)
-        at = middle[active][:, None] + np.concatenate([-steps, steps])[None, :]
+        at = middle[active][:, None] + np.concatenate([-steps, steps[steps > 0]])[None, :]
         inside = (at >= low[active][:, None]) & (at < high[active][:, None])
         ends = a_ends[np.where(inside, at, 0)]
         meets = np.minimum(np.searchsorted(b_ends, ends), len(b_ends) - 1)
@@ -183,12 +205,11 @@ class Block:
 
     def __init__(self, texts: Sequence[str | None], a_side: ByteLevel, b_side: Pieces):
         asked = [k for k, text in enumerate(texts) if text]
-        spaced = [" " + texts[k] for k in asked]
         a_ids: list[Sequence[int]] = [()] * len(texts)
         b_ids: list[Sequence[int]] = [()] * len(texts)
-        for k, text, a, b in zip(asked, spaced, a_side.encode(spaced), b_side.encode([texts[k] for k in asked])):
-            plain = text.encode("utf-8")
-            if b"".join(map(a_side.bytes.__getitem__, a)) == plain == b"".join(map(b_side.bytes.__getitem__, b)):
+        own = [texts[k] for k in asked]
+        for k, a, b in zip(asked, a_side.encode([" " + text for text in own]), b_side.encode(own)):
+            if a is not None and b is not None:
                 a_ids[k], b_ids[k] = a, b
         self.a, self.a_bounds, a_ends = _joined(a_ids, _widths(a_side))
         self.b, self.b_bounds, b_ends = _joined(b_ids, _widths(b_side))
@@ -247,7 +268,7 @@ def _widths(side: ByteLevel | Pieces) -> np.ndarray:
 def _joined(ids: Sequence[Sequence[int]], widths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All ids in one array, where each text starts in it, and the ends of all tokens in bytes."""
     bounds = np.concatenate([[0], np.cumsum([len(one) for one in ids], dtype=np.int64)]).astype(np.int64)
-    flat = np.fromiter((i for one in ids for i in one), np.int64, int(bounds[-1]))
+    flat = np.array(list(chain.from_iterable(ids)), np.int64)
     return flat, bounds, np.cumsum(widths[flat])
 
 
