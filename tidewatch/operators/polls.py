@@ -9,10 +9,14 @@ Tables (all times TIMESTAMP_NTZ):
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, MapType, StringType, StructField, StructType
 
-from tidewatch.functions.termination import Termination
+from tidewatch.functions.termination import StatefulTermination, Termination, advance
 from tidewatch.functions.times import END_OF_TIME, discovery_time, ntz
 from tidewatch.operators.running import position_in_group, running_max
 from tidewatch.workspace import written
@@ -136,6 +140,31 @@ def with_running_state(summary: DataFrame) -> DataFrame:
     )
 
 
+def with_stop_flags(state: DataFrame, conditions: Sequence[StatefulTermination]) -> DataFrame:
+    """Add ``stop_flags``: which conditions with a state of their own would end the seed at each poll.
+
+    The polls of a seed are folded in order, as they come sorted out of the shuffle: a task holds the states of one seed and
+    one batch of polls, so neither the polls of a seed nor the seeds of a task have to fit into its memory.
+    """
+    if not conditions:
+        return state
+    ordered = state.repartition("seed").sortWithinPartitions("seed", "poll_no")
+    schema = StructType([*state.schema.fields, StructField("stop_flags", MapType(StringType(), BooleanType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, states = object(), {}
+        for batch in batches:
+            found = []
+            for seed, *poll in zip(*(batch.column(c).to_pylist() for c in ("seed", "start_ts", "poll_ts", "n_new"))):
+                states, flags = advance(conditions, states if seed == current else {}, seed, *poll)
+                current = seed
+                found.append(list(flags.items()))
+            flagged = pa.array(found, pa.map_(pa.string(), pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, flagged], [*batch.schema.names, "stop_flags"])
+
+    return ordered.mapInArrow(run, schema)
+
+
 def initial_watermark(wm: Column | str) -> Column:
     """A watermark that starts at the seed's own time, if it has one."""
     return F.greatest(wm, "seed_ts")

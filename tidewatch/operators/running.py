@@ -48,6 +48,8 @@ def running_max(
     summary = rows.groupBy(*keys, block).agg(*[F.max(name).alias(f"_max_{name}") for name in values])
     carried = {name: F.col(f"_max_{name}") for name in values}
     if levels > 1:
+        # Written, since the rows would be read once more for the blocks above.
+        summary = written(summary, "blocks")
         heads = running_max(summary, keys, block, before=carried, block_bits=block_bits, levels=levels - 1)
     else:
         earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)

@@ -13,7 +13,7 @@ from tidewatch.functions.termination import Termination
 from tidewatch.functions.times import discovery_time
 from tidewatch.operators.bounded import bounded_first_seen
 from tidewatch.operators.first_seen import first_seen
-from tidewatch.operators.polls import poll_summary, reported_watermarks, stops, with_running_state
+from tidewatch.operators.polls import poll_summary, reported_watermarks, stops, with_running_state, with_stop_flags
 from tidewatch.workspace import written
 
 
@@ -46,6 +46,9 @@ def watch_log(
         fresh = bounded_first_seen(outputs, polls, cap, key).withColumnRenamed("discovered_ts", "event_ts")
     fresh = with_one_zero(written(fresh, "fresh"), key)
     state = with_running_state(poll_summary(seeds, polls, fresh))
+    own = list(condition.stateful())
+    if own:  # folded once, read for the stops and for what was reported
+        state = written(with_stop_flags(state, own), "flags")
     stop_at = stops(state, condition)
     last = stop_at.withColumnRenamed("stop_at", "_stop_at")
     taken = (

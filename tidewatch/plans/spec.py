@@ -71,8 +71,8 @@ class WatchSpec:
 
     def over_log(self, seeds: DataFrame, polls: DataFrame, outputs: DataFrame) -> WatchResult:
         """Apply the watch to a recorded poll log."""
-        if any(self.termination.stateful()):
-            raise ValueError("a condition with its own state needs live ticks; over a log use custom()")
+        if seeds is None or polls is None or outputs is None:
+            raise ValueError("a poll log is made of seeds, polls and outputs")
         typed, key = self.keyed(outputs)
         return watch_log(seeds, polls, typed, self.termination, key, self.max_completed_size)
 

@@ -18,7 +18,7 @@ from tidewatch.sources import CountingSource, EmptySource
 from tidewatch.streaming import dedup, files, splits, ticks
 from tidewatch.streaming.increments import extend, follow, found, seen_keys
 from tidewatch.streaming.run import drained, each_batch, stream_session, write_available
-from tidewatch.workspace import new_folder
+from tidewatch.workspace import new_folder, written
 
 # A snapshot poll sees eight more days than the one before; the last one sees them all.
 SNAPSHOT_DAYS = 8
@@ -72,7 +72,7 @@ def source_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(spark, plain, "source-dedup")
 
 
-def _in_two_waves(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+def _in_two_waves(spark: SparkSession, sf_dir: str, root: str, drop_repeats: bool = False) -> DataFrame:
     """The records as a stream that has been read once when the second deliveries arrive."""
     session = stream_session(spark)
     records = tables.records_of(tables.events(spark, sf_dir))
@@ -80,7 +80,7 @@ def _in_two_waves(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
     for wave in (records.filter(~second), records.filter(second)):
         wave.write.mode("append").parquet(f"{root}/in")
         stream = session.readStream.schema(records.schema).parquet(f"{root}/in")
-        splits.follow(stream, f"{root}/read")
+        splits.follow(stream, f"{root}/read", drop_repeats)
     return splits.emitted(spark, f"{root}/read", records.schema)
 
 
@@ -96,6 +96,12 @@ def source_watermark_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_id", "split_id", "arrival_no", "source_wm", "watermark")
 
 
+def source_offset_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries that don't go beyond what their split has read before are left out, also in a later run."""
+    found = _in_two_waves(spark, sf_dir, new_folder(spark, "source-offsets"), drop_repeats=True)
+    return found.select("source_id", "split_id", "arrival_no", "off", "record_id", "value", "watermark")
+
+
 def source_read_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters that the stream reports while it reads, over all its batches."""
     session = stream_session(spark)
@@ -240,6 +246,43 @@ def term_custom_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.emitted().select("seed", "poll_no", "pos", "value", "discovered_ts")
 
 
+def term_custom_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A condition with a state of its own over a recorded poll log."""
+    log = PollLog(tables.events(spark, sf_dir))
+    stop = term.either_of(Harvests(), term.after_iterations(20))
+    spec = Watch.growth_of().with_termination_per_input(stop).with_max_completed_size(None)
+    return spec.over_log(log.seeds(), log.polls(), log.outputs()).outputs
+
+
+def watch_folders_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders that fill up, watched for sixteen days; the watch starts anew at every poll and ends by itself."""
+    root = new_folder(spark, "watch-folders")
+    log = PollLog(tables.events(spark, sf_dir))
+    folder = F.concat(F.lit(f"{root}/incoming/event_type="), F.col("seed"))
+    seeds = written(log.seeds().select(folder.alias("seed"), "added_at", F.lit(None).cast("timestamp_ntz").alias("event_ts")), "folders")
+    spec = (
+        Watch.growth_of(files.folder_poll("*.parquet")).with_max_completed_size(None)
+        .with_termination_per_input(term.after_total_of(timedelta(days=2 * SNAPSHOT_DAYS)))
+    )
+    start = datetime.combine(log.days.first, time())
+    clock = lambda poll_no: start + timedelta(days=poll_no * SNAPSHOT_DAYS)
+    listed = log.events.select("event_type", "event_id", log.days.number("ts").alias("day"))
+    poll_no, active = 0, True
+    while active:
+        poll_no += 1
+        wave = listed.filter(F.ceil(F.col("day") / SNAPSHOT_DAYS) == poll_no)
+        wave.repartitionByRange("event_type", "day", "event_id").write.mode("append").partitionBy("event_type", "day").parquet(f"{root}/incoming")
+        watch = ticks.Ticks(spark, spec, lambda _: seeds, f"{root}/watch", clock)
+        watch.tick(poll_no)
+        active = watch.active(poll_no)
+        watch.close()
+    part = "event_type=([^/]+)/day=([0-9]+)/"
+    found = watch.emitted().select(
+        F.regexp_extract("value", part, 1).alias("event_type"), F.regexp_extract("value", part, 2).cast("int").alias("day"), "poll_no")
+    # A hot folder may hold several files, so the folders are counted once.
+    return found.distinct()
+
+
 def watch_files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that appear in a folder in two waves; the stream restarts in between."""
     session = stream_session(spark)
@@ -271,6 +314,9 @@ QUERIES = {
     "watch_log_stream": watch_log_stream,
     "watch_replay": watch_replay,
     "term_custom_live": term_custom_live,
+    "term_custom_log": term_custom_log,
+    "watch_folders_until": watch_folders_until,
+    "source_offset_dedup_stream": source_offset_dedup_stream,
     "watch_live_stream": watch_live_stream,
     "watch_files_stream": watch_files_stream,
 }
@@ -324,6 +370,25 @@ polls as (select seed, poll_no, count(f.value) as n_new
 harvests as (select *, sum(cast(n_new > 0 as int)) over (partition by seed order by poll_no) as had from polls),
 stops as (select seed, min(poll_no) as stop_at from harvests where had >= 3 or poll_no = (select max(last) from snaps) group by seed)
 select f.* from fresh f join stops s on f.seed = s.seed where f.poll_no <= s.stop_at""",
+    "term_custom_log": LOG_SQL + """,
+harvests as (
+  select *, sum(cast(n_new > 0 as int)) over (partition by seed order by poll_no rows unbounded preceding) as had from c),
+ends as (select seed, min(case when done or had >= 3 or poll_no >= 20 then poll_no end) as stop_at from harvests group by seed)
+select n.* exclude (emit_no) from n join ends e on n.seed = e.seed where e.stop_at is null or n.poll_no <= e.stop_at""",
+    "watch_folders_until": f"""
+select distinct event_type, cast({DAY_SQL} as int) as day, cast(ceil({DAY_SQL} / {SNAPSHOT_DAYS}) as int) as poll_no
+from events where ceil({DAY_SQL} / {SNAPSHOT_DAYS}) <= 3""",
+    "source_offset_dedup_stream": RECORDS_SQL + """,
+cut as (
+  select *, coalesce(max(cast(terminal as int)) over (partition by source_id, split_id order by arrival_no
+                     rows between unbounded preceding and 1 preceding), 0) as ended
+  from source_records),
+tops as (
+  select *, max(off) over (partition by source_id, split_id order by arrival_no
+                           rows between unbounded preceding and 1 preceding) as top,
+         max(source_wm) over (partition by source_id, split_id order by arrival_no rows unbounded preceding) as watermark
+  from cut where ended = 0)
+select source_id, split_id, arrival_no, off, record_id, value, watermark from tops where top is null or off > top""",
     "watch_replay": SNAPSHOT_SQL,
     "watch_live_stream": SNAPSHOT_SQL,
     "watch_files_stream": f"select distinct event_type, cast({DAY_SQL} as int) as day from events",

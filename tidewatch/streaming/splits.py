@@ -1,7 +1,7 @@
 """Splits on a running stream: they end, and what they report never falls.
 
 Under ``root``, one folder per micro-batch: ``rows``, the records that were read with the
-watermark after each, and ``state``, one row per split with its watermark and whether it has ended.
+watermark after each, and ``state``, one row per split with its watermark, highest offset and whether it has ended.
 A batch reads the state that the one before it left and overwrites its own folders, so it can be
 repeated.  Only the state, a row per split, is joined with the records.
 """
@@ -12,26 +12,30 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructField, StructType, TimestampNTZType
+from pyspark.sql.types import BooleanType, StructField, StructType, TimestampNTZType
 
-from tidewatch.operators.records import SPLIT, monotone_watermark, until_terminal
+from tidewatch.operators.records import SPLIT, until_terminal
+from tidewatch.operators.running import running_max
 from tidewatch.streaming.run import each_batch
 
-STATE = "source_id string, split_id int, saved_wm timestamp_ntz, ended boolean"
+STATE = "source_id string, split_id int, saved_wm timestamp_ntz, saved_top bigint, ended boolean"
 
 
-def follow(records: DataFrame, root: str) -> StreamingQuery:
+def follow(records: DataFrame, root: str, drop_repeats: bool = False) -> StreamingQuery:
     """Read what is available now; started again on the same ``root`` it goes on.
 
     The records of a split must arrive in the order of ``arrival_no``, at least from batch to batch.
+    With ``drop_repeats`` a delivery whose offset is not above all earlier ones of its split is left out; its
+    watermark counts.
     """
-    return each_batch(records, root, lambda batch, batch_id: _add_batch(batch, root, batch_id))
+    return each_batch(records, root, lambda batch, batch_id: _add_batch(batch, root, batch_id, drop_repeats))
 
 
 def emitted(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
     """The records read so far, up to the terminal one of each split, with ``watermark``."""
     fields = StructType([*schema.fields, StructField("watermark", TimestampNTZType())])
-    return spark.read.schema(fields).parquet(f"{root}/rows").select(*fields.names)
+    kept = StructType([*fields.fields, StructField("_kept", BooleanType())])
+    return spark.read.schema(kept).parquet(f"{root}/rows").filter("_kept").select(*fields.names)
 
 
 def _state(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
@@ -43,17 +47,23 @@ def _state(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
         return spark.createDataFrame([], STATE)
 
 
-def _add_batch(batch: DataFrame, root: str, batch_id: int) -> None:
+def _add_batch(batch: DataFrame, root: str, batch_id: int, drop_repeats: bool) -> None:
     spark = batch.sparkSession
     before = _state(spark, root, batch_id - 1)
     open_splits = batch.join(before.filter("ended").select(*SPLIT), list(SPLIT), "left_anti")
-    running = monotone_watermark(until_terminal(open_splits))
+    running = running_max(
+        until_terminal(open_splits), SPLIT, "arrival_no", up_to={"watermark": F.col("source_wm")},
+        before={"_top": F.col("off")} if drop_repeats else None,
+    )
     known = running.join(before.drop("ended"), list(SPLIT), "left")
-    rows = known.select(*batch.columns, F.greatest("saved_wm", "watermark").alias("watermark"))
+    above = F.coalesce(F.col("off") > F.greatest("_top", "saved_top"), F.lit(True)) if drop_repeats else F.lit(True)
+    rows = known.select(*batch.columns, F.greatest("saved_wm", "watermark").alias("watermark"), above.alias("_kept"))
     folder = f"{root}/rows/batch={batch_id}"
     rows.write.mode("overwrite").parquet(folder)
     now = spark.read.schema(rows.schema).parquet(folder).select(
-        *SPLIT, F.col("watermark").alias("saved_wm"), F.coalesce("terminal", F.lit(False)).alias("ended")
+        *SPLIT, F.col("watermark").alias("saved_wm"), F.col("off").alias("saved_top"),
+        F.coalesce("terminal", F.lit(False)).alias("ended"),
     )
-    after = before.unionByName(now).groupBy(*SPLIT).agg(F.max("saved_wm").alias("saved_wm"), F.max("ended").alias("ended"))
+    after = before.unionByName(now).groupBy(*SPLIT).agg(
+        F.max("saved_wm").alias("saved_wm"), F.max("saved_top").alias("saved_top"), F.max("ended").alias("ended"))
     after.write.mode("overwrite").parquet(f"{root}/state/batch={batch_id}")

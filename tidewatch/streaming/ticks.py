@@ -17,7 +17,6 @@ Outputs are joined by seed and key, so a seed with most of them is spread over t
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from threading import Lock
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.functions.keys import key_digest, with_one_zero
-from tidewatch.functions.termination import StatefulTermination
+from tidewatch.functions.termination import StatefulTermination, advance
 from tidewatch.functions.times import discovery_time
 from tidewatch.operators.bounded import admit, forget
 from tidewatch.operators.first_seen import first_in_poll
@@ -212,13 +211,8 @@ def _advance(conditions: list[StatefulTermination]) -> Callable[[Iterator], Iter
     """Move the states of stateful conditions by one poll; one row per seed."""
 
     def step(row: dict) -> dict:
-        now, states, flags = row["poll_ts"], dict(row["stop_states"] or ()), {}
-        for c in conditions:
-            state = json.loads(states[c.name]) if c.name in states else c.for_new_input(row["start_ts"], row["seed"])
-            if row["n_new"]:
-                state = c.on_seen_new_output(now, state)
-            state = c.on_poll_complete(state)
-            states[c.name], flags[c.name] = json.dumps(state), bool(c.can_stop_polling(now, state))
+        known = dict(row["stop_states"] or ())
+        states, flags = advance(conditions, known, row["seed"], row["start_ts"], row["poll_ts"], row["n_new"])
         return {**row, "stop_states": list(states.items()), "stop_flags": list(flags.items())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
