@@ -1,0 +1,79 @@
+"""The watermark of all splits together: against a plain model, and on a stream."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewatch.operators.records import merged_watermark
+from tidewatch.streaming import splits
+
+T = datetime(2024, 1, 1)
+SCHEMA = "source_id string, split_id int, arrival_no bigint, off bigint, source_wm timestamp_ntz, terminal boolean"
+
+
+def record(split, n, minutes=None, terminal=False):
+    return ("s", split, n, n, None if minutes is None else T + timedelta(minutes=minutes), terminal)
+
+
+def model(rows, step):
+    """step -> (watermark, done), by walking over all steps with every split at hand."""
+    ended, cut = set(), []
+    for row in sorted(rows, key=lambda r: (r[1], r[2])):
+        if row[1] not in ended:
+            cut.append(row)
+            if row[5]:
+                ended.add(row[1])
+    reported, over, found = {r[1]: None for r in cut}, set(), {}
+    for at in sorted({step(r[2]) for r in cut}):
+        for _, split, n, _, wm, terminal in cut:
+            if step(n) == at:
+                reported[split] = max(filter(None, (reported[split], wm)), default=None)
+                if terminal:
+                    over.add(split)
+        still = [wm for split, wm in reported.items() if split not in over]
+        found[at] = (None if None in still else min(still, default=None), not still)
+    return found
+
+
+@pytest.mark.parametrize("block_bits", [1, 3, 16])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_same_as_model(spark, seed, block_bits):
+    rng = random.Random(seed)
+    rows = []
+    for split in range(5):
+        last = rng.randrange(5, 120)
+        for n in sorted(rng.sample(range(last + 40), last)):
+            minutes = None if rng.random() < 0.4 else n + rng.randrange(-30, 5)
+            rows.append(record(split, n, minutes, terminal=rng.random() < (0.02 if seed < 3 else 0.2)))
+    got = merged_watermark(spark.createDataFrame(rows, SCHEMA), F.shiftright("arrival_no", 2), block_bits)
+    assert {r.step: (r.watermark, r.done) for r in got.collect()} == model(rows, lambda n: n >> 2)
+
+
+def test_null_terminal_and_nothing(spark):
+    rows = [record(0, 0, 5, None), record(1, 1, 3, None), record(1, 2, 9, None)]
+    got = merged_watermark(spark.createDataFrame(rows, SCHEMA), F.col("arrival_no")).orderBy("step").collect()
+    assert [(r.watermark, r.done) for r in got] == [(None, False), (T + timedelta(minutes=3), False), (T + timedelta(minutes=5), False)]
+    assert merged_watermark(spark.createDataFrame([], SCHEMA), F.col("arrival_no")).collect() == []
+
+
+def test_stream_holds_never_falls_and_ends(spark, tmp_path):
+    waves = [
+        [record(0, 0, 10), record(1, 1)],
+        [record(1, 2, 7)],
+        [record(2, 3, 2)],  # a split that comes late and lies behind
+        [record(2, 4, 8), record(0, 5, 11, terminal=True)],
+        [record(1, 6, terminal=True), record(2, 7, 9, terminal=True)],
+        [record(3, 8, 1)],
+    ]
+    expected = spark.createDataFrame([("s", 0), ("s", 1)], "source_id string, split_id int")
+    for wave in waves:
+        spark.createDataFrame(wave, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        splits.follow_merged(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), f"{tmp_path}/read", expected)
+    got = splits.merged(spark, f"{tmp_path}/read").orderBy("batch").collect()
+    at = lambda minutes: T + timedelta(minutes=minutes)
+    assert [(r.watermark, r.done) for r in got] == [
+        (None, False), (at(7), False), (at(7), False), (at(7), False), (None, True), (at(7), False),
+    ]
+    assert [(r.n_open, r.n_ended, r.held_back) for r in got] == [(2, 0, 1), (2, 0, 0), (3, 0, 0), (2, 1, 0), (0, 3, 0), (1, 3, 0)]

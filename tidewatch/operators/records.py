@@ -109,6 +109,42 @@ def resume_watermark(records: DataFrame, checkpoints: DataFrame, block_bits: int
     return running.withColumn("watermark", F.greatest("checkpoint_wm", "watermark"))
 
 
+def merged_watermark(records: DataFrame, step: Column, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """The watermark of all splits together: one row per ``step`` with ``watermark`` and ``done``.
+
+    ``step`` is an integer from 0 on, below 2^62, that doesn't fall within a split in the order of ``arrival_no``.  After a step the
+    watermark is the lowest that an open split has reported so far.  A split holds it back (NULL) from the
+    start until it reports one, and is left out from the step on in which it ends.  ``done``: every split
+    has ended, and the watermark is NULL, since nothing is to come.  Without records there are no rows.
+
+    No grid of splits and steps is made.  What a split has reported holds until its next step, and never
+    falls; so the lowest after step s is the lowest of all values that hold beyond s, also of those that begin
+    later.  That is a running minimum from the last step back to the first.
+    """
+    low, held = "_low", "_held"
+    # From a fixed instant back to the watermark: the larger, the lower the watermark.
+    behind = ntz(EPOCH) - F.col("source_wm")
+    cut = until_terminal(records).withColumn("_step", step.cast("long"))
+    by_step = cut.groupBy(*SPLIT, "_step").agg(
+        F.max("source_wm").alias("source_wm"), F.max(F.coalesce("terminal", F.lit(False))).alias("_ended")
+    )
+    by_step = written(by_step, "steps")
+    until_next = running_max(by_step, SPLIT, "_step", before={low: F.col("source_wm")}, block_bits=block_bits)
+    left = by_step.groupBy(*SPLIT).agg(F.max("source_wm").alias(low), F.max("_ended").alias("_ended")).filter("not _ended")
+    open_end = left.select(F.lit(None).cast("long").alias("_step"), low)
+    holding = until_next.select("_step", low).unionByName(open_end).withColumn("source_wm", F.col(low))
+    by_end = holding.groupBy("_step").agg(F.max(behind).alias(low), F.max(F.col(low).isNull()).alias(held))
+    back = by_end.withColumn("_back", F.coalesce(-F.col("_step"), F.lit(-(1 << 62))))
+    beyond = running_max(
+        back.withColumn("_all", F.lit(0)), ["_all"], "_back",
+        before={"_after": F.col(low), "_holds": F.col(held)}, block_bits=block_bits,
+    )
+    done = F.col("_holds").isNull()
+    return beyond.filter("_step is not null").select(
+        F.col("_step").alias("step"), F.when(~F.col("_holds"), ntz(EPOCH) - F.col("_after")).alias("watermark"), done.alias("done")
+    )
+
+
 def tag_record_ids(records: DataFrame, needs_ids: Column) -> DataFrame:
     """Keep ``record_id`` for the sources that ask for deduplication, NULL for the others."""
     return records.withColumn("record_id", F.when(needs_ids, F.col("record_id")))

@@ -9,6 +9,7 @@ from tidewatch.operators import records as ops
 from tidewatch.plans import tables
 
 RECORD = ("source_id", "split_id", "arrival_no", "off", "record_id", "value", "event_ts")
+STEP_BITS = 8
 DEDUP_SOURCES = ("click", "purchase", "signup")
 
 
@@ -73,6 +74,11 @@ def source_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def source_merged_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The watermark of all splits together after every 256 deliveries."""
+    return ops.merged_watermark(_records(spark, sf_dir), F.shiftright("arrival_no", STEP_BITS))
+
+
 def source_watermark_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _records(spark, sf_dir)
     return ops.resume_watermark(records, tables.checkpoints(records)).select(
@@ -108,6 +114,7 @@ QUERIES = {
     "source_event_time": source_event_time,
     "source_watermark": source_watermark,
     "source_watermark_resume": source_watermark_resume,
+    "source_merged_watermark": source_merged_watermark,
     "source_record_id": source_record_id,
     "source_dedup": source_dedup,
     "source_offset_dedup": source_offset_dedup,
@@ -146,6 +153,27 @@ unread as (
 _RECORD = "source_id, split_id, arrival_no, off, record_id, value, event_ts"
 _ARRIVAL = "partition by source_id, split_id order by arrival_no rows"
 
+
+def merged_sql(step: str) -> str:
+    """All splits at all steps: what each has reported by then, and whether it has ended."""
+    return RECORDS_SQL + f""",
+numbered as (select *, {step} as step from source_records),
+cut as (
+  select *, coalesce(max(cast(terminal as int)) over (partition by source_id, split_id order by arrival_no
+                     rows between unbounded preceding and 1 preceding), 0) as ended
+  from numbered),
+by_step as (select source_id, split_id, step, max(source_wm) as wm, max(cast(coalesce(terminal, false) as int)) as ended
+            from cut where ended = 0 group by all),
+grid as (select * from (select distinct source_id, split_id from by_step) cross join (select distinct step from by_step)),
+so_far as (
+  select step, max(wm) over w as wm, coalesce(max(ended) over w, 0) as ended
+  from grid left join by_step using (source_id, split_id, step)
+  window w as (partition by source_id, split_id order by step rows unbounded preceding))
+select step, min(ended) = 1 as done,
+       case when count(*) filter (where ended = 0 and wm is null) = 0 then min(wm) filter (where ended = 0) end as watermark
+from so_far group by step"""
+
+
 ORACLES = {
     "source_split_counts": RECORDS_SQL + """
 select source_id, split_id, count(*) as n_records, max(off) as last_off
@@ -180,6 +208,7 @@ from source_records""",
     "source_watermark": RECORDS_SQL + f"""
 select source_id, split_id, arrival_no, source_wm, max(source_wm) over ({_ARRIVAL} unbounded preceding) as watermark
 from source_records""",
+    "source_merged_watermark": merged_sql(f"arrival_no >> {STEP_BITS}"),
     "source_watermark_resume": RECORDS_SQL + f"""
 select source_id, split_id, arrival_no, source_wm,
        greatest(checkpoint_wm, max(source_wm) over ({_ARRIVAL} unbounded preceding)) as watermark

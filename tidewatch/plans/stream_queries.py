@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, time, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewatch.functions import termination as term
 from tidewatch.plans import tables
 from tidewatch.plans.source_queries import ORACLES as SOURCE_SQL
-from tidewatch.plans.source_queries import RECORDS_SQL
+from tidewatch.plans.source_queries import RECORDS_SQL, merged_sql
 from tidewatch.plans.spec import Watch, WatchSpec
 from tidewatch.plans.tables import Days, PollLog
 from tidewatch.plans.watch_queries import DAY_SQL, LOG_SQL, START_SQL
@@ -72,16 +74,20 @@ def source_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(spark, plain, "source-dedup")
 
 
-def _in_two_waves(spark: SparkSession, sf_dir: str, root: str, drop_repeats: bool = False) -> DataFrame:
-    """The records as a stream that has been read once when the second deliveries arrive."""
+def follow_waves(spark: SparkSession, sf_dir: str, root: str, read: Callable[[DataFrame], object]) -> StructType:
+    """Read the records as a stream that has been read once when the second deliveries arrive."""
     session = stream_session(spark)
     records = tables.records_of(tables.events(spark, sf_dir))
     second = F.col("arrival_no") >= tables.REDELIVERED_SHIFT
     for wave in (records.filter(~second), records.filter(second)):
         wave.write.mode("append").parquet(f"{root}/in")
-        stream = session.readStream.schema(records.schema).parquet(f"{root}/in")
-        splits.follow(stream, f"{root}/read", drop_repeats)
-    return splits.emitted(spark, f"{root}/read", records.schema)
+        read(session.readStream.schema(records.schema).parquet(f"{root}/in"))
+    return records.schema
+
+
+def _in_two_waves(spark: SparkSession, sf_dir: str, root: str, drop_repeats: bool = False) -> DataFrame:
+    schema = follow_waves(spark, sf_dir, root, lambda stream: splits.follow(stream, f"{root}/read", drop_repeats))
+    return splits.emitted(spark, f"{root}/read", schema)
 
 
 def source_terminal_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +102,14 @@ def source_watermark_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_id", "split_id", "arrival_no", "source_wm", "watermark")
 
 
+def source_merged_watermark_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The watermark of all splits together after each of two runs; the splits are known from the start."""
+    root = new_folder(spark, "source-merged")
+    expected = written(tables.records_of(tables.events(spark, sf_dir)).select("source_id", "split_id").distinct(), "expected")
+    follow_waves(spark, sf_dir, root, lambda stream: splits.follow_merged(stream, f"{root}/read", expected))
+    return splits.merged(spark, f"{root}/read").select(F.col("batch").alias("step"), "watermark", "done")
+
+
 def source_offset_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries that don't go beyond what their split has read before are left out, also in a later run."""
     found = _in_two_waves(spark, sf_dir, new_folder(spark, "source-offsets"), drop_repeats=True)
@@ -317,6 +331,7 @@ QUERIES = {
     "term_custom_log": term_custom_log,
     "watch_folders_until": watch_folders_until,
     "source_offset_dedup_stream": source_offset_dedup_stream,
+    "source_merged_watermark_stream": source_merged_watermark_stream,
     "watch_live_stream": watch_live_stream,
     "watch_files_stream": watch_files_stream,
 }
@@ -389,6 +404,7 @@ tops as (
          max(source_wm) over (partition by source_id, split_id order by arrival_no rows unbounded preceding) as watermark
   from cut where ended = 0)
 select source_id, split_id, arrival_no, off, record_id, value, watermark from tops where top is null or off > top""",
+    "source_merged_watermark_stream": merged_sql(f"cast(arrival_no >= {tables.REDELIVERED_SHIFT} as bigint)"),
     "watch_replay": SNAPSHOT_SQL,
     "watch_live_stream": SNAPSHOT_SQL,
     "watch_files_stream": f"select distinct event_type, cast({DAY_SQL} as int) as day from events",

@@ -2,6 +2,7 @@
 
 Under ``root``, one folder per micro-batch: ``rows``, the records that were read with the
 watermark after each, and ``state``, one row per split with its watermark, highest offset and whether it has ended.
+``merged`` has one row per batch: the watermark of all splits together.
 A batch reads the state that the one before it left and overwrites its own folders, so it can be
 repeated.  Only the state, a row per split, is joined with the records.
 """
@@ -19,6 +20,7 @@ from tidewatch.operators.running import running_max
 from tidewatch.streaming.run import each_batch
 
 STATE = "source_id string, split_id int, saved_wm timestamp_ntz, saved_top bigint, ended boolean"
+MERGED = "reached timestamp_ntz, watermark timestamp_ntz, done boolean, n_open bigint, n_ended bigint, held_back bigint"
 
 
 def follow(records: DataFrame, root: str, drop_repeats: bool = False) -> StreamingQuery:
@@ -38,6 +40,52 @@ def emitted(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
     return spark.read.schema(kept).parquet(f"{root}/rows").filter("_kept").select(*fields.names)
 
 
+def follow_merged(records: DataFrame, root: str, expected: DataFrame | None = None) -> StreamingQuery:
+    """As :func:`follow`, and keep the watermark of all splits together after every batch; see :func:`merged`.
+
+    ``expected(source_id, split_id)`` are splits known before they are read: they hold the watermark
+    back until they report one.  Any other split does so from the batch on that first reads it, and
+    what was reported before never falls.
+    """
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        _add_batch(batch, root, batch_id, drop_repeats=False)
+        _merge(batch.sparkSession, root, batch_id, expected)
+
+    return each_batch(records, root, work)
+
+
+def merged(spark: SparkSession, root: str) -> DataFrame:
+    """One row per batch: ``watermark``, ``done`` and how many splits are open, ended and without a watermark.
+
+    The watermark is the lowest of the open splits' watermarks, and never falls.  It stays where it was while an
+    open split has none, and is NULL with ``done`` once all splits have ended.
+    """
+    return spark.read.schema(f"batch bigint, {MERGED}").parquet(f"{root}/merged").drop("reached")
+
+
+def _merge(spark: SparkSession, root: str, batch_id: int, expected: DataFrame | None) -> None:
+    splits = _state(spark, root, batch_id)
+    if expected is not None:
+        awaited = expected.select(*SPLIT).distinct().join(splits.select(*SPLIT), list(SPLIT), "left_anti")
+        splits = splits.unionByName(awaited.withColumn("ended", F.lit(False)), allowMissingColumns=True)
+    is_open = ~F.col("ended")
+    counts = splits.agg(
+        F.min(F.when(is_open, F.col("saved_wm"))).alias("_low"),
+        F.count_if(is_open).alias("n_open"),
+        F.count_if(F.col("ended")).alias("n_ended"),
+        F.count_if(is_open & F.col("saved_wm").isNull()).alias("held_back"),
+    )
+    earlier = spark.read.schema(MERGED).parquet(f"{root}/merged/batch={batch_id - 1}").first() if batch_id else None
+    before = earlier.reached.isoformat(" ") if earlier and earlier.reached else None
+    reached = F.greatest(F.lit(before).cast("timestamp_ntz"), F.when(F.col("held_back") == 0, F.col("_low")))
+    done = (F.col("n_open") == 0) & (F.col("n_ended") > 0)
+    row = counts.select(
+        reached.alias("reached"), F.when(~done, reached).alias("watermark"), done.alias("done"), "n_open", "n_ended", "held_back"
+    )
+    row.write.mode("overwrite").parquet(f"{root}/merged/batch={batch_id}")
+
+
 def _state(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
     try:
         return spark.read.schema(STATE).parquet(f"{root}/state/batch={batch_id}")
