@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from datetime import datetime
-from itertools import islice
+from datetime import datetime, timedelta
 from typing import Any
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tidewatch.functions.checks import checked_int, checked_seconds
+from tidewatch.plans.side_by_side import side_by_side
+
 ROWS_PER_BATCH = 10_000
 
 
@@ -50,11 +53,27 @@ def poll_rows_schema(value_type: str) -> str:
     )
 
 
-def per_seed(poll_fn: Callable[[str], PollResult | Iterable[Any]], value_type: str) -> Callable[..., DataFrame]:
-    """A poll of all seeds in one job, calling ``poll_fn(seed)`` once per seed on the executors."""
+def per_seed(
+    poll_fn: Callable[[str], PollResult | Iterable[Any]],
+    value_type: str,
+    at_once: int = 1,
+    deadline: float | timedelta | None = None,
+) -> Callable[..., DataFrame]:
+    """A poll of all seeds in one job, calling ``poll_fn(seed)`` once per seed on the executors.
+
+    Outputs are Python values, :class:`Timed` ones, or Arrow arrays and record batches with the columns
+    ``value`` and, if they have their own times, ``event_ts``.
+
+    A task asks ``at_once`` seeds side by side.  A seed that is not through ``deadline`` seconds after it was asked does
+    not hold up the others: what it has listed by then counts, its watermark and completion don't, and it is
+    asked again by the next poll, though not by a worker in which the late call still runs.
+    """
     if not callable(poll_fn):
         raise TypeError("poll_fn must be callable")
+    at_once = checked_int("polls at once", at_once, least=1)
+    seconds = None if deadline is None else checked_seconds("deadline", deadline, above=0.0)
     fields = poll_rows_schema(value_type)
+    own_name = uuid4().hex
 
     def poll(seeds: DataFrame, poll_no: int, poll_ts: datetime) -> DataFrame:
         spark = seeds.sparkSession
@@ -62,11 +81,14 @@ def per_seed(poll_fn: Callable[[str], PollResult | Iterable[Any]], value_type: s
         arrow = to_arrow_schema(schema)
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for seed in batch.column("seed").to_pylist():
-                    rows = _rows_of(seed, poll_fn(seed))
-                    while chunk := list(islice(rows, ROWS_PER_BATCH)):
-                        yield pa.RecordBatch.from_pylist(chunk, schema=arrow)
+            names = (seed for batch in batches for seed in batch.column("seed").to_pylist())
+
+            def answer(seed: str) -> Iterator[pa.RecordBatch]:
+                return answer_batches(seed, poll_fn(seed), arrow)
+
+            if at_once == 1 and seconds is None:
+                return (rows for seed in names for rows in answer(seed))
+            return side_by_side(own_name, names, answer, at_once, seconds)
 
         spread = seeds.select("seed").repartition(spark.sparkContext.defaultParallelism, "seed")
         return spread.mapInArrow(ask, schema)
@@ -74,14 +96,45 @@ def per_seed(poll_fn: Callable[[str], PollResult | Iterable[Any]], value_type: s
     return poll
 
 
-def _rows_of(seed: str, answer: PollResult | Iterable[Any]) -> Iterator[dict[str, Any]]:
+def answer_batches(seed: str, answer: PollResult | Iterable[Any], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows of one answer; the header comes last, when the outputs have been listed to their end."""
     result = answer if isinstance(answer, PollResult) else PollResult.of(answer)
-    yield {"seed": seed, "watermark": result.watermark, "complete": result.complete}
-    for pos, item in enumerate(result.outputs):
-        if isinstance(item, Timed):
-            yield {"seed": seed, "pos": pos, "value": item.value, "event_ts": item.event_ts}
-        else:
-            yield {"seed": seed, "pos": pos, "value": item}
+    listed = result.outputs
+    listed = [listed] if isinstance(listed, (pa.RecordBatch, pa.Table, pa.Array, pa.ChunkedArray)) else listed
+    at, rows = 0, []
+    for item in listed:
+        if isinstance(item, (pa.RecordBatch, pa.Table, pa.Array, pa.ChunkedArray)):
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                rows = []
+            for part in _arrow_rows(seed, at, item, arrow):
+                yield part
+                at += part.num_rows
+            continue
+        timed = isinstance(item, Timed)
+        rows.append({
+            "seed": seed, "pos": at, "value": item.value if timed else item, "event_ts": item.event_ts if timed else None
+        })
+        at += 1
+        if len(rows) == ROWS_PER_BATCH:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            rows = []
+    rows.append({"seed": seed, "watermark": result.watermark, "complete": result.complete})
+    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+
+def _arrow_rows(seed: str, at: int, item: Any, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Outputs that are Arrow already, numbered from ``at``."""
+    if isinstance(item, (pa.Array, pa.ChunkedArray)):
+        item = pa.table({"value": item})
+    for part in pa.Table.from_batches([item]).to_batches() if isinstance(item, pa.RecordBatch) else item.to_batches():
+        n = part.num_rows
+        known = {"seed": pa.repeat(pa.scalar(seed, pa.string()), n), "pos": pa.array(range(at, at + n), pa.int64())}
+        known |= {name: part.column(name) for name in ("value", "event_ts") if name in part.schema.names}
+        yield pa.RecordBatch.from_arrays(
+            [known[f.name].cast(f.type) if f.name in known else pa.nulls(n, f.type) for f in arrow], schema=arrow
+        )
+        at += n
 
 
 def headers(rows: DataFrame, poll_no: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, time, timedelta
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,6 +15,7 @@ from tidewatch.functions import termination as term
 from tidewatch.plans import tables
 from tidewatch.plans.source_queries import ORACLES as SOURCE_SQL
 from tidewatch.plans.source_queries import RECORDS_SQL, merged_sql
+from tidewatch.plans.poll import PollResult, per_seed
 from tidewatch.plans.spec import Watch, WatchSpec
 from tidewatch.plans.tables import Days, PollLog
 from tidewatch.plans.watch_queries import DAY_SQL, LOG_SQL, START_SQL
@@ -297,6 +300,39 @@ def watch_folders_until(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.distinct()
 
 
+def listed_days(folder: str) -> PollResult:
+    """What a folder holds now: the names of its subfolders, as one Arrow array."""
+    found, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    inside = found.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    names = sorted(info.base_name for info in inside if info.type == fs.FileType.Directory)
+    return PollResult.of(pa.array(names, pa.string()))
+
+
+def watch_own_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders that fill up, listed in Python, several at once; names of odd length are asked at every other tick."""
+    root = new_folder(spark, "watch-pace")
+    log = PollLog(tables.events(spark, sf_dir))
+    folder = F.concat(F.lit(f"{root}/incoming/event_type="), F.col("seed"))
+    pace = (F.length("seed") % 2 + 1) * SNAPSHOT_DAYS
+    seeds = written(log.seeds().select(
+        folder.alias("seed"), "added_at", F.lit(None).cast("timestamp_ntz").alias("event_ts"), F.make_dt_interval(pace).alias("poll_every")
+    ), "folders")
+    spec = Watch.growth_of(per_seed(listed_days, "string", at_once=8)).with_max_completed_size(None)
+    start = datetime.combine(log.days.first, time())
+    watch = ticks.Ticks(spark, spec, lambda _: seeds, f"{root}/watch", lambda n: start + timedelta(days=n * SNAPSHOT_DAYS))
+    listed = log.events.select("event_type", "event_id", log.days.number("ts").alias("day"))
+    # One tick more than it takes to list all days, for those that wait at the last one.
+    for poll_no in range(1, _snapshots(log.days) + 2):
+        wave = listed.filter(F.ceil(F.col("day") / SNAPSHOT_DAYS) == poll_no)
+        wave.repartitionByRange("event_type", "day", "event_id").write.mode("append").partitionBy("event_type", "day").parquet(f"{root}/incoming")
+        watch.tick(poll_no)
+    watch.close()
+    return watch.emitted().select(
+        F.regexp_extract("seed", "event_type=([^/]+)", 1).alias("event_type"),
+        F.regexp_extract("value", "day=([0-9]+)", 1).cast("int").alias("day"), "poll_no", "discovered_ts",
+    )
+
+
 def watch_files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that appear in a folder in two waves; the stream restarts in between."""
     session = stream_session(spark)
@@ -330,6 +366,7 @@ QUERIES = {
     "term_custom_live": term_custom_live,
     "term_custom_log": term_custom_log,
     "watch_folders_until": watch_folders_until,
+    "watch_own_pace": watch_own_pace,
     "source_offset_dedup_stream": source_offset_dedup_stream,
     "source_merged_watermark_stream": source_merged_watermark_stream,
     "watch_live_stream": watch_live_stream,
@@ -393,6 +430,11 @@ select n.* exclude (emit_no) from n join ends e on n.seed = e.seed where e.stop_
     "watch_folders_until": f"""
 select distinct event_type, cast({DAY_SQL} as int) as day, cast(ceil({DAY_SQL} / {SNAPSHOT_DAYS}) as int) as poll_no
 from events where ceil({DAY_SQL} / {SNAPSHOT_DAYS}) <= 3""",
+    "watch_own_pace": f"""
+with listed as (select distinct event_type, cast({DAY_SQL} as int) as day, cast(ceil({DAY_SQL} / {SNAPSHOT_DAYS}) as int) as tick,
+                       length(event_type) % 2 + 1 as pace, {START_SQL} as start from events),
+found as (select *, cast(1 + pace * ceil((tick - 1) / pace) as int) as poll_no from listed)
+select event_type, day, poll_no, start + to_days({SNAPSHOT_DAYS} * poll_no) as discovered_ts from found""",
     "source_offset_dedup_stream": RECORDS_SQL + """,
 cut as (
   select *, coalesce(max(cast(terminal as int)) over (partition by source_id, split_id order by arrival_no

@@ -3,6 +3,7 @@
 Under ``root``, one folder per poll number:
 
 * ``raw``     what the poll answered, written before anything is derived from it
+* ``asked``   the seeds that were due, if seeds have their own pace
 * ``ledger``  one row once ``raw`` is complete
 * ``fresh``   the outputs that were new: the watch result
 * ``memory``  with a bounded memory: the keys remembered after the poll; with an unbounded one they
@@ -30,7 +31,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.functions.keys import key_digest, with_one_zero
 from tidewatch.functions.termination import StatefulTermination, advance
-from tidewatch.functions.times import discovery_time
+from tidewatch.functions.times import discovery_time, interval
 from tidewatch.operators.bounded import admit, forget
 from tidewatch.operators.first_seen import first_in_poll
 from tidewatch.operators.polls import end_marks
@@ -54,7 +55,10 @@ class Ticks:
     """The tables of one live watch and the tick that extends them.
 
     ``seeds`` returns the table ``(seed, added_at, event_ts)``; it is read at every tick,
-    so seeds may be added while the watch runs.
+    so seeds may be added while the watch runs.  With a column ``poll_every``, a day-time interval, a seed is
+    asked by the tick that is nearest to that long after its last poll, a new one at once, one with
+    NULL at every tick.  A tick leaves seeds that are not due as they are: their polls, idle times and iterations are
+    their own.
     """
 
     def __init__(
@@ -93,12 +97,17 @@ class Ticks:
         before = self.status(poll_no - 1)
         done = before.filter("done").select("seed")
         watched = self.seeds(self.spark).join(done, ["seed"], "left_anti")
-        raw = self._poll_once(watched, poll_no)
-        poll_ts = raw.agg(F.max("poll_ts")).first()[0] or self.clock(poll_no)
+        kept, poll_ts = before.filter("done"), None
+        if "poll_every" in watched.columns:
+            every, (watched, poll_ts) = watched, self._due(watched, before, poll_no)
+            waiting = every.select("seed").join(watched.select("seed"), ["seed"], "left_anti")
+            kept = kept.unionByName(before.filter("not done").join(waiting, ["seed"], "left_semi"))
+        raw = self._poll_once(watched, poll_no, poll_ts)
+        poll_ts = poll_ts or raw.agg(F.max("poll_ts")).first()[0] or self.clock(poll_no)
         fresh = self._write(self._new_outputs(raw, poll_no), "fresh", poll_no)
         if self._remembers:
             self._write(forget(self._memory(poll_no - 1), fresh, self.spec.max_completed_size), "memory", poll_no)
-        self._write(self._status_after(watched, raw, fresh, before, poll_ts), "status", poll_no)
+        self._write(self._status_after(watched, raw, fresh, before, poll_ts).unionByName(kept), "status", poll_no)
         self._mark("done", poll_no)
 
     def next_poll(self) -> int:
@@ -117,10 +126,26 @@ class Ticks:
         df.write.mode("overwrite").parquet(folder)
         return self.spark.read.schema(df.schema).parquet(folder)
 
-    def _poll_once(self, watched: DataFrame, poll_no: int) -> DataFrame:
+    def _due(self, watched: DataFrame, before: DataFrame, poll_no: int) -> tuple[DataFrame, datetime]:
+        """The seeds that this tick asks, and its clock reading; a poll that was written keeps both."""
+        if poll_no > self._last_mark("ledger"):
+            now = self.clock(poll_no).isoformat(" ")
+            last = before.select("seed", F.col("poll_ts").alias("_last"))
+            nearest = F.lit(now).cast("timestamp_ntz") + interval(self.spec.poll_interval / 2)
+            due = F.coalesce(F.col("_last") + F.col("poll_every") < nearest, F.lit(True))
+            asked = watched.join(last, ["seed"], "left").select(
+                *watched.columns, F.lit(now).cast("timestamp_ntz").alias("_now"), due.alias("_due")
+            )
+            # One row more than there are seeds, so that the reading is kept if none is due.
+            reading = self.spark.range(1).select(F.lit(now).cast("timestamp_ntz").alias("_now"), F.lit(False).alias("_due"))
+            self._write(asked.filter("_due").unionByName(reading, allowMissingColumns=True), "asked", poll_no)
+        every = self.spark.read.parquet(self._folder("asked", poll_no))
+        return every.filter("_due").select(*watched.columns), every.agg(F.max("_now")).first()[0]
+
+    def _poll_once(self, watched: DataFrame, poll_no: int, poll_ts: datetime | None = None) -> DataFrame:
         folder = self._folder("raw", poll_no)
         if poll_no > self._last_mark("ledger"):
-            poll_ts = self.clock(poll_no)
+            poll_ts = poll_ts or self.clock(poll_no)
             rows = self.spec.poll_fn(watched, poll_no, poll_ts)
             stamped = rows.withColumn("poll_ts", F.lit(poll_ts.isoformat(" ")).cast("timestamp_ntz"))
             stamped.write.mode("overwrite").parquet(folder)
@@ -164,7 +189,7 @@ class Ticks:
     def _status_after(
         self, watched: DataFrame, raw: DataFrame, fresh: DataFrame, before: DataFrame, poll_ts: datetime
     ) -> DataFrame:
-        """One row per seed.  A seed that the poll did not mention had an empty poll."""
+        """One row per seed that was asked.  A seed that the poll did not mention had an empty poll."""
         heads = end_marks(raw.filter(F.col("pos").isNull())).select("seed", "poll_ts", "watermark", "done")
         counts = fresh.groupBy("seed").agg(F.count("*").alias("n_new"), F.min("discovered_ts").alias("_earliest"))
         past = before.select(
@@ -204,7 +229,7 @@ class Ticks:
         ended = now.withColumn("done", F.col("done") | self.spec.termination.stop())
         reported = F.greatest("seed_ts", "_wm", F.when(~F.col("done"), F.col("_candidate")))
         after = ended.withColumn("watermark", reported).drop("_candidate", "_wm")
-        return after.unionByName(before.filter("done"))
+        return after
 
 
 def _advance(conditions: list[StatefulTermination]) -> Callable[[Iterator], Iterator]:
