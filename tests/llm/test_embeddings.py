@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import classes
-from tidewatch.llm.embeddings import _in_cells, _units, near_duplicates
+from tidewatch.llm.embeddings import _in_cells, _units, near_duplicates, pivots_that_pay
 
 SCHEMA = "vec_id bigint, embedding array<double>, label int, vec_size int"
 
@@ -79,3 +79,44 @@ def test_triangle_inequality_excludes_cells(spark):
     units = _units(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").select("vec_id", "label", "embedding"))
     placed = _in_cells(units, np.eye(4), float(np.arccos(0.93)))
     assert placed.count() == 80 and placed.filter("home").count() == 80
+
+
+@pytest.mark.parametrize("visit_cost", [0, 500])
+def test_many_pivots_same_as_all_pairs(spark, visit_cost):
+    rows = clustered(3, 400, 6)
+    df = spark.createDataFrame([(*r, 6) for r in rows], SCHEMA)
+    got = near_duplicates(df, cell_rows=4, tile_rows=30, visit_cost=visit_cost).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == model(rows, 0.93)
+
+
+def test_pivots_grow_where_they_exclude_pairs():
+    rng = np.random.RandomState(5)
+    radius = float(np.arccos(0.93))
+
+    def units(x):
+        return list(x / np.linalg.norm(x, axis=1)[:, None])
+
+    centres = rng.randn(64, 32)
+    near = units(centres[rng.randint(64, size=2000)] + 0.02 * rng.randn(2000, 32))
+    counts = []
+    for per_label in (500, 5_000, 5_000_000):
+        pivots, cells, compared = pivots_that_pay(near, radius, per_label, 64)
+        counts.append(len(pivots))
+    assert counts[0] <= counts[1] <= counts[2] == 64
+    assert compared < 0.1 and cells < 6
+    far = units(rng.randn(2000, 64))
+    pivots, cells, compared = pivots_that_pay(far, radius, 500, 64)
+    assert len(pivots) == 2 and compared > 0.9
+    assert pivots_that_pay(far, radius, 5_000_000, 64)[1] <= 8
+    assert len(pivots_that_pay(near, radius, 1e6, 1)[0]) == 1
+    assert pivots_that_pay([], radius, 0, 2)[0].shape == (0, 0)
+
+
+def test_rows_of_a_repeated_id_are_all_compared(spark):
+    rows = [
+        (1, [1.0, 0.0], 0, 0), (2, [1.0, 0.01], 0, 0), (2, [1.0, 0.01], None, 0), (2, None, 0, 0),
+        (3, [0.0, 1.0], 0, 0), (3, [1.0, 0.02], 0, 0), (4, [0.0, 1.0], 1, 0), (4, [-0.0, 3.0], 0, 0), (4, [0.0, 1.0], 0, 0),
+        (5, [1.0, 1.0], 7, 0), (5, [1.0, 1.001], 7, 0),
+    ]
+    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(1, 2, 1, True), (2, 2, 1, False), (3, 3, 1, False), (4, 1, 1, False), (5, 0, 5, True)}

@@ -8,9 +8,10 @@ cell.  Cells join independently; a large cell is cut into tiles, each pair of wh
 task, and the products of a task are made in slices.  Only counts and a spanning forest of
 the links leave a task.
 
-The metric is the angle.  Where the angles between unrelated vectors hardly differ, as in
-many dimensions, the inequality excludes little and vectors visit most cells: the result
-stays exact and the work approaches that of comparing all rows of a label.
+The metric is the angle.  How many pivots pay is measured on the sample: more of them exclude
+more pairs where vectors cluster, and only make more visits where the angles between unrelated
+vectors hardly differ, as in many dimensions.  There few are taken, the result stays exact, and
+the work is that of comparing all rows of a label.
 """
 
 from __future__ import annotations
@@ -28,12 +29,17 @@ from tidewatch.llm.components import components, local_roots
 from tidewatch.workspace import written
 
 THRESHOLD = 0.93
-#: Pivots are chosen from so many vectors, those with the lowest hash of their id.
-SAMPLE_ROWS = 1024
-MAX_PIVOTS = 64
-#: Wanted size of a cell, and the rows of a tile.
-CELL_ROWS = 4096
+#: Pivots are chosen from so many vectors, those with the lowest hash of their id; there are so many at most.
+SAMPLE_ROWS = 4096
+MAX_PIVOTS = 1024
+#: Cells are not made smaller than this on average, from so many rows on there are two at least, and a tile has so many rows.
+CELL_ROWS = 256
+LEAST_ROWS = 256
 TILE_ROWS = 4096
+#: A row that visits a cell costs as much as so many products of two vectors.
+VISIT_COST = 500
+#: More pivots than two are not taken if a vector would be in more cells than this on average, which bounds the rows written.
+MOST_CELLS = 8
 #: Rows of a tile whose products are held at a time.
 SLICE_ROWS = 512
 
@@ -51,7 +57,7 @@ def _units(vectors: DataFrame) -> DataFrame:
                 most = np.abs(x).max()
                 if not np.isfinite(x).all() or most == 0:
                     continue
-                x /= most
+                x = x / most + 0.0  # no negative zeros, which would make equal rows differ
                 kept.append(at)
                 sizes.append(len(x))
                 units.append((x / np.sqrt(x @ x)).tobytes())
@@ -84,6 +90,31 @@ def choose_pivots(sample: list[np.ndarray], count: int) -> np.ndarray:
     return points[chosen]
 
 
+def pivots_that_pay(
+    sample: list[np.ndarray], radius: float, rows_per_label: float, most: int, visit_cost: float = VISIT_COST
+) -> tuple[np.ndarray, float, float]:
+    """The pivots whose cells cost least, how many cells a vector is in, and the share of pairs compared.
+
+    Both figures are those of the sample.  With ``n`` pivots a vector is compared with all that are in its
+    home cell, and every visit is a row to be shuffled.  At least two pivots are taken where ``most`` allows.
+    """
+    pivots = choose_pivots(sample, most)
+    if len(pivots) < 2:
+        return pivots, 1.0, 1.0
+    points = np.array([x for x in sample if len(x) == pivots.shape[1]])
+    angles = np.arccos(np.clip(points @ pivots.T, -1, 1))
+    found = []
+    for count in sorted({min(2**k, len(pivots)) for k in range(1, 1 + len(pivots).bit_length())}):
+        home = angles[:, :count].argmin(axis=1)
+        visits = angles[:, :count] <= angles[np.arange(len(points)), home][:, None] + 2 * radius
+        compared = float((np.bincount(home, minlength=count) / len(points)) @ visits.mean(axis=0))
+        cells = float(visits.sum(axis=1).mean())
+        if cells <= MOST_CELLS or count == 2:
+            found.append((rows_per_label * compared + visit_cost * cells, count, cells, compared))
+    _, count, cells, compared = min(found)
+    return pivots[:count], cells, compared
+
+
 def _in_cells(units: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
     """Each vector once in its home cell and once in every cell that it visits."""
 
@@ -140,32 +171,33 @@ def near_duplicates(
     max_pivots: int = MAX_PIVOTS,
     cell_rows: int = CELL_ROWS,
     tile_rows: int = TILE_ROWS,
+    visit_cost: float = VISIT_COST,
 ) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` of every vector.
 
     Two vectors are linked if their labels are equal, their lengths too, and their cosine in
     double precision is ``threshold`` or more.  Vectors that are null, empty or zero or hold a
     null or a number that is not finite, and vectors without a label or an id, link with
-    nothing.  ``component_id`` is the smallest id reachable by links.  Of rows that repeat
-    an id the lowest by label and vector counts; all rows without an id become one, which is
-    not kept.  Pivots come from a bounded sample; all vectors are compared.
+    nothing.  ``component_id`` is the smallest id reachable by links.  Rows that repeat an id are
+    all compared: those equal in label and direction count once, others as vectors of their
+    own, of which links between two of the same id do not count.  All rows without an id become
+    one, which is not kept.  Pivots come from a bounded sample; all vectors are compared.
     """
     spark = vectors.sparkSession
     ship(spark)
-    named = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"), F.struct(F.col(label_col).alias("label"), F.col(vector_col).alias("embedding")).alias("row")
-    )
-    once = named.groupBy("vec_id").agg(F.min("row").alias("row")).select("vec_id", "row.label", "row.embedding")
-    units = written(_units(once), "units")
-    size = units.agg(F.count("*"), F.approx_count_distinct("label")).first()
-    wanted = min(max_pivots, max(1, -(-size[0] // max(1, size[1] * cell_rows))))
-    sample = units.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("unit").collect()
-    pivots = choose_pivots([np.frombuffer(row[0]) for row in sample], wanted)
-    placed = written(_in_cells(units, pivots, float(np.arccos(threshold))), "cells")
+    named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
+    units = written(_units(named).distinct(), "units")
+    rows, labels = units.agg(F.count("*"), F.approx_count_distinct("label")).first()
+    radius = float(np.arccos(threshold))
+    sample = units.orderBy(F.xxhash64("vec_id"), "vec_id", "unit").limit(sample_rows).select("unit").collect()
+    per_label = rows / max(1, labels)
+    most = min(max_pivots, max(1 + (rows >= LEAST_ROWS), int(per_label // cell_rows)))
+    pivots, _, _ = pivots_that_pay([np.frombuffer(row[0]) for row in sample], radius, per_label, most, visit_cost)
+    placed = written(_in_cells(units, pivots, radius), "cells")
 
     cell = ["label", "size", "cell"]
     tiles = placed.groupBy(*cell).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"))
-    joined = placed.join(tiles, cell).withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
+    joined = placed.join(tiles, cell).withColumn("tile", F.pmod(F.xxhash64("vec_id", "unit"), F.col("tiles")).cast("int"))
 
     def with_all(asks: bool):
         first, second = ("tile", "_other") if asks else ("_other", "tile")
