@@ -65,3 +65,29 @@ def test_rows(spark):
     want = (1, "u", LONG.strip(), len(LONG.strip()))
     assert got == [want, want, (None, None, "", 0), (2, "u", "", 0)]
     assert extract.extracted(df.filter("false")).collect() == []
+
+
+def test_names_of_wrappers_do_not_erase_a_page():
+    """An element that all content is in isn't boilerplate for a word in its name; inside it names count as ever."""
+    long = LONG.strip()
+    rest = f"<header><a href=/>Home</a></header><h2>News</h2>%s<footer><p>&copy; {LONG}</p></footer>"
+    inner = f'<h1>Title</h1><p>{LONG}</p><p>{LONG}</p><div class="left-sidebar"><p>{LONG}</p></div><ul class="comment-list"><li>{LONG}</li></ul>'
+    for wrapper in ('div class="has-sidebar"', 'article class="post with-comments"', 'div id="register-story"', 'form action="/page"',
+                    'form id=aspnetForm class="page-with-menu"', 'div class="layout-has-menu layout-has-banner"'):
+        tag = wrapper.split()[0]
+        assert extract.main_text(rest % f"<{wrapper}>{inner}</{tag}>").removeprefix("News ") == f"Title {long} {long}"
+    nested = f"<div class='with-menu'><div class='has-sidebar'><form>{inner}</form></div></div>"
+    assert extract.main_text(rest % nested).removeprefix("News ") == f"Title {long} {long}"
+
+
+def test_boilerplate_names_alone_stay_boilerplate():
+    for wrapper in ('section class="comments"', 'div class="cookie-notice"', "aside", 'div class="cookieNotice  banner"'):
+        assert extract.main_text(f"<{wrapper}><p>{LONG}</p></{wrapper.split()[0]}>") == ""
+    page = f"<p>{LONG}</p><p>{LONG}</p><div class='comment-list'>" + f"<p>{LONG}</p>" * 20 + "</div>"
+    assert extract.main_text(page) == f"{LONG.strip()} {LONG.strip()}"
+
+
+def test_a_notice_counts_by_its_share_of_the_block():
+    odds = [extract._text_odds("word " * n + "All rights reserved.", 0) for n in (5, 100, 1000)]
+    plain = [extract._text_odds("word " * n + "Everything is fine.", 0) for n in (5, 100, 1000)]
+    assert plain[0] - odds[0] == 3.0 and 0 < plain[2] - odds[2] < plain[1] - odds[1] < 3.0

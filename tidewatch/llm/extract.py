@@ -60,6 +60,9 @@ BOILERPLATE_NAMES = frozenset(
     "taboola reactions".split()
 )
 CONTENT_NAME_ODDS, BOILERPLATE_NAME_ODDS, HIDDEN_ODDS = 2.5, -7.5, -20.0
+#: Text that could be content, outside an element in doubt, that confirms the doubt: more characters than a heading has.
+ELSEWHERE = 120
+NOTICE = "all rights reserved"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -80,22 +83,31 @@ class Block:
         self.text, self.odds, self.path, self.linked = text, odds, path, linked
 
 
-def element_odds(tag: str, attributes: str) -> float:
-    """What an element adds to the odds of all blocks in it."""
-    odds = TAG_ODDS.get(tag, 0.0)
+def element_odds(tag: str, attributes: str) -> tuple[float, float]:
+    """What an element adds to the odds of all blocks in it: for sure, and in doubt.
+
+    A class, id or role made of boilerplate words alone is sure (``cookie-notice``); one with other words
+    beside (``has-sidebar``) may name an element that only has such a thing in it.  A form may be around a whole page.
+    """
+    sure, doubt = TAG_ODDS.get(tag, 0.0), 0.0
+    if tag == "form":
+        sure, doubt = 0.0, sure
     if attributes:
         if _HIDDEN.search(attributes):
-            odds += HIDDEN_ODDS
-        names = {
-            part
+            sure += HIDDEN_ODDS
+        tokens = [
+            set(_PARTS.findall(_CAMEL.sub(" ", token).lower()))
             for found in _NAMES.findall(attributes)
-            for part in _PARTS.findall(_CAMEL.sub(" ", "".join(found)).lower())
-        }
-        if names & BOILERPLATE_NAMES and tag not in ("html", "body"):
-            odds += BOILERPLATE_NAME_ODDS
-        elif names & CONTENT_NAMES:
-            odds += CONTENT_NAME_ODDS
-    return odds
+            for token in "".join(found).split()
+        ]
+        if tag not in ("html", "body") and any(names & BOILERPLATE_NAMES for names in tokens):
+            if tag in INLINE or any(names and names <= BOILERPLATE_NAMES for names in tokens):
+                sure += BOILERPLATE_NAME_ODDS
+            else:
+                doubt += BOILERPLATE_NAME_ODDS
+        elif any(names & CONTENT_NAMES for names in tokens):
+            sure += CONTENT_NAME_ODDS
+    return sure, doubt
 
 
 def _text_odds(text: str, linked: int) -> float:
@@ -106,16 +118,49 @@ def _text_odds(text: str, linked: int) -> float:
         odds -= 4.0 * linked / len(text)
     if text[-1] in ".!?…:;\"”»":
         odds += 0.5
-    if text[0] in "©" or "all rights reserved" in text[:200].lower():
+    if text[0] in "©":
         odds -= 3.0
+    elif NOTICE in text.lower():  # the less of the block it is, the less it says
+        odds -= 3.0 * min(1.0, 10 * len(NOTICE) / len(text))
     return odds
 
 
+def _settle(found: list[Block], doubts: list[list]) -> None:
+    """Add to the odds what elements in doubt add, unless nearly all that could be content is inside.
+
+    ``doubts`` holds, from the outermost on, the first block of an element, the one after its last, and its odds.
+    An element whose doubt is confirmed settles all inside it.
+    """
+    open_doubts = [0] * len(found)
+    for first, last, _ in doubts:
+        for at in range(first, last):
+            open_doubts[at] += 1
+    weights = [len(block.text) if block.odds > 0 else 0 for block in found]
+    free = sum(w for w, n in zip(weights, open_doubts) if n == 0)
+    settled = 0
+    for first, last, odds in doubts:
+        inside = range(first, last)
+        if first < settled:
+            confirmed = True
+        else:
+            confirmed = free - sum(weights[at] for at in inside if open_doubts[at] == 0) >= ELSEWHERE
+        for at in inside:
+            if confirmed:
+                found[at].odds += odds
+            else:
+                open_doubts[at] -= 1
+                free += weights[at] if open_doubts[at] == 0 else 0
+        if confirmed:
+            settled = max(settled, last)
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order; a tag that isn't closed reaches as far as its parent."""
     found: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # element, odds so far, number of the element
+    doubts: list[list] = []
+    # element, odds so far, number of the element, its doubt
+    stack: list[tuple[str, float, int, list | None]] = [("", 0.0, 0, None)]
     count = linked = in_links = 0
 
     def flush() -> None:
@@ -131,7 +176,10 @@ def blocks(page: str) -> list[Block]:
     def pop(size: int) -> None:
         nonlocal in_links
         while len(stack) > size:
-            if stack.pop()[0] == "a":
+            tag, _, _, doubt = stack.pop()
+            if doubt is not None:
+                doubt[1] = len(found)
+            if tag == "a":
                 in_links -= 1
 
     def text_until(end: int) -> None:
@@ -179,12 +227,18 @@ def blocks(page: str) -> list[Block]:
         elif tag not in VOID and not (attributes.endswith("/") and tag in ("svg", "path")):
             count += 1
             in_links += tag == "a"
-            stack.append((tag, stack[-1][1] + element_odds(tag, attributes), count))
+            sure, odds = element_odds(tag, attributes)
+            doubt = [len(found), 0, odds] if odds else None
+            if doubt:
+                doubts.append(doubt)
+            stack.append((tag, stack[-1][1] + sure, count, doubt))
     flush()
+    pop(1)
+    _settle(found, doubts)
     return found
 
 
-def _close(stack: list[tuple[str, float, int]], tags: set[str], pop) -> None:
+def _close(stack: list[tuple], tags: set[str], pop) -> None:
     for depth in range(len(stack) - 1, 0, -1):
         if stack[depth][0] in tags:
             pop(depth)
