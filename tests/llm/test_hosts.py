@@ -99,3 +99,25 @@ def test_bad_hosts_are_blocked_unless_a_rule_fits(spark):
     assert verdict[102] == "allow" and verdict[101] == "allow"
     none = hosts.judge(pages, outcomes.filter("false"), RULES).collect()
     assert {r.verdict for r in none} == {"allow"} and hosts.judge(pages.filter("false"), outcomes, RULES).collect() == []
+
+
+def test_one_bad_host_among_many(spark):
+    """Hosts that are nearly all alike don't keep a wholly bad one from being blocked."""
+    good = spark.range(1000 * 30).select(F.format_string("h%d.com", F.col("id") % 1000).alias("host"), (F.xxhash64("id") % 100 < 72).cast("int").alias("good"))
+    shared = spark.range(500 * 30).select(F.format_string("s%d.shared.com", F.col("id") % 500).alias("host"), (F.xxhash64("id") % 100 < 72).cast("int").alias("good"))
+    bad = spark.range(60).select(F.expr("if(id < 30, 'bad.com', 'bad.shared.com')").alias("host"), F.lit(0).alias("good"))
+    judged = good.unionByName(shared).unionByName(bad)
+    found = {r.host: r.upper for r in hosts.reputations(judged, most_prior_pages=hosts.MOST_PRIOR_PAGES).collect()}
+    assert {host for host, upper in found.items() if upper < hosts.MIN_GOOD} == {"bad.com", "bad.shared.com"}
+
+
+def test_levels_of_ports_addresses_and_listed_suffixes(spark):
+    cases = {
+        "example.com:8080": ("example.com", "com"), "me:secret@a.example.com": ("example.com", "com"), "example.com.": ("example.com", "com"),
+        "10.0.0.1:80": ("10.0.0.1", ""), "[::1]:80": ("[::1]", ""), "a.b.co.il": ("b.co.il", "co.il"), "x.y.github.io": ("y.github.io", "github.io"),
+        "a.b.c.city.kawasaki.jp": ("c.city.kawasaki.jp", "city.kawasaki.jp"), "a.b.io": ("b.io", "io"), "github.io": ("github.io", "github.io"), "": ("", ""),
+    }
+    listed = ["co.il", "github.io", "city.kawasaki.jp", "io"]
+    df = spark.createDataFrame([(h,) for h in cases], "host string")
+    got = df.select("host", hosts.domain_of(F.col("host"), listed).alias("d"), hosts.suffix_of(F.col("host"), listed).alias("s")).collect()
+    assert {r.host: (r.d, r.s) for r in got} == cases
