@@ -1,30 +1,40 @@
 """First-seen with a bounded memory: at most ``cap`` keys per seed, oldest forgotten first.
 
 A forgotten key is emitted again when it is listed again, so what poll k emits depends
-on what all earlier polls emitted.  Seeds are routed by measured size:
-
-* a seed with no more keys than ``cap`` never forgets, so the plain filter is exact;
-* a seed that overflows but is small is replayed in one task of bounded size;
-* a seed that overflows and is large is replayed poll by poll, each poll as distributed
-  joins against at most ``cap`` remembered keys per seed.
+on what all earlier polls emitted.  Still the log of a seed is replayed in parallel: it is
+cut into ranges of rows, and each is replayed from a guess of what is remembered where it
+begins.  The guess is right if no key came back after it was forgotten.  Then every border
+is checked: a range that began with other keys than the range before it ended with is
+replayed from those.  Ranges may guess wrong a few times; what is wrong then is replayed in
+order, one stream of rows per seed from its first wrong range on.  A task holds
+``2 * cap`` keys at most, however many rows a poll or a seed has and however wide they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from itertools import islice
+import hashlib
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from tidewatch.functions.keys import key_digest
 from tidewatch.operators.first_seen import first_in_poll, first_seen
 from tidewatch.operators.polls import with_discovery_time
-from tidewatch.operators.running import position_in_group
+from tidewatch.operators.running import position_in_group, running_max
 from tidewatch.workspace import new_folder, written
 
-MAX_ROWS_PER_TASK = 1_000_000
+#: Rows of a range; eight times the memory if that is more, so that guesses stay below a quarter of the log.
+RANGE_ROWS = 250_000
+#: How often ranges are replayed side by side before the wrong ones are replayed in order.
+GUESSES = 4
+
+HEAD, HELD, ROW = 0, 1, 2  # what a task is given for a range, in this order
+NEW, KEPT, BEGAN, ENDED = 0, 1, 2, 3  # what it answers
 
 
 def bounded_first_seen(
@@ -32,7 +42,8 @@ def bounded_first_seen(
     polls: DataFrame,
     cap: int | None,
     key: Sequence[str] = ("value",),
-    max_rows_per_task: int = MAX_ROWS_PER_TASK,
+    range_rows: int | None = None,
+    guesses: int = GUESSES,
 ) -> DataFrame:
     """New outputs per poll under a memory of ``cap`` keys per seed; ``None`` is unbounded.
 
@@ -42,80 +53,200 @@ def bounded_first_seen(
         return with_discovery_time(first_seen(outputs, key), polls)
     if cap == 0:
         return with_discovery_time(first_in_poll(outputs, key), polls)
-
-    listed = written(first_in_poll(outputs, key), "listed")
-    sizes = (
-        listed.groupBy("seed", *key).agg(F.count("*").alias("_n"))
-        .groupBy("seed").agg(F.sum("_n").alias("_rows"), F.count("*").alias("_keys"))
-    )
-    way = (
-        F.when(F.col("_keys") <= cap, "never_full")
-        .when(F.col("_rows") <= max_rows_per_task, "one_task")
-        .otherwise("by_poll")
+    size = range_rows or max(RANGE_ROWS, 8 * cap)
+    listed = with_discovery_time(first_in_poll(outputs, key), polls)
+    ordered = position_in_group(
+        listed.withColumn("_key", key_digest(*key)), ["seed"], ["poll_no", "discovered_ts", "pos"], "_n"
     )
-    routes = written(sizes.select(F.col("seed").alias("_seed"), way.alias("_way")), "routes")
-    used = {r["_way"] for r in routes.select("_way").distinct().collect()}
-
-    def part(df: DataFrame, name: str) -> DataFrame:
-        chosen = routes.filter(F.col("_way") == name).select("_seed")
-        return df.join(chosen, F.col("seed").eqNullSafe(F.col("_seed")), "left_semi")
-
-    results = []
-    if "never_full" in used or not used:
-        results.append(with_discovery_time(first_seen(part(listed, "never_full"), key), polls))
-    if "one_task" in used:
-        results.append(_replay_in_tasks(with_discovery_time(part(listed, "one_task"), polls), key, cap))
-    if "by_poll" in used:
-        results.append(_replay_by_poll(with_discovery_time(part(listed, "by_poll"), polls), key, cap))
-    whole = results[0]
-    for more in results[1:]:
-        whole = whole.unionByName(more)
-    return whole
-
-
-def _replay_in_tasks(listed: DataFrame, key: Sequence[str], cap: int) -> DataFrame:
-    keyed = listed.withColumn("_key", key_digest(*key))
-
-    def replay(table: pa.Table) -> pa.Table:
-        ordered = table.sort_by([(c, "ascending") for c in ("poll_no", "discovered_ts", "pos")])
-        new = remembered(zip(ordered["poll_no"].to_pylist(), ordered["_key"].to_pylist()), cap)
-        return ordered.filter(pa.array(new, pa.bool_()))
-
-    return keyed.groupBy("seed").applyInArrow(replay, keyed.schema).drop("_key")
-
-
-def remembered(listed: Iterator[tuple[int, str]], cap: int) -> list[bool]:
-    """For (poll, key) pairs in emit order, each key once per poll: is the key new?"""
-    memory: dict[str, None] = {}
-    flags, poll = [], None
-    for poll_no, key in listed:
-        if poll_no != poll:
-            _forget(memory, cap)
-            poll = poll_no
-        new = key not in memory
-        flags.append(new)
-        if new:
-            memory[key] = None
-    return flags
-
-
-def _forget(memory: dict[str, None], cap: int) -> None:
-    for key in list(islice(memory, max(0, len(memory) - cap))):
-        del memory[key]
-
-
-def _replay_by_poll(listed: DataFrame, key: Sequence[str], cap: int) -> DataFrame:
-    spark = listed.sparkSession
-    root = new_folder(spark, "bounded")
-    keyed = listed.withColumn("key_hash", key_digest(*key))
-    keyed.repartitionByRange("poll_no", "seed", "key_hash").write.partitionBy("poll_no").parquet(f"{root}/listed")
-    log = spark.read.schema(keyed.schema).parquet(f"{root}/listed")
-    memory = spark.createDataFrame([], log.select("seed", "key_hash", F.lit(0).cast("long").alias("idx")).schema)
-    for (poll_no,) in log.select("poll_no").distinct().orderBy("poll_no").collect():
-        listed_now = log.filter(F.col("poll_no") == poll_no).drop("poll_no")
-        new = admit(listed_now, memory, f"{root}/emitted/poll_no={poll_no}")
-        memory = written(forget(memory, new, cap), "memory", f"{root}/memory/after={poll_no}")
-    return spark.read.schema(keyed.schema).parquet(f"{root}/emitted").select(*listed.columns)
+    log = ordered.select("seed", _range_of("_n", size), F.col("poll_no").cast("long").alias("_poll"), "_n", "_key")
+    new = _replayed(written(log, "log"), cap, size, guesses)
+    return ordered.join(new, ["seed", "_n"], "left_semi").select(*listed.columns)
+
+
+def _range_of(n: str, size: int):
+    return F.floor((F.col(n) - 1) / size).cast("long").alias("_range")
+
+
+def _replayed(log: DataFrame, cap: int, size: int, guesses: int) -> DataFrame:
+    """``seed`` and ``_n`` of the new rows of ``log(seed, _range, _poll, _n, _key)``."""
+    spark = log.sparkSession
+    folder = new_folder(spark, "bounded")
+    begins = written(log.groupBy("seed", "_range").agg(F.min("_poll").alias("_poll")), "begins")
+    after = begins.select("seed", (F.col("_range") - 1).alias("_range"), F.col("_poll").alias("_next"))
+    heads = written(begins.join(after, ["seed", "_range"], "left").select("seed", "_range", "_next"), "ranges")
+    schema = StructType([
+        log.schema["seed"], StructField("_range", LongType()), StructField("_kind", IntegerType()),
+        StructField("_poll", LongType()), StructField("_n", LongType()), StructField("_key", StringType()),
+    ])
+    answers = spark.read.schema(StructType([*schema.fields, StructField("round", LongType())]))
+
+    redo, held = heads.withColumn("_chain", F.col("_range")), _guessed(log, begins, cap, size)
+    valid = None
+    for turn in range(guesses + 1):
+        given = redo.select("seed", "_range", "_chain", F.lit(HEAD).alias("_kind"), F.col("_next").alias("_poll"))
+        chains = redo.select("seed", "_range", "_chain")
+        for rows, kind in ((held, HELD), (log, ROW)):
+            if rows is not None:
+                rows = rows.join(chains, ["seed", "_range"]).withColumn("_kind", F.lit(kind))
+                given = given.unionByName(rows, allowMissingColumns=True)
+        given = given.repartition("seed", "_chain").sortWithinPartitions("seed", "_chain", "_range", "_kind", "_n")
+        given = given.select("seed", "_range", "_chain", "_kind", "_poll", "_n", "_key")
+        given.mapInArrow(_replay(cap), schema).write.parquet(f"{folder}/round={turn}")
+
+        done = answers.parquet(folder)
+        borders = done.filter(f"round = {turn} and _kind in ({BEGAN}, {ENDED})").groupBy("seed", "_range").agg(
+            F.max(F.when(F.col("_kind") == BEGAN, F.col("_key"))).alias("_began"),
+            F.max(F.when(F.col("_kind") == ENDED, F.col("_key"))).alias("_ended"),
+            F.lit(turn).cast("long").alias("round"),
+        )
+        if valid is not None:
+            borders = borders.unionByName(valid.join(redo.select("seed", "_range"), ["seed", "_range"], "left_anti"))
+        valid = written(borders, "borders")
+        before = valid.select("seed", (F.col("_range") + 1).alias("_range"), F.col("_ended").alias("_before"))
+        wrong = valid.join(before, ["seed", "_range"]).filter("_began <> _before").select("seed", "_range")
+        if turn == guesses - 1:  # from now on in order
+            first = wrong.groupBy("seed").agg(F.min("_range").alias("_chain"))
+            redo = heads.join(first, "seed").filter("_range >= _chain")
+        else:
+            redo = heads.join(wrong, ["seed", "_range"]).withColumn("_chain", F.col("_range"))
+        redo = written(redo, "redo")
+        if redo.isEmpty():
+            break
+        starts = redo.filter("_range = _chain").select("seed", (F.col("_range") - 1).alias("_range"))
+        ends = valid.select("seed", "_range", "round").join(starts, ["seed", "_range"])
+        held = done.filter(f"_kind = {KEPT}").join(ends, ["seed", "_range", "round"])
+        held = held.select("seed", (F.col("_range") + 1).alias("_range"), "_poll", "_n", "_key")
+    new = answers.parquet(folder).filter(f"_kind = {NEW}")
+    return new.join(valid.select("seed", "_range", "round"), ["seed", "_range", "round"]).select("seed", "_n")
+
+
+def _guessed(log: DataFrame, begins: DataFrame, cap: int, size: int) -> DataFrame | None:
+    """What is remembered where ranges begin if no key comes back: the keys that were first listed last.
+
+    Twice ``cap`` of them, as a range that begins within a poll needs those of the poll and those before it.
+    """
+    if begins.filter("_range > 0").isEmpty():
+        return None
+    first = log.groupBy("seed", "_key").agg(F.min("_n").alias("_n"), F.min("_poll").alias("_poll"))
+    ranked = position_in_group(first, ["seed"], ["_n"], "_rank")
+    tops = ranked.groupBy("seed", _range_of("_n", size)).agg(F.max("_rank").alias("_top"))
+    tops = begins.select("seed", "_range").join(tops, ["seed", "_range"], "left")
+    known = running_max(tops, ["seed"], "_range", before={"_seen": F.col("_top")}, levels=1).filter("_range > 0")
+    near = F.floor(F.col("_seen") / (2 * cap))
+    known = known.select("seed", "_range", "_seen", F.explode(F.array(near, near - 1)).alias("_bucket"))
+    ranked = ranked.withColumn("_bucket", F.floor(F.col("_rank") / (2 * cap)))
+    found = known.join(ranked, ["seed", "_bucket"]).filter(f"_rank <= _seen and _rank > _seen - {2 * cap}")
+    return found.select("seed", "_range", "_poll", "_n", "_key")
+
+
+class Memory:
+    """The keys that a seed remembers, oldest first: of earlier polls, and the new ones of the current poll."""
+
+    def __init__(self, cap: int):
+        self.cap = cap
+        self.keys: set[str] = set()
+        self.order: deque[tuple[int, str]] = deque()
+        self.fresh: deque[tuple[int, str]] = deque(maxlen=cap)
+        self.poll: int | None = None
+
+    def enter(self, poll: int) -> None:
+        """Go on to ``poll``.  Nothing is forgotten before a poll has ended."""
+        if poll != self.poll:
+            self._remember(self.fresh)
+            self.fresh.clear()
+            self.poll = poll
+
+    def _remember(self, entries) -> None:
+        self.order.extend(entries)
+        self.keys.update(key for _, key in entries)
+        while len(self.order) > self.cap:
+            self.keys.discard(self.order.popleft()[1])
+
+    def load(self, held: list[tuple[int | None, int, str]], poll: int) -> None:
+        """Take over (poll, number, key) of what is remembered where rows of ``poll`` follow."""
+        self._remember([(n, key) for of, n, key in held if of != poll])
+        self.fresh.extend((n, key) for of, n, key in held if of == poll)
+        self.poll = poll
+
+    def digest(self) -> str:
+        """Equal for memories that will act alike: the same keys in the same order."""
+        parts = (",".join(key for _, key in part) for part in (self.order, self.fresh))
+        return hashlib.md5(";".join(parts).encode()).hexdigest()
+
+    def take(self, polls: Sequence[int], numbers: Sequence[int], keys: Sequence[str]) -> list[int]:
+        """The numbers of the rows that are new.  Rows come in emit order, each key once per poll."""
+        known, fresh, new = self.keys, self.fresh, []
+        for poll, n, key in zip(polls, numbers, keys):
+            if poll != self.poll:
+                self.enter(poll)
+            if key not in known:
+                new.append(n)
+                fresh.append((n, key))
+        return new
+
+
+class _Answers:
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+
+    def add(self, at: tuple, kind: int, entries) -> None:
+        self.rows += [(*at, kind, poll, n, key) for poll, n, key in entries]
+
+    def batch(self, schema: pa.Schema) -> pa.RecordBatch:
+        columns = list(zip(*self.rows)) or [()] * len(schema)
+        self.rows = []
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _replay(cap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Replay sorted ranges: a head row, what is held at the begin of a chain of ranges, then rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers, schema, memory, chain, at, following, held, begun = _Answers(), None, None, None, None, None, [], False
+
+        def end() -> None:
+            if at is not None and following is not None:
+                memory.enter(following)
+                answers.add(at, KEPT, [(None, n, key) for n, key in memory.order])
+                answers.add(at, KEPT, [(memory.poll, n, key) for n, key in memory.fresh])
+            if at is not None:
+                answers.add(at, ENDED, [(None, None, memory.digest())])
+
+        for batch in batches:
+            schema = schema or pa.schema([
+                ("seed", batch.schema.field("seed").type), ("_range", pa.int64()), ("_kind", pa.int32()),
+                ("_poll", pa.int64()), ("_n", pa.int64()), ("_key", pa.string()),
+            ])
+            kinds = batch["_kind"].to_numpy()
+            changes = np.flatnonzero(np.append(kinds[1:] != kinds[:-1], True)) + 1
+            # Two heads never follow each other, as every range has rows.
+            for start, stop in zip([0, *changes[:-1]], changes):
+                part = batch.slice(start, stop - start)
+                polls = part["_poll"].to_pylist()
+                if kinds[start] == HEAD:
+                    end()
+                    at = (part["seed"][0].as_py(), part["_range"][0].as_py())
+                    following, held, begun = polls[0], [], False
+                    if (at[0], part["_chain"][0].as_py()) != chain:
+                        chain, memory = (at[0], part["_chain"][0].as_py()), Memory(cap)
+                    continue
+                numbers, keys = part["_n"].to_pylist(), part["_key"].to_pylist()
+                if kinds[start] == HELD:
+                    held += zip(polls, numbers, keys)
+                    continue
+                if not begun:
+                    if held:
+                        memory.load(held, polls[0])
+                    memory.enter(polls[0])
+                    answers.add(at, BEGAN, [(None, None, memory.digest())])
+                    held, begun = [], True
+                answers.add(at, NEW, [(None, n, None) for n in memory.take(polls, numbers, keys)])
+            yield answers.batch(schema)
+        end()
+        if schema is not None:
+            yield answers.batch(schema)
+
+    return run
 
 
 def admit(listed: DataFrame, memory: DataFrame, folder: str | None = None) -> DataFrame:
