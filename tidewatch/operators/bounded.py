@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
@@ -29,7 +29,7 @@ from tidewatch.operators.running import position_in_group, running_max
 from tidewatch.workspace import new_folder, written
 
 #: Rows of a range; eight times the memory if that is more, so that guesses stay below a quarter of the log.
-RANGE_ROWS = 250_000
+RANGE_ROWS = 100_000
 #: How often ranges are replayed side by side before the wrong ones are replayed in order.
 GUESSES = 4
 
@@ -55,9 +55,9 @@ def bounded_first_seen(
         return with_discovery_time(first_in_poll(outputs, key), polls)
     size = range_rows or max(RANGE_ROWS, 8 * cap)
     listed = with_discovery_time(first_in_poll(outputs, key), polls)
-    ordered = position_in_group(
-        listed.withColumn("_key", key_digest(*key)), ["seed"], ["poll_no", "discovered_ts", "pos"], "_n"
-    )
+    # Written, since a range partitioning reads what it sorts twice.
+    keyed = written(listed.withColumn("_key", key_digest(*key)), "listed")
+    ordered = position_in_group(keyed, ["seed"], ["poll_no", "discovered_ts", "pos"], "_n")
     log = ordered.select("seed", _range_of("_n", size), F.col("poll_no").cast("long").alias("_poll"), "_n", "_key")
     new = _replayed(written(log, "log"), cap, size, guesses)
     return ordered.join(new, ["seed", "_n"], "left_semi").select(*listed.columns)
@@ -71,16 +71,18 @@ def _replayed(log: DataFrame, cap: int, size: int, guesses: int) -> DataFrame:
     """``seed`` and ``_n`` of the new rows of ``log(seed, _range, _poll, _n, _key)``."""
     spark = log.sparkSession
     folder = new_folder(spark, "bounded")
-    begins = written(log.groupBy("seed", "_range").agg(F.min("_poll").alias("_poll")), "begins")
-    after = begins.select("seed", (F.col("_range") - 1).alias("_range"), F.col("_poll").alias("_next"))
-    heads = written(begins.join(after, ["seed", "_range"], "left").select("seed", "_range", "_next"), "ranges")
+    # One row per range, so one window per seed has a row per 100,000 of the log.
+    following = F.lead("_poll").over(Window.partitionBy("seed").orderBy("_range"))
+    begins = log.groupBy("seed", "_range").agg(F.min("_poll").alias("_poll"))
+    heads = written(begins.select("seed", "_range", following.alias("_next")), "ranges")
+    several = not heads.filter("_range > 0").isEmpty()
     schema = StructType([
         log.schema["seed"], StructField("_range", LongType()), StructField("_kind", IntegerType()),
         StructField("_poll", LongType()), StructField("_n", LongType()), StructField("_key", StringType()),
     ])
     answers = spark.read.schema(StructType([*schema.fields, StructField("round", LongType())]))
 
-    redo, held = heads.withColumn("_chain", F.col("_range")), _guessed(log, begins, cap, size)
+    redo, held = heads.withColumn("_chain", F.col("_range")), _guessed(log, heads, cap, size) if several else None
     valid = None
     for turn in range(guesses + 1):
         given = redo.select("seed", "_range", "_chain", F.lit(HEAD).alias("_kind"), F.col("_next").alias("_poll"))
@@ -94,6 +96,8 @@ def _replayed(log: DataFrame, cap: int, size: int, guesses: int) -> DataFrame:
         given.mapInArrow(_replay(cap), schema).write.parquet(f"{folder}/round={turn}")
 
         done = answers.parquet(folder)
+        if not several:
+            return done.filter(f"_kind = {NEW}").select("seed", "_n")
         borders = done.filter(f"round = {turn} and _kind in ({BEGAN}, {ENDED})").groupBy("seed", "_range").agg(
             F.max(F.when(F.col("_kind") == BEGAN, F.col("_key"))).alias("_began"),
             F.max(F.when(F.col("_kind") == ENDED, F.col("_key"))).alias("_ended"),
@@ -104,14 +108,14 @@ def _replayed(log: DataFrame, cap: int, size: int, guesses: int) -> DataFrame:
         valid = written(borders, "borders")
         before = valid.select("seed", (F.col("_range") + 1).alias("_range"), F.col("_ended").alias("_before"))
         wrong = valid.join(before, ["seed", "_range"]).filter("_began <> _before").select("seed", "_range")
+        if wrong.isEmpty():
+            break
         if turn == guesses - 1:  # from now on in order
             first = wrong.groupBy("seed").agg(F.min("_range").alias("_chain"))
             redo = heads.join(first, "seed").filter("_range >= _chain")
         else:
             redo = heads.join(wrong, ["seed", "_range"]).withColumn("_chain", F.col("_range"))
         redo = written(redo, "redo")
-        if redo.isEmpty():
-            break
         starts = redo.filter("_range = _chain").select("seed", (F.col("_range") - 1).alias("_range"))
         ends = valid.select("seed", "_range", "round").join(starts, ["seed", "_range"])
         held = done.filter(f"_kind = {KEPT}").join(ends, ["seed", "_range", "round"])
@@ -120,17 +124,15 @@ def _replayed(log: DataFrame, cap: int, size: int, guesses: int) -> DataFrame:
     return new.join(valid.select("seed", "_range", "round"), ["seed", "_range", "round"]).select("seed", "_n")
 
 
-def _guessed(log: DataFrame, begins: DataFrame, cap: int, size: int) -> DataFrame | None:
+def _guessed(log: DataFrame, heads: DataFrame, cap: int, size: int) -> DataFrame:
     """What is remembered where ranges begin if no key comes back: the keys that were first listed last.
 
     Twice ``cap`` of them, as a range that begins within a poll needs those of the poll and those before it.
     """
-    if begins.filter("_range > 0").isEmpty():
-        return None
     first = log.groupBy("seed", "_key").agg(F.min("_n").alias("_n"), F.min("_poll").alias("_poll"))
     ranked = position_in_group(first, ["seed"], ["_n"], "_rank")
     tops = ranked.groupBy("seed", _range_of("_n", size)).agg(F.max("_rank").alias("_top"))
-    tops = begins.select("seed", "_range").join(tops, ["seed", "_range"], "left")
+    tops = heads.select("seed", "_range").join(tops, ["seed", "_range"], "left")
     known = running_max(tops, ["seed"], "_range", before={"_seen": F.col("_top")}, levels=1).filter("_range > 0")
     near = F.floor(F.col("_seen") / (2 * cap))
     known = known.select("seed", "_range", "_seen", F.explode(F.array(near, near - 1)).alias("_bucket"))
@@ -173,44 +175,39 @@ class Memory:
         parts = (",".join(key for _, key in part) for part in (self.order, self.fresh))
         return hashlib.md5(";".join(parts).encode()).hexdigest()
 
-    def take(self, polls: Sequence[int], numbers: Sequence[int], keys: Sequence[str]) -> list[int]:
-        """The numbers of the rows that are new.  Rows come in emit order, each key once per poll."""
+    def take(self, polls: Sequence[int], numbers: Sequence[int], keys: Sequence[str]) -> list[bool]:
+        """Which rows are new.  They come in emit order, each key once per poll."""
         known, fresh, new = self.keys, self.fresh, []
         for poll, n, key in zip(polls, numbers, keys):
             if poll != self.poll:
                 self.enter(poll)
-            if key not in known:
-                new.append(n)
+            if key in known:
+                new.append(False)
+            else:
+                new.append(True)
                 fresh.append((n, key))
         return new
 
 
-class _Answers:
-    def __init__(self) -> None:
-        self.rows: list[tuple] = []
-
-    def add(self, at: tuple, kind: int, entries) -> None:
-        self.rows += [(*at, kind, poll, n, key) for poll, n, key in entries]
-
-    def batch(self, schema: pa.Schema) -> pa.RecordBatch:
-        columns = list(zip(*self.rows)) or [()] * len(schema)
-        self.rows = []
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-
 def _replay(cap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Replay sorted ranges: a head row, what is held at the begin of a chain of ranges, then rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers, schema, memory, chain, at, following, held, begun = _Answers(), None, None, None, None, None, [], False
+        schema, memory, chain, at, following, held, begun = None, None, None, None, None, [], False
+        borders: list[tuple] = []  # rows of ``schema`` on what was remembered at the ends of ranges
 
         def end() -> None:
-            if at is not None and following is not None:
+            # Nobody asks what is remembered after the last range of a seed.
+            if following is not None:
                 memory.enter(following)
-                answers.add(at, KEPT, [(None, n, key) for n, key in memory.order])
-                answers.add(at, KEPT, [(memory.poll, n, key) for n, key in memory.fresh])
-            if at is not None:
-                answers.add(at, ENDED, [(None, None, memory.digest())])
+                borders.extend((*at, KEPT, None, n, key) for n, key in memory.order)
+                borders.extend((*at, KEPT, memory.poll, n, key) for n, key in memory.fresh)
+                borders.append((*at, ENDED, None, None, memory.digest()))
+
+        def at_borders() -> pa.RecordBatch:
+            columns = list(zip(*borders)) or [()] * len(schema)
+            borders.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
         for batch in batches:
             schema = schema or pa.schema([
@@ -218,6 +215,7 @@ def _replay(cap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 ("_poll", pa.int64()), ("_n", pa.int64()), ("_key", pa.string()),
             ])
             kinds = batch["_kind"].to_numpy()
+            new = np.zeros(len(kinds), bool)
             changes = np.flatnonzero(np.append(kinds[1:] != kinds[:-1], True)) + 1
             # Two heads never follow each other, as every range has rows.
             for start, stop in zip([0, *changes[:-1]], changes):
@@ -238,13 +236,19 @@ def _replay(cap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                     if held:
                         memory.load(held, polls[0])
                     memory.enter(polls[0])
-                    answers.add(at, BEGAN, [(None, None, memory.digest())])
+                    borders.append((*at, BEGAN, None, None, memory.digest()))
                     held, begun = [], True
-                answers.add(at, NEW, [(None, n, None) for n in memory.take(polls, numbers, keys)])
-            yield answers.batch(schema)
+                new[start:stop] = memory.take(polls, numbers, keys)
+            found = batch.filter(pa.array(new))
+            nothing = [pa.nulls(len(found), t) for t in (pa.int64(), pa.string())]
+            kind = pa.array(np.full(len(found), NEW, np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [found["seed"], found["_range"], kind, nothing[0], found["_n"], nothing[1]], schema=schema)
+            if borders:
+                yield at_borders()
         end()
-        if schema is not None:
-            yield answers.batch(schema)
+        if borders:
+            yield at_borders()
 
     return run
 
