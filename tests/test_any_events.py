@@ -12,7 +12,7 @@ NAMES = (
     "watch_new_outputs watch_growth watch_stop_at watch_reported_watermark watch_normalize watch_bounded_seen "
     "watch_incremental watch_log_stream watch_live_stream watch_files_stream source_resume source_watermark_resume "
     "source_dedup_stream source_read_metrics source_terminal_stream source_offset_dedup_stream "
-    "source_merged_watermark source_merged_watermark_stream"
+    "source_merged_watermark source_merged_watermark_stream source_backlog_stream"
 ).split()
 #: All queries over the poll log; those of the live watch take several ticks.
 POLL_LOG = [name for name in queries() if name.startswith(("watch_", "term_"))]

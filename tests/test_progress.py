@@ -1,0 +1,88 @@
+"""The log of a running stream's batches: counters, offsets and what is left."""
+
+import re
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tidewatch.sources import SplitSource
+from tidewatch.streaming.progress import BatchLog, batches
+from tidewatch.streaming.run import write_available
+
+
+class Dripping(SplitSource):
+    """Test source: two splits of 300 and 150 records; two and one more appear at each look."""
+
+    TOTAL = {"a": 300, "b": 150}
+
+    @classmethod
+    def name(cls):
+        return "dripping"
+
+    def schema(self):
+        return "split string, off bigint"
+
+    def splits(self):
+        return list(self.TOTAL)
+
+    def latest(self, split):
+        looks = self.__dict__.setdefault("looks", {})
+        looks[split] = looks.get(split, 0) + 1
+        return min(self.TOTAL[split], looks[split] * self.TOTAL[split] // 150)
+
+    def backlog_bytes(self, split, offset):
+        return -1 if self.options.get("unknown") and split == "b" else 8 * (self.TOTAL[split] - offset)
+
+    def read_range(self, schema, split, start, end):
+        offs = pa.array(range(start, end), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([split] * (end - start)), offs], ["split", "off"])
+
+
+def test_backlog_falls_to_nothing_over_many_batches(spark, tmp_path):
+    spark.dataSource.register(Dripping)
+    counters = {"n": F.count("*"), "top": F.max("off")}
+    with BatchLog(spark, f"{tmp_path}/log", counters, Dripping({})) as log:
+        stream = log.observed(spark.readStream.format("dripping").load())
+        query = stream.writeStream.queryName(log.name).format("noop").option("checkpointLocation", f"{tmp_path}/c").start()
+        while query.lastProgress is None or sum(map(int, re.findall(r"\d+", query.lastProgress.sources[0].endOffset))) < 450:
+            assert query.isActive
+            query.awaitTermination(1)
+        query.stop()
+    rows = batches(spark, f"{tmp_path}/log", list(counters), {"n": 450}).orderBy("batch").collect()
+    assert len(rows) >= 140 and [r.batch for r in rows] == list(range(len(rows)))
+    assert [r.backlog_bytes for r in rows] == [8 * r.left_n for r in rows]
+    assert rows[-1].backlog_bytes == 0 and rows[-1].top == 299 and sum(r.n for r in rows) == 450
+
+
+def lines(spark, folder, values):
+    spark.createDataFrame([(v,) for v in values], "v bigint").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema("v bigint").parquet(f"{folder}/in")
+
+
+def test_log_goes_on_after_a_restart_and_shows_a_lost_report(spark, tmp_path):
+    for values in ([1, 2], [3], [4, 5, 6]):
+        with BatchLog(spark, f"{tmp_path}/log", {"total": F.sum("v")}) as log:
+            write_available(log.observed(lines(spark, tmp_path, values)), f"{tmp_path}/out", log.name)
+    rows = batches(spark, f"{tmp_path}/log", ["total"], {"total": 21, "n_records": 6}).orderBy("batch").collect()
+    assert [(r.batch, r.n_records, r.total, r.left_total, r.left_n_records) for r in rows] == [
+        (0, 2, 3, 18, 4), (1, 1, 3, 15, 3), (2, 3, 15, 0, 0)]
+    assert all(r.backlog_bytes is None and "logOffset" in r.offsets[0] for r in rows)
+    spark.read.parquet(f"{tmp_path}/log").filter("batch <> 1").write.partitionBy("batch").parquet(f"{tmp_path}/gap")
+    with pytest.raises(Exception, match="no report of a batch before 2"):
+        batches(spark, f"{tmp_path}/gap", ["total"], {"total": 21}).collect()
+
+
+def test_unknown_backlog_and_other_streams(spark, tmp_path):
+    spark.dataSource.register(Dripping)
+    with BatchLog(spark, f"{tmp_path}/log", {}, Dripping({"unknown": "1"})) as log:
+        write_available(spark.readStream.format("dripping").load(), f"{tmp_path}/other")
+        write_available(log.observed(spark.readStream.format("dripping").load()), f"{tmp_path}/out", log.name)
+    assert [r.backlog_bytes for r in batches(spark, f"{tmp_path}/log", []).collect()] == [-1]
+
+
+def test_errors_of_the_log_are_raised(spark, tmp_path):
+    (tmp_path / "log").write_text("a file, not a folder")
+    with pytest.raises(Exception):
+        with BatchLog(spark, f"{tmp_path}/log", {}) as log:
+            write_available(log.observed(lines(spark, tmp_path, [1])), f"{tmp_path}/out", log.name)

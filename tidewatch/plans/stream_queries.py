@@ -22,12 +22,16 @@ from tidewatch.plans.watch_queries import DAY_SQL, LOG_SQL, START_SQL
 from tidewatch.sources import CountingSource, EmptySource
 from tidewatch.streaming import dedup, files, splits, ticks
 from tidewatch.streaming.increments import extend, follow, found, seen_keys
+from tidewatch.streaming.progress import BatchLog, batches
 from tidewatch.streaming.run import drained, each_batch, stream_session, write_available
 from tidewatch.workspace import new_folder, written
 
 # A snapshot poll sees eight more days than the one before; the last one sees them all.
 SNAPSHOT_DAYS = 8
 STEP = 7
+# Waves of equal spans of offsets, each read by a run of its own.
+WAVES = 5
+BACKLOG_ROW = "n_records bigint, n_terminal bigint, last_off bigint, records_left bigint, bytes_left bigint"
 
 
 def _snapshots(days: Days) -> int:
@@ -144,6 +148,34 @@ def source_read_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def source_backlog_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each batch reports while the records arrive in waves of offsets, and what it leaves unread.
+
+    The stream is started again for every wave; its log goes on.
+    """
+    session = stream_session(spark)
+    root = new_folder(spark, "source-backlog")
+    records = tables.records_of(tables.events(spark, sf_dir))
+    counters = {
+        "n_terminal": F.count_if("terminal"), "last_off": F.max("off"), "n_bytes": F.sum(F.octet_length("record_id")),
+    }
+    ends = records.agg(F.min("off"), F.max("off"), counters["n_bytes"], F.count("*")).first()
+    first, last, n_bytes, n_records = ends
+    if first is None:
+        return spark.createDataFrame([], BACKLOG_ROW)
+    placed = records.withColumn("wave", F.expr(f"(off - ({first}L)) div {(last - first) // WAVES + 1}L"))
+    for number in range(WAVES):
+        placed.filter(F.col("wave") == number).drop("wave").write.mode("append").parquet(f"{root}/in")
+        with BatchLog(session, f"{root}/log", counters) as log:
+            stream = log.observed(session.readStream.schema(records.schema).parquet(f"{root}/in"))
+            write_available(stream, f"{root}/read", log.name)
+    found = batches(spark, f"{root}/log", list(counters), {"n_records": n_records, "n_bytes": n_bytes})
+    # A wave without offsets is a batch without records.
+    return found.filter("n_records > 0").select(
+        "n_records", "n_terminal", "last_off", F.col("left_n_records").alias("records_left"), F.col("left_n_bytes").alias("bytes_left")
+    )
+
+
 # --- watch -------------------------------------------------------------------
 
 
@@ -357,6 +389,7 @@ QUERIES = {
     "source_empty_stream": source_empty_stream,
     "source_dedup_stream": source_dedup_stream,
     "source_read_metrics": source_read_metrics,
+    "source_backlog_stream": source_backlog_stream,
     "source_terminal_stream": source_terminal_stream,
     "source_watermark_stream": source_watermark_stream,
     "watch_dedup_stream": watch_dedup_stream,
@@ -401,6 +434,16 @@ where rn = 1""",
 select count(*) as n_records, max(off) as last_off, epoch_us(max(event_ts)) as last_event_us,
        count(*) filter (where terminal) as n_terminal
 from source_records""",
+    "source_backlog_stream": RECORDS_SQL + f""",
+ends as (select min(off) as first_off, max(off) as last_off from source_records),
+saved as (
+  select (off - first_off) // ((ends.last_off - first_off) // {WAVES} + 1) as wave, count(*) as n_records,
+         count(*) filter (where terminal) as n_terminal, max(off) as last_off
+  from source_records cross join ends group by wave)
+select s.n_records, s.n_terminal, s.last_off, count(r.off) as records_left,
+       cast(coalesce(sum(octet_length(encode(r.record_id))), 0) as bigint) as bytes_left
+from saved s left join source_records r on r.off > s.last_off
+group by all""",
     "source_terminal_stream": SOURCE_SQL["source_terminal"],
     "source_watermark_stream": RECORDS_SQL + """,
 cut as (

@@ -27,10 +27,11 @@ def stream_session(spark: SparkSession) -> SparkSession:
     return session
 
 
-def write_available(stream: DataFrame, root: str) -> StreamingQuery:
+def write_available(stream: DataFrame, root: str, name: str | None = None) -> StreamingQuery:
     """Append what is available now to ``root/rows`` and stop; offsets and state go to ``root/checkpoint``."""
+    writer = stream.writeStream.queryName(name) if name else stream.writeStream
     query = (
-        stream.writeStream.format("parquet")
+        writer.format("parquet")
         .option("path", f"{root}/rows")
         .option("checkpointLocation", f"{root}/checkpoint")
         .outputMode("append")
