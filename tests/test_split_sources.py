@@ -8,7 +8,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from tidewatch.sources import CountingSource, EmptySource, ParquetRowsSource, SplitSource
+from tests.parquet_rows import ParquetRowsSource
+from tidewatch.sources import CountingSource, EmptySource, SplitSource
 from tidewatch.sources.split_source import SplitRange
 from tidewatch.streaming.run import write_available
 

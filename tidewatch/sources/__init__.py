@@ -2,7 +2,7 @@
 
 from tidewatch.sources.counting import CountingSource
 from tidewatch.sources.empty import EmptySource
-from tidewatch.sources.parquet_rows import ParquetRowsSource
+from tidewatch.sources.reporting_source import ReportingSource
 from tidewatch.sources.split_source import BACKLOG_UNKNOWN, SplitSource
 
-__all__ = ["BACKLOG_UNKNOWN", "CountingSource", "EmptySource", "ParquetRowsSource", "SplitSource"]
+__all__ = ["BACKLOG_UNKNOWN", "CountingSource", "EmptySource", "ReportingSource", "SplitSource"]

@@ -13,13 +13,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import BooleanType, StructField, StructType, TimestampNTZType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType, TimestampNTZType
 
 from tidewatch.operators.records import SPLIT, until_terminal
 from tidewatch.operators.running import running_max
 from tidewatch.streaming.run import each_batch
 
-STATE = "source_id string, split_id int, saved_wm timestamp_ntz, saved_top bigint, ended boolean"
+STATE = (
+    StructField("saved_wm", TimestampNTZType()), StructField("saved_top", LongType()), StructField("ended", BooleanType()),
+)
 MERGED = "reached timestamp_ntz, watermark timestamp_ntz, done boolean, n_open bigint, n_ended bigint, held_back bigint"
 
 
@@ -50,7 +52,7 @@ def follow_merged(records: DataFrame, root: str, expected: DataFrame | None = No
 
     def work(batch: DataFrame, batch_id: int) -> None:
         _add_batch(batch, root, batch_id, drop_repeats=False)
-        _merge(batch.sparkSession, root, batch_id, expected)
+        _merge(batch, root, batch_id, expected)
 
     return each_batch(records, root, work)
 
@@ -64,8 +66,9 @@ def merged(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(f"batch bigint, {MERGED}").parquet(f"{root}/merged").drop("reached")
 
 
-def _merge(spark: SparkSession, root: str, batch_id: int, expected: DataFrame | None) -> None:
-    splits = _state(spark, root, batch_id)
+def _merge(batch: DataFrame, root: str, batch_id: int, expected: DataFrame | None) -> None:
+    spark = batch.sparkSession
+    splits = _state(batch, root, batch_id)
     if expected is not None:
         awaited = expected.select(*SPLIT).distinct().join(splits.select(*SPLIT), list(SPLIT), "left_anti")
         splits = splits.unionByName(awaited.withColumn("ended", F.lit(False)), allowMissingColumns=True)
@@ -86,18 +89,20 @@ def _merge(spark: SparkSession, root: str, batch_id: int, expected: DataFrame |
     row.write.mode("overwrite").parquet(f"{root}/merged/batch={batch_id}")
 
 
-def _state(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
+def _state(batch: DataFrame, root: str, batch_id: int) -> DataFrame:
+    spark = batch.sparkSession
+    state = StructType([*[batch.schema[c] for c in SPLIT], *STATE])
     try:
-        return spark.read.schema(STATE).parquet(f"{root}/state/batch={batch_id}")
+        return spark.read.schema(state).parquet(f"{root}/state/batch={batch_id}")
     except AnalysisException as missing:
         if batch_id >= 0 or missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], STATE)
+        return spark.createDataFrame([], state)
 
 
 def _add_batch(batch: DataFrame, root: str, batch_id: int, drop_repeats: bool) -> None:
     spark = batch.sparkSession
-    before = _state(spark, root, batch_id - 1)
+    before = _state(batch, root, batch_id - 1)
     open_splits = batch.join(before.filter("ended").select(*SPLIT), list(SPLIT), "left_anti")
     running = running_max(
         until_terminal(open_splits), SPLIT, "arrival_no", up_to={"watermark": F.col("source_wm")},
