@@ -56,6 +56,22 @@ def test_files_are_plain_gzip_with_a_member_per_record(spark, tmp_path):
     assert members == 3 * 30
 
 
+def test_archives_of_one_task_are_rolled_by_bytes(spark, tmp_path):
+    """A task that writes much makes many archives, each bounded in bytes; no page is spread over two."""
+    rng = random.Random(4)
+    rows = [(i, "u", "".join(rng.choices("abcdefghij", k=rng.choice([20, 900, 4000]))), "", "") for i in range(900)]
+    rows += [(i, "u", rows[0][2], "", "") for i in range(900, 1200)]  # a hot payload
+    table = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    warc.write_archives(table, f"{tmp_path}/w", segment_bytes=1000, row_bytes=3000)
+    sizes = [len(open(name, "rb").read()) for name in glob.glob(f"{tmp_path}/w/part-*")]
+    longest = max(sum(map(len, warc.records(i, "u", body.encode(), None, 1000))) for i, _, body, *_ in rows)
+    assert len(sizes) > 20 and max(sizes) <= warc.ROWS_PER_ARCHIVE * (3000 + longest)
+    for name in glob.glob(f"{tmp_path}/w/part-*"):
+        assert all(r[2] is not None or r[5] == "revisit" for r in warc.read_records(open(name, "rb").read()))
+    got = warc.read_archives(spark, f"{tmp_path}/w").collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == model(rows, 0)
+
+
 def test_damage_is_found():
     good = b"".join(warc.records(5, "u", b"payload" * 50, None, 100))
     assert [r[3] for r in warc.read_records(good)] == [350]

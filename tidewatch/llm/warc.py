@@ -2,9 +2,11 @@
 
 An archive is a file of gzip members, one per record.  Spark's text writer writes them to any
 store it knows: the last byte of a gzip member is the highest of four that hold
-its plain length, which is 0 below 16 MiB, so a row is a member without that byte and the
+its plain length, which is 0 below 16 MiB, so a row is a run of members without that byte and the
 line separator is the byte 0.  A payload that would make a record longer goes into
-continuation records of the same archive, as the standard has it.
+continuation records of the same archive, as the standard has it.  A row holds the records of
+whole pages up to some bytes and an archive so many rows, so the reader, which is given an
+archive at once, needs bounded memory however much one task writes.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payload bytes in a record at most, and compressed bytes that the reader feeds at a time.
 SEGMENT_BYTES = 8 << 20
 PIECE_BYTES = 1 << 16
+#: An archive holds at most so many rows of so many bytes each, the last page of a row on top.
+ROW_BYTES = 4 << 20
+ROWS_PER_ARCHIVE = 16
 LEVEL = 4
 
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
@@ -82,7 +87,7 @@ def records(
 
 def write_archives(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-    min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES,
+    min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, row_bytes: int = ROW_BYTES,
 ) -> None:
     """Write a record for every row of ``pages`` to archives in ``folder``, which must be new.
 
@@ -90,7 +95,8 @@ def write_archives(
     responses and the others revisit them; rows without an id are responses only among
     themselves.  Shorter payloads are all responses.  Null payloads are empty; a null url is left out
     of its record, control characters and spaces in a url are percent-encoded.  An empty table
-    gives a folder without records.  Payloads are compared by SHA-1 and length; the
+    gives a folder without records.  An archive holds ``ROWS_PER_ARCHIVE * row_bytes`` bytes and a page
+    for each row more at most; one page is never spread over two.  Payloads are compared by SHA-1 and length; the
     rows of one payload may be a third of all, which Spark's skew join splits.
     """
     spark = pages.sparkSession
@@ -103,20 +109,25 @@ def write_archives(
     refers = F.when((F.col("bytes") >= min_bytes) & ~F.col("page").eqNullSafe(F.col("first")), F.col("first"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bytearray()
         for batch in small_batches(batches, 100):
             for page, url, body, refers_to in zip(*batch.columns):
-                members = records(page.as_py(), url.as_py(), body.as_py(), refers_to.as_py(), segment_bytes)
-                members = [member[:-1] for member in members if _ends_in_zero(member)]
-                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
-
-    members = joined.select("page", "url", "payload", refers.alias("refers_to")).mapInArrow(packed, "member binary")
-    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(folder)
-
-
-def _ends_in_zero(member: bytes) -> bool:
-    if member[-1]:
-        raise ValueError("a record of 16 MiB or more: use a smaller segment_bytes")
-    return True
+                for member in records(page.as_py(), url.as_py(), body.as_py(), refers_to.as_py(), segment_bytes):
+                    held += member
+                if held[-1]:
+                    raise ValueError("a record of 16 MiB or more: use a smaller segment_bytes")
+                if len(held) >= row_bytes:
+                    yield row(held)
+                    held = bytearray()
+        if held:
+            yield row(held)
+
+    def row(held: bytearray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([bytes(held[:-1])], pa.binary())], ["members"])
+
+    rows = joined.select("page", "url", "payload", refers.alias("refers_to")).mapInArrow(packed, "members binary")
+    lines = rows.select(F.col("members").cast("string").alias("value"))
+    lines.write.option("lineSep", "\0").option("maxRecordsPerFile", ROWS_PER_ARCHIVE).text(folder)
 
 
 def members_of(data: bytes, piece: int = PIECE_BYTES) -> Iterator[bytes]:
