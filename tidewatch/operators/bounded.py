@@ -7,7 +7,7 @@ begins.  The guess is right if no key came back after it was forgotten.  Then ev
 is checked: a range that began with other keys than the range before it ended with is
 replayed from those.  Ranges may guess wrong a few times; what is wrong then is replayed in
 order, one stream of rows per seed from its first wrong range on.  A task holds
-``2 * cap`` keys at most, however many rows a poll or a seed has and however wide they are.
+``2 * cap`` keys at most, and as many read for a start, however many rows a poll or a seed has and however wide they are.
 """
 
 from __future__ import annotations
