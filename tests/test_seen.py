@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from tests.test_plans import plan
 from tidewatch.operators.polls import normalize, with_discovery_time
 from tidewatch.streaming import dedup
 from tidewatch.streaming.increments import extend, found, seen_keys
-from tidewatch.streaming.run import drained, stream_session
+from tidewatch.streaming.run import drained, stream_session, write_available
 from tidewatch.streaming.seen import SeenKeys
 
 ROWS = "seed string, key_hash string, value bigint"
@@ -110,6 +111,32 @@ def test_first_delivery_of_every_id(spark, tmp_path):
     assert got == want
 
 
+def test_ids_are_handed_on_before_a_task_has_read_its_rows():
+    batches, size, read, got = 40, 10_000, 0, 0
+
+    def unique():
+        nonlocal read
+        for k in range(batches):
+            read += size
+            yield pa.RecordBatch.from_pydict({"id": pa.array(range(k * size, (k + 1) * size)), "no": pa.array([k] * size)})
+
+    for batch in dedup._keep_first(["id"], ["no"], whole=False)(unique()):
+        assert read - got <= dedup.HELD_ROWS + size
+        got += batch.num_rows
+    assert got == batches * size
+
+
+def test_ids_meet_in_groups_that_spark_sorts(spark, tmp_path, capsys):
+    """Not in all that a task reads, which Python would have to hold."""
+    spark.range(2000).selectExpr("id % 500 as id", "id as no").repartition(5).write.parquet(f"{tmp_path}/in")
+    stream = stream_session(spark).readStream.schema("id bigint, no bigint").parquet(f"{tmp_path}/in")
+    write_available(dedup.first_of_ids(stream, ["id"], "no"), f"{tmp_path}/out").explain()
+    ran = capsys.readouterr().out
+    assert sorted(spark.read.parquet(f"{tmp_path}/out/rows").collect()) == [(i, i) for i in range(500)]
+    above, _, below = ran.partition("FlatMapGroupsInArrow")
+    assert "MapInArrow" not in above and "Sort" in below
+
+
 def test_an_output_without_its_poll_is_an_error_whatever_is_read(spark):
     polls = spark.createDataFrame([("s", 1, None, None, False)], "seed string, poll_no int, poll_ts timestamp_ntz, watermark timestamp_ntz, complete boolean")
     outputs = spark.createDataFrame([("s", 2, 0, 1, None)], "seed string, poll_no int, pos int, value int, event_ts timestamp_ntz")
